@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, quality, token_counts, url_filter
+from tessera.llm import chat, quality, simhash, token_counts, url_filter
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -78,5 +78,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules)}
+    return {f.__name__: f for f in (op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}

@@ -44,3 +44,32 @@ def chat(rows):
     turns = "".join(f"{r or ''}\n{t or ''}\n" for r, t in rows)
     loss = "".join(t or "" for r, t in rows if r == "assistant")
     return len(rows), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def fingerprint(text, shingle=3):
+    import xxhash
+
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(fps, radius=2):
+    """id -> smallest id reachable over links within the radius; fps: id -> fingerprint."""
+    at = {i: i for i in fps}
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = sorted((root(i), root(j)))
+                at[b] = a
+    return {i: root(i) for i in ids}
