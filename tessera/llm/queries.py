@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, quality, simhash, token_counts, url_filter
+from tessera.llm import chat, licenses, quality, simhash, token_counts, toxicity, url_filter
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -22,6 +22,18 @@ URL_RULES = [
 TOKEN_LIMIT = 4096
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.summary(scanned)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: a page whose labelled document (same id) is of low quality or toxic is one to block."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -84,4 +96,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}

@@ -73,3 +73,11 @@ def groups(fps, radius=2):
                 a, b = sorted((root(i), root(j)))
                 at[b] = a
     return {i: root(i) for i in ids}
+
+
+def licenses(text, base):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    seq = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places = [(i, label) for phrase, label in base.items() for i in range(len(seq)) if seq[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(seq), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
