@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, licenses, quality, simhash, token_counts, toxicity, url_filter
+from tessera.llm import chat, licenses, pii, quality, simhash, token_counts, toxicity, url_filter
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -34,6 +34,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    base, spans = pii.written(F.col("base")), pii.written(F.concat("base", "found"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: a page whose labelled document (same id) is of low quality or toxic is one to block."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -96,4 +104,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_pii, op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}

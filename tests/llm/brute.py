@@ -81,3 +81,27 @@ def licenses(text, base):
     places = [(i, label) for phrase, label in base.items() for i in range(len(seq)) if seq[i : i + len(phrase.split())] == phrase.split()]
     starts = [i for i, _ in places]
     return len(seq), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def pii(text):
+    """(start, kind, end) of the contract's base spans; linear forms of its patterns."""
+    text = text or ""
+    found = []
+
+    def take(kind, pattern, ok):
+        found.extend((m.start(), kind, m.end()) for m in re.finditer(pattern, text, re.A) if ok(m.group()))
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    take(0, r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+", lambda m: True) if len(text) < 50_000 else take(0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+", lambda m: True)
+    take(1, r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", lambda m: all(int(x) <= 255 for x in m.split(".")))
+    take(2, r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)))
+    take(3, r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15)
+    return found
