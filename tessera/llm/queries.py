@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, licenses, pii, quality, simhash, token_counts, toxicity, url_filter
+from tessera.llm import chat, decontam, licenses, pii, quality, simhash, token_counts, toxicity, url_filter
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -87,6 +87,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "item_chars", "edits")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     planned = quality.plan_cascade(docs, quality.default_rules(), prepare=quality.with_measures)
@@ -104,4 +109,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_pii, op5_url_filter, op6_token_counts, op7_chat_formatting, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_pii, op5_url_filter, op6_token_counts, op7_chat_formatting, op8_decontamination, op9_quality_rules, op10_simhash)}
