@@ -87,9 +87,9 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     # the ancestors of a chosen leaf: the set doubles along with the reach of the pointers
     members = chosen.select("leaf", F.col("leaf").alias("id"))
     for level in reversed(levels):
-        jump = level.where(F.col("up").isNotNull()).select("id", "up")
-        members = members.unionByName(members.join(jump, "id").select("leaf", F.col("up").alias("id")))
-    paths = members.distinct().join(depths.select("id", "depth"), "id")
+        both = F.explode(F.array_compact(F.array("id", "up")))
+        members = members.join(level.select("id", "up"), "id").select("leaf", both.alias("id"))
+    paths = members.join(depths.select("id", "depth"), "id")
     return paths.join(chosen, "leaf").select("root", "leaf", "rank", "depth", "id")
 
 
