@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, decontam, licenses, pii, quality, simhash, token_counts, toxicity, url_filter
+from tessera.llm import chat, decontam, licenses, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -22,6 +22,12 @@ URL_RULES = [
 TOKEN_LIMIT = 4096
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its place in its bin."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, with_text=False)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return licenses.summary(scanned)
@@ -109,4 +115,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_pii, op5_url_filter, op6_token_counts, op7_chat_formatting, op8_decontamination, op9_quality_rules, op10_simhash)}
+    found = (
+        op1_packing, op2_license_scan, op3_toxicity, op4_pii, op5_url_filter,
+        op6_token_counts, op7_chat_formatting, op8_decontamination, op9_quality_rules, op10_simhash,
+    )
+    return {f.__name__: f for f in found}
