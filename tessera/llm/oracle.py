@@ -1,11 +1,47 @@
-"""DuckDB SQL for the queries of the operators that SQL can express whole."""
+"""DuckDB SQL for the queries of the operators that SQL can express whole.
+
+The other queries rest on classifiers, tokenizers, fingerprints, automata, alignments or mined rules; their tests hold
+them against brute force.
+"""
 
 from __future__ import annotations
 
-from tessera.llm.queries import TOKEN_LIMIT  # noqa: F401
+QUALITY = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+twice AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper
+      FROM w LEFT JOIN covered USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (100 * n_symbols > 10 * word_chars OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
+       OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
+FROM b
+"""
 
-WS = r"[\x20\x09-\x0D]+"
+CHAT = r"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+             coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body,
+             replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n>') AS head FROM n),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,
+             coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length(body) + length(head) + length('<|im_start|>') + length('<|im_end|>') + 2) AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM a
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": CHAT, "op9_quality_rules": QUALITY}
