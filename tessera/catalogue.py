@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import graph as _graph  # noqa: F401
+from tessera.queries import places as _places  # noqa: F401
+from tessera.queries import reporting
+from tessera.queries import streams as _streams  # noqa: F401
+from tessera.registry import QUERIES, SQL, Query
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(10)
+    return reporting.flagship(spark, sf_dir)
