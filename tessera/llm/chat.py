@@ -71,7 +71,10 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     scratch = Scratch(spark, "replies")
     nodes = messages.groupBy("id").agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("m")).where(F.col("id").isNotNull()).select("id", "m.*")
     known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
+    # roots stay out of the join: their null parents would all meet in one task
+    replies = nodes.where(F.col("parent_id").isNotNull()).join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
+    roots = nodes.where(F.col("parent_id").isNull()).select("id", F.col("parent_id").alias("up"), F.col("score").alias("total"))
+    nodes = replies.unionByName(roots)
     nodes = scratch.save(_first_level(nodes))
     n = nodes.count()
     levels, stuck = _jump(scratch, nodes, n)
