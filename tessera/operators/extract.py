@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import normalize as N
 from tessera.functions import text as TX
+from tessera.shipping import map_in_arrow
 
 #: Confidence of evidence by where it stood.
 CONFIDENCE = {"structured": 0.8, "linked": 0.75, "text": 0.55}
@@ -115,7 +116,7 @@ def with_page_parts(pages: DataFrame) -> DataFrame:
             found = [parse(t.as_py(), u.as_py()) for u, t in zip(b.column(1), b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.list_(LINK)), pa.array([f[1] for f in found], pa.list_(NODE))], ["page_id", "url", "links", "nodes"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return map_in_arrow(pages.select("page_id", "url", "html"), run, schema)
 
 
 def links(parts: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import ship
+
 #: What each role may do.
 ROLES = {
     "owner": ["read", "research", "export", "billing", "members", "settings", "delete", "audit"],
@@ -54,11 +56,16 @@ def _rejection(url: str | None) -> str | None:
     return None if (inner or address).is_global else "address"
 
 
-@F.pandas_udf(T.StringType())
-def url_rejection(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Why a url may not be fetched, or null."""
-    for s in urls:
-        yield s.map(_rejection, na_action=None).astype(object)
+def with_url_rejection(df: DataFrame, url: Column, out: str = "reason") -> DataFrame:
+    """Adds why a url may not be fetched, or null."""
+
+    @F.pandas_udf(T.StringType())
+    def rejection(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in urls:
+            yield s.map(_rejection, na_action=None).astype(object)
+
+    ship(df.sparkSession)
+    return df.withColumn(out, rejection(url))
 
 
 def robots_allow(status: Column, disallow: Column, allow: Column, path: Column) -> Column:

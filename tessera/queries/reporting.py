@@ -282,7 +282,7 @@ def flt_restriction_reason(spark, sf_dir):
 def flt_url_guard(spark, sf_dir):
     k = F.col("page_id") % 5
     url = F.when(k == 0, "http://169.254.169.254/x").when(k == 1, "http://[::ffff:10.0.0.1]/").when(k == 2, "ftp://example.org/").when(k == 3, "https://a:b@example.org/").otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", guards.url_rejection(url).alias("reason"))
+    return guards.with_url_rejection(table(spark, sf_dir, "pages"), url).select("page_id", "reason")
 
 
 @query("flt_robots_rules", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN path NOT LIKE '/en/%' OR path LIKE '/en/1%' WHEN 1 THEN true ELSE false END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.shipping import ship
+
 
 def read_events(spark: SparkSession, path: str, schema, kind: str = "parquet", **options) -> DataFrame:
     """A stream of the files in a folder."""
@@ -118,6 +120,7 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float) -> Data
         out.insert(0, "key", str(k[0]))
         return out
 
+    ship(events.sparkSession)
     slim = events.select(F.col(key).alias("_k"), "ts", "event_id")
     if events.isStreaming:
         return slim.groupBy("_k").applyInPandasWithState(stateful, BUCKET, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)

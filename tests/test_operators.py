@@ -186,7 +186,7 @@ def test_settlement_cases(spark):
 
 def test_guards(spark):
     df = spark.createDataFrame([("http://10.0.0.1/",), ("https://ok.org/",), ("javascript:x",), (None,), ("http://[bad",)], "u string")
-    assert [r[0] for r in df.select(guards.url_rejection(F.col("u"))).collect()] == ["address", None, "scheme", "scheme", "unparsable"]
+    assert [r[0] for r in guards.with_url_rejection(df, F.col("u")).select("reason").collect()] == ["address", None, "scheme", "scheme", "unparsable"]
     rows = spark.createDataFrame([("a", 1)], "org_id string, x long")
     assert guards.tenant_rows(rows, None).count() == 0 and guards.tenant_rows(rows, "b").count() == 0 and guards.tenant_rows(rows, "a").count() == 1
 
