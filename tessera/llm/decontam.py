@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import map_in_arrow
+
 Q = 10
 MAX_EDITS = 0.08
 MIN_CHARS = 24
@@ -221,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column(1).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([int(r[j]) for r in rows], pa.int64()) for j in range(1, 6))], schema.names)
 
-        part = docs.select("text", "doc_id").mapInArrow(search, schema)
+        part = map_in_arrow(docs.select("text", "doc_id"), search, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -237,5 +239,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = shared.value.search_all(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_in_arrow(docs, clean, docs.schema)
     return docs

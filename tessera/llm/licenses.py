@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import map_in_arrow
+
 #: Phrases whose every place counts, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -227,7 +229,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keep, *added])
 
-    return df.select(text, *keep).mapInArrow(scan, schema)
+    return map_in_arrow(df.select(text, *keep), scan, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[ \t\n\x0B\f\
       FROM w LEFT JOIN covered USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * n_symbols > 10 * word_chars OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
+       NOT base_failed AND NOT (100 * n_symbols > 4 * word_chars OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
        OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
 FROM b
 """

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.token_counts import TokenCounter, model_path, pre_tokens
+from tessera.shipping import map_in_arrow
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SEPARATOR = 1
@@ -163,4 +164,4 @@ def pack_documents(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = S
         if held:
             yield flush()
 
-    return df.select(*keep, text).mapInArrow(pack, schema)
+    return map_in_arrow(df.select(*keep, text), pack, schema)

@@ -97,7 +97,7 @@ def base_failed() -> Column:
 def default_rules() -> list[Rule]:
     """Rules over the measures of ``with_measures``; each leaves ordinary prose of any language alone."""
     return [
-        Rule("symbols", 100 * F.col("n_symbols") > 10 * F.col("word_chars")),
+        Rule("symbols", 100 * F.col("n_symbols") > 4 * F.col("word_chars")),
         Rule("duplicate_lines", (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.col("n_lines"))),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
         Rule("shouting", 100 * F.col("n_upper") > 60 * F.col("word_chars")),

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.llm.common import Scratch
+from tessera.shipping import map_in_arrow
 
 SHINGLE = 3
 RADIUS = 2
@@ -72,7 +73,7 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, out:
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], fps], [*keep, out])
 
-    return df.select(text, *keep).mapInArrow(scan, schema)
+    return map_in_arrow(df.select(text, *keep), scan, schema)
 
 
 def _signed(x: int) -> int:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import map_in_arrow
+
 TABLE_ROWS = 65_536
 PER_TASK = 4_096
 MAX_KEY = 32
@@ -135,7 +137,7 @@ def frequent_pre_tokens(df: DataFrame, text: str = "text") -> DataFrame:
         top = [(k, n) for k, n in counts.most_common(2 * PER_TASK) if 0 < len(k) <= MAX_KEY and " " not in k][:PER_TASK]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["key", "n"])
 
-    parts = df.select(F.col(text)).mapInArrow(hitters, "key string, n long")
+    parts = map_in_arrow(df.select(F.col(text)), hitters, "key string, n long")
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -163,4 +165,4 @@ def count_tokens(df: DataFrame, text: str = "text", model: str | None = None, ou
             n = pa.array([counter.count(t.as_py()) for t in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], [*keep, out])
 
-    return df.select(text, *keep).mapInArrow(count, schema)
+    return map_in_arrow(df.select(text, *keep), count, schema)

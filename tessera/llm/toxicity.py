@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch
+from tessera.shipping import map_in_arrow
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 20_000
@@ -74,7 +75,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tup
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(words(t.as_py())) for t in b.column(0)], pa.list_(pa.string()))], ["positive", "words"])
 
-    return scratch.save(sample.mapInArrow(split, "positive boolean, words array<string>")), n_toxic / n_known, n_toxic
+    return scratch.save(map_in_arrow(sample, split, "positive boolean, words array<string>")), n_toxic / n_known, n_toxic
 
 
 def vocabulary(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[str]:
@@ -151,4 +152,4 @@ def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str
             found = [bias + sum(weights[w] for w in sorted(words(t.as_py()) & known)) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in found], pa.float64())], [*keep, out])
 
-    return df.select(*keep).mapInArrow(judge, schema)
+    return map_in_arrow(df.select(*keep), judge, schema)
