@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 512
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -25,7 +26,14 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
-def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+def map_in_arrow(df: DataFrame, function: Callable, schema, rows: int = ROWS) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers, in slices of at most ``rows`` rows.
+
+    What a function makes of a slice stays small in a worker, however many rows Spark puts in a batch.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def sliced(batches: Iterator) -> Iterator:
+        yield from function(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
