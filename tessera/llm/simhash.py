@@ -14,6 +14,12 @@ both. Every member is filed under its 39 or 40 strings within one bit, and all m
 
 ``components`` joins links to groups by alternating large-star and small-star passes.
 
+Fingerprints of short shingles drift apart by more than 2 bits when a few words of a text change. ``keep_one`` with a
+similarity therefore looks once more at what the groups leave: ``VIEWS`` fingerprints of each text's distinct words,
+with a hash of their own each, propose pairs within the same radius and by the same filter; a pair counts if the
+Jaccard similarity of the two texts' word shingles, taken over all of them, reaches the bound. Here the members of a
+large bucket are proposed as pairs with its smallest member only.
+
 Null texts count as empty. Texts without words have the fingerprint 0 and link like any other. Copies share their
 fingerprint's row, whatever their number. Rows without a doc_id get the group of their fingerprint, and null where no
 row with an id has it. Empty tables give empty results.
@@ -38,6 +44,8 @@ RADIUS = 2
 BOXES = 5
 LARGE = 64
 BLOCK = 32_768
+VIEWS = 8
+KNOWN_WORDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
 
@@ -76,6 +84,71 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, out:
     return map_in_arrow(df.select(text, *keep), scan, schema)
 
 
+def views(text: str | None, known: dict[bytes, bytes]) -> list[int]:
+    """VIEWS fingerprints of the distinct words of a text; ``known`` keeps the words' hashes between calls."""
+    import hashlib
+
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * VIEWS
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = hashlib.blake2b(w, digest_size=8 * VIEWS).digest()
+    counts, at = np.zeros(64 * VIEWS, np.int64), list(words)
+    for i in range(0, len(at), BLOCK):
+        block = np.frombuffer(b"".join(known[w] for w in at[i : i + BLOCK] if w in known), np.uint8).reshape(-1, 8 * VIEWS)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(words), bitorder="little").view(np.int64).tolist()
+
+
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Distinct 64-bit hashes of a text's word shingles (the whole text if it has fewer words)."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 0) - 2**63 for i in range(n)})
+
+
+def similar_pairs(df: DataFrame, ids: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """(u, v), u > v: pairs of rows (doc_id, text) among ``ids`` whose word shingles reach the Jaccard similarity.
+
+    Texts are read twice and never shuffled whole, unless the texts of proposed pairs are too many to broadcast ids.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([views(t.as_py(), known) for t in batch.column(1)], pa.list_(pa.int64()))], ["rep", "fps"])
+
+    seen = scratch.save(map_in_arrow(df.select("doc_id", "text").where(F.col("doc_id").isNotNull()), look, "rep long, fps array<long>"))
+    seen = seen.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
+    # one class for each view and fingerprint; the other members of a class are proposed with its smallest
+    each = seen.select("rep", F.posexplode("fps").alias("view", "fp"))
+    least = each.groupBy("view", "fp").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
+    same = each.join(least.where("n > 1"), ["view", "fp"]).where("rep > v").select(F.col("rep").alias("u"), "v")
+    classes = least.select("view", "fp", F.col("v").alias("rep"))
+    filed = classes.select("view", "fp", "rep", F.explode(F.array(*(F.lit(i) for i in range(BOXES)))).alias("start")).withColumn("key", F.col("fp").bitwiseAND(_masks(2)))
+    sizes = filed.groupBy("view", "start", "key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    filed = scratch.save(filed.join(sizes, ["view", "start", "key"]))
+    small = filed.where(F.col("n") <= LARGE).select("view", "start", "key", "fp", "rep")
+    near = _small_buckets(small, ["view", "start", "key"])
+    large = filed.where((F.col("n") > LARGE) & (F.col("rep") > F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    proposed = scratch.save(same.unionByName(near).unionByName(large).distinct())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "hashes"])
+
+    named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    sets = scratch.save(map_in_arrow(df.select("doc_id", "text").join(named, "doc_id", "left_semi"), cut, "id long, hashes array<long>"))
+    a, b = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return proposed.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -94,6 +167,17 @@ def _masks(length: int) -> Column:
     return F.element_at(F.array(*(F.lit(_chain(i, length)).cast("long") for i in range(BOXES))), F.col("start") + 1)
 
 
+def _small_buckets(filed: DataFrame, keys: list[str]) -> DataFrame:
+    """(u, v), u > v: pairs within buckets (keys, fp, rep) whose chains and whole fingerprints stay in their budgets."""
+    other = filed.select(*keys, F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
+    x = F.col("fp").bitwiseXOR(F.col("fp2"))
+    pruned = F.col("rep") > F.col("rep2")
+    for length in range(3, BOXES):
+        pruned &= F.bit_count(x.bitwiseAND(_masks(length))) <= length * RADIUS // BOXES
+    pruned &= F.bit_count(x) <= RADIUS
+    return filed.join(other, keys).where(pruned).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
+
+
 def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v), u > v: links between classes (fp, rep) of equal fingerprints, enough for their components."""
     starts = F.explode(F.array(*(F.lit(i) for i in range(BOXES))))
@@ -101,14 +185,7 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = filed.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
     filed = scratch.save(filed.join(sizes, ["start", "key"]))
 
-    small = filed.where(F.col("n") <= LARGE).drop("n")
-    a, b = small, small.select("start", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    most = [(l, l * RADIUS // BOXES) for l in range(3, BOXES + 1)]
-    pruned = (F.col("rep") > F.col("rep2")) & (F.bit_count(x.bitwiseAND(_masks(3))) <= most[0][1])
-    pruned &= (F.bit_count(x.bitwiseAND(_masks(4))) <= most[1][1]) & (F.bit_count(x) <= RADIUS)
-    near = a.join(b, ["start", "key"]).where(pruned).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
-
+    near = _small_buckets(filed.where(F.col("n") <= LARGE).drop("n"), ["start", "key"])
     free = F.bitwise_not(_masks(2))
     bits = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(64)))
     usable = F.filter(bits, lambda bit: bit.bitwiseAND(free) == bit)
@@ -153,14 +230,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(scratch.save(labels), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:
     """``df`` with one row of each near-duplicate group: the one with the smallest id.
 
+    With a ``similarity``, rows left whose shingles of ``wide_shingle`` words are that similar are one group too.
+
     Rows that share their id and text are copies as well: one of them stays. Rows without an id stay where no row
     with an id is in their group, one for each fingerprint.
     """
     found = near_duplicates(df, doc_id, text, shingle)
     best = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    if similarity is not None:
+        scratch = Scratch(df.sparkSession, "similar")
+        texts, ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scratch.save(best.select(F.col(doc_id).alias("doc_id")))
+        pairs = similar_pairs(texts, ids, scratch, similarity, wide_shingle)
+        worse = components(pairs, scratch).where("id <> component").select(F.col("id").alias("doc_id"))
+        best = scratch.save(ids.join(worse, "doc_id", "left_anti").select(F.col("doc_id").alias(doc_id)))
     kept = df.join(best, doc_id, "left_semi")
     # a repeated id can bring in other rows: one row for each id
     twice = df.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull()).select(doc_id)

@@ -63,3 +63,32 @@ def test_keep_one(spark):
     assert got.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 2, 8]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_by_similarity(spark):
+    """Texts with a few words changed go where their five-word shingles are 0.8 alike; less alike ones stay."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        base = [rnd.choice(words) for _ in range(300)]
+        rows.append((3 * i, " ".join(base)))
+        near, far = list(base), list(base)
+        near[rnd.randrange(300)] = near[rnd.randrange(300)] = "changed"
+        for _ in range(60):
+            far[rnd.randrange(300)] = "other"
+        rows += [(3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    df = spark.createDataFrame(rows + [(None, "none"), (999, None)], "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()}
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    assert all(len(sets[3 * i] & sets[3 * i + 1]) >= 0.8 * len(sets[3 * i] | sets[3 * i + 1]) for i in range(60))
+    assert {3 * i for i in range(60)} | {3 * i + 2 for i in range(60)} | {None, 999} <= got
+    assert sum(3 * i + 1 in got for i in range(60)) <= 6  # the views propose nine in ten
+
+
+def test_views_and_shingles():
+    known = {}
+    text = " ".join(f"word{i}" for i in range(50_000))
+    assert simhash.views(text, known) == simhash.views(text.upper(), {}) and len(known) == 50_000
+    assert simhash.views(None, known) == simhash.views(" ", known) == [0] * simhash.VIEWS
+    assert len(simhash.shingle_hashes("a b c d e f", 5)) == 2 and len(simhash.shingle_hashes("a", 5)) == 1
