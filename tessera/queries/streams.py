@@ -103,6 +103,14 @@ def str_failure_routes(spark, sf_dir):
     return S.routed(e).select("event_id", "route")
 
 
+@query("str_due_retries", "SELECT event_id, ts + to_seconds(CAST(least(300, 2 * pow(2, event_id % 9 - 1)) AS BIGINT)) AS due_at FROM events WHERE event_type = 'view' AND event_id % 9 BETWEEN 1 AND 4 AND ts + to_seconds(CAST(least(300, 2 * pow(2, event_id % 9 - 1)) AS BIGINT)) <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def str_due_retries(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY")
+    failed = e.where("event_id % 9 > 0").select("event_id", F.when(F.col("event_type") == "view", "transient").otherwise("invalid").alias("error_class"), (F.col("event_id") % 9).alias("attempts"), F.col("ts").alias("failed_at"))
+    return S.due_retries(failed, now).select("event_id", "due_at")
+
+
 @query("str_cancelled_jobs", "SELECT event_id FROM events WHERE user_id % 6 <> 0")
 def str_cancelled_jobs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"))

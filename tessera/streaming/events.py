@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.functions import money
 from tessera.shipping import ship
 
 
@@ -137,6 +138,15 @@ def routed(failures: DataFrame, most: int = 5) -> DataFrame:
     return failures.withColumn("route", F.when(F.col("error_class") == "budget", "paused").when(retryable & (F.col("attempts") < most), "retry").otherwise("dead"))
 
 
+def due_retries(failures: DataFrame, now: Column, base: float = 2.0, most: float = 300.0) -> DataFrame:
+    """Failures to try again whose back-off has passed, with the time at which each fell due.
+
+    Each trigger of a stream of failures, kept as a table, puts the due ones back on the job stream.
+    """
+    due = F.timestamp_micros((F.unix_micros("failed_at") + F.round(money.backoff_seconds(F.col("attempts"), base, most) * 1_000_000)).cast("long"))
+    return routed(failures).where("route = 'retry'").withColumn("due_at", due).where(F.col("due_at") <= now)
+
+
 def not_cancelled(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Tasks whose job was not cancelled; a stream's rows against a table."""
     return tasks.join(cancelled.select("job_id").distinct(), "job_id", "left_anti")
