@@ -4,7 +4,8 @@ The fixed patterns give the base spans. The bootstrap starts from tokens that a
 Every token with enough digits or an ``@`` is a mention; the words to its left and right, with the side, are its
 lexical patterns. Spark scores the graph of patterns and instances in turns: a pattern's score is the mean score of
 its distinct instances, an instance's the noisy-or of its patterns' (seeds stay at 1). Patterns that meet
-``MIN_SEEDS`` seeds and ``MIN_SCORE`` label the other tokens in their place with their commonest seed kind.
+``MIN_SEEDS`` seeds and ``MIN_SCORE`` label the other tokens in their place: with the kind that a token's shape suggests (digits as long as a card's, digits
+and dots, a plus sign, an ``@``), else with the pattern's commonest seed kind.
 
 Positions are code points, ends exclusive. Per kind, matches are the leftmost, non-overlapping ones; one that fails
 its test is dropped. Null texts count as empty. Rows with the same id and text get the same spans; repeated rows stay.
@@ -174,8 +175,11 @@ def discover(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     strong = scratch.save(patterns_of(mentions, scratch))
     fresh = mentions.where(F.col("seed").isNull())
     sides = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")))
-    hits = fresh.select("doc_id", "key", "start", "end", sides.alias("pattern")).join(strong, "pattern")
-    spans = hits.groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    like = lambda p: F.regexp_like("token", F.lit(p))
+    shape = F.when(F.contains(F.col("token"), F.lit("@")), 0).when(like(r"^[0-9]{12,19}$"), 2).when(like(r"^[0-9]+(\.[0-9]+)+$"), 1).when(like(r"^\+[0-9]"), 3)
+    hits = fresh.select("doc_id", "key", "start", "end", shape.alias("shape"), sides.alias("pattern")).join(strong, "pattern")
+    kind = F.coalesce(F.max("shape"), F.max_by("kind", F.struct("score", -F.col("kind"))))
+    spans = hits.groupBy("doc_id", "key", "start", "end").agg(kind.alias("kind"))
     return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("found"))
 
 
