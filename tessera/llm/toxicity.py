@@ -137,9 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> t
     return dict(zip(vocab, np.mean(weights, axis=0).tolist())), float(np.mean(biases))
 
 
-def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the probability that the whole text is toxic; a column named like ``out`` is replaced."""
-    keep = [c for c in df.columns if c != out]
+def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str = "text", out: str = "score", with_text: bool = True) -> DataFrame:
+    """``df``, with or without its text, with the probability that the whole text is toxic.
+
+    A column named like ``out`` is replaced.
+    """
+    keep = [c for c in df.columns if c not in (text, out)] + ([text] if with_text else [])
     if model is None:
         return df.select(*keep, F.lit(0.0).alias(out))
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -149,7 +152,8 @@ def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str
         weights, bias = shared.value
         known = weights.keys()
         for batch in batches:
-            found = [bias + sum(weights[w] for w in sorted(words(t.as_py()) & known)) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in found], pa.float64())], [*keep, out])
+            found = [bias + sum(weights[w] for w in sorted(words(t.as_py()) & known)) for t in batch.column(-1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in found], pa.float64())], [*keep, out])
 
-    return map_in_arrow(df.select(*keep), judge, schema)
+    judged = map_in_arrow(df.select(*keep) if with_text else df.select(*keep, text), judge, schema)
+    return judged.select(*[c for c in df.columns if c in keep], out)
