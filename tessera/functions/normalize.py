@@ -75,27 +75,27 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def _latin_fold() -> tuple[str, str, dict[str, str]]:
-    """Characters that decompose to ASCII: one-to-one strings for translate, and the longer replacements."""
-    old, new, longer = [], [], {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ð": "d", "þ": "th"}
+#: Letters that no decomposition turns into ASCII, or only into several letters.
+LONG_FOLDS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ð": "d", "þ": "th"}
+
+
+def _latin_fold() -> tuple[str, str]:
+    """Characters that decompose to one ASCII character, and those characters, as strings for translate."""
+    old, new = [], []
     for lo, hi in ((0xA0, 0x250), (0x1E00, 0x1F00), (0x1D400, 0x1D800), (0xFF01, 0xFF5F)):
         for ch in map(chr, range(lo, hi)):
             flat = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)).lower()
             if len(flat) == 1 and flat.isascii():
                 old.append(ch)
                 new.append(flat)
-            elif flat.isascii() and flat.isalnum():
-                longer[ch] = flat
-    return "".join(old), "".join(new), longer
+    return "".join(old), "".join(new)
 
 
 def ascii_fold(c: Column) -> Column:
     """Lower-cased, with accents, full-width and mathematical letters as plain letters; other scripts stay."""
-    old, new, longer = _latin_fold()
-    out = F.translate(F.lower(c), old, new)
-    for a, b in longer.items():
-        if len(a) == 1 and a.isalpha() and a == a.lower():
-            out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.translate(F.lower(c), *_latin_fold())
+    for a, b in LONG_FOLDS.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 

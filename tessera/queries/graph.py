@@ -32,7 +32,7 @@ def win_best_value(spark, sf_dir):
 def win_best_map(spark, sf_dir):
     rows = values(spark, sf_dir).withColumn("id", F.struct("value", "source_id"))
     best = ranking.best_map(rows)
-    return best.select("entity_id", F.size("best").alias("n_fields"), F.aggregate(F.map_values("best"), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
+    return best.select("entity_id", F.size("best").cast("long").alias("n_fields"), F.aggregate(F.map_values("best"), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
 @query("win_first_per_key", "SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
@@ -260,4 +260,5 @@ def json_task_tree(spark, sf_dir):
     """Three chains of thirty tasks; tasks whose parent is missing or themselves are roots."""
     k = F.col("c_custkey")
     parent = F.when((k > 3) & (k <= 90), k - 3).when(k % 2 == 0, k).when(k > 90, -k)
-    return graph.task_tree(table(spark, sf_dir, "customer").select(k.alias("id"), parent.alias("parent_id")))
+    tree = graph.task_tree(table(spark, sf_dir, "customer").select(k.alias("id"), parent.alias("parent_id")))
+    return tree.withColumn("level", F.col("level").cast("long"))

@@ -8,7 +8,7 @@ from tessera.operators import matching
 from tessera.registry import query, table
 
 
-@query("win_best_website", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'https://northstar' || c_custkey || '.co.in/' WHEN 1 THEN 'http://www.northstar.com/' END AS website, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN c_custkey < 100 THEN 1.0 ELSE 0.667 END ELSE 0.0 END AS score FROM customer")
+@query("win_best_website", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'https://northstar' || c_custkey || '.co.in/' WHEN 1 THEN 'http://www.northstar.com/' END AS website, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN c_custkey < 100 THEN 1.0 ELSE 0.667 END ELSE 0.0 END::DOUBLE AS score FROM customer")
 def win_best_website(spark, sf_dir):
     """Of an aggregator's page, a stranger's and (for some) the own site, the own one wins if it spells the name."""
     c = table(spark, sf_dir, "customer")

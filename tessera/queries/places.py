@@ -105,7 +105,7 @@ def src_top_categories(spark, sf_dir):
 
 @query("src_unpivot_observations", f"""
 WITH p AS ({PART})
-SELECT CAST(id AS VARCHAR) AS external_id, field, value, confidence FROM (
+SELECT CAST(id AS VARCHAR) AS external_id, field, value, CAST(confidence AS DOUBLE) AS confidence FROM (
   SELECT id, 'name' AS field, name AS value, 0.85 AS confidence FROM p UNION ALL SELECT id, 'phone', phone, 0.85 FROM p
   UNION ALL SELECT id, 'email', email, 0.85 FROM p UNION ALL SELECT id, 'website', website, 0.85 FROM p
   UNION ALL SELECT id, 'category', categories[1], 0.7 FROM p) WHERE value IS NOT NULL AND value <> ''""")

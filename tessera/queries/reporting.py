@@ -53,7 +53,7 @@ def agg_usage_rollup(spark, sf_dir):
 @query("agg_p95_null_safe", """
 WITH p AS (SELECT event_id % 977 AS duration_ms, CASE user_id % 4 WHEN 0 THEN 'restricted' WHEN 1 THEN 'error' ELSE 'ok' END AS access_status, event_id % 7 AS v, event_id % 9 = 0 AS dup FROM events)
 SELECT count(*) AS pages, count(*) FILTER (access_status = 'ok') AS ok, count(*) FILTER (access_status = 'restricted') AS restricted, count(*) FILTER (access_status = 'error') AS failed, count(*) FILTER (dup) AS deduplicated,
-  sum(v)::BIGINT AS values_found, CAST(round(avg(duration_ms)) AS BIGINT) AS avg_ms, quantile_cont(duration_ms, 0.95) FILTER (access_status = 'ok') AS p95_ms, (SELECT count(*) FROM events) AS cost_micros, 0 AS leads, NULL::DOUBLE AS cost_per_lead FROM p""")
+  sum(v)::BIGINT AS values_found, CAST(round(avg(duration_ms)) AS BIGINT) AS avg_ms, quantile_cont(duration_ms, 0.95) FILTER (access_status = 'ok') AS p95_ms, (SELECT count(*) FROM events) AS cost_micros, 0::BIGINT AS leads, NULL::DOUBLE AS cost_per_lead FROM p""")
 def agg_p95_null_safe(spark, sf_dir):
     """Crawl health; without a delivered lead the cost per lead is null."""
     e = table(spark, sf_dir, "events")
@@ -134,7 +134,7 @@ def agg_delivered_per_job(spark, sf_dir):
 def json_counters(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("counter"), (F.col("event_id") % 10).alias("n"))
     out = reports.counters(e, ["view", "signup", "click", "purchase"])
-    return out.select("job_id", F.size("counters").alias("n_counters"), F.element_at("counters", "view").alias("views"))
+    return out.select("job_id", F.size("counters").cast("long").alias("n_counters"), F.element_at("counters", "view").alias("views"))
 
 
 @query("agg_member_counts", "SELECT c_nationkey AS org_id, count(DISTINCT c_custkey) AS members, count(*) FILTER (c_mktsegment = 'BUILDING') AS owners FROM customer GROUP BY 1")
@@ -150,7 +150,7 @@ def agg_sources_present(spark, sf_dir):
 
 
 @query("agg_corpus_recall", """
-SELECT source AS field, count(*) FILTER (quality = toxic) AS found, count(*) FILTER (toxic IS NULL) AS missed, count(*) FILTER (quality <> toxic) AS wrong, 0 AS other, count(*) FILTER (quality = toxic) / count(*) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+SELECT source AS field, count(*) FILTER (quality = toxic) AS found, count(*) FILTER (toxic IS NULL) AS missed, count(*) FILTER (quality <> toxic) AS wrong, 0::BIGINT AS other, count(*) FILTER (quality = toxic) / count(*) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY source""")
 def agg_corpus_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     return reports.recall_by_field(rows.select(F.col("source").alias("field"), F.col("quality").alias("expected"), F.col("toxic").alias("extracted")))
@@ -312,7 +312,7 @@ def pln_cross_searches(spark, sf_dir):
     areas = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("id"), F.col("n_name").alias("area"), F.col("n_nationkey").alias("area_pos"), (F.col("n_nationkey") % 2 == 0).alias("is_city"))
     asked = specs.select("id", F.explode(F.array(F.struct(F.lit("x").alias("query"), F.lit(0).alias("query_pos")), F.struct(F.lit("y").alias("query"), F.lit(1).alias("query_pos")))).alias("q")).select("id", "q.*")
     local = areas.where("is_city").select("area", F.explode(F.array(F.struct(F.lit("l0").alias("locality"), F.lit(0).alias("locality_pos")), F.struct(F.lit("l1").alias("locality"), F.lit(1).alias("locality_pos")))).alias("l")).select("area", "l.*")
-    return research.searches(specs, areas, asked, local, F.lit(14))
+    return research.searches(specs, areas, asked, local, F.lit(14)).withColumn("at", F.col("at").cast("long"))
 
 
 @query("pln_funded_tasks", 'WITH s AS (SELECT n_regionkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS "at" FROM nation), f AS (SELECT * FROM s WHERE "at" <= (20 + id) * 8 // 10 // 5) SELECT id, "at", (20 + id) * 8 // 10 // count(*) OVER (PARTITION BY id) + CASE WHEN "at" <= ((20 + id) * 8 // 10) % count(*) OVER (PARTITION BY id) THEN 1 ELSE 0 END AS credit_budget FROM f')
@@ -321,7 +321,7 @@ def pln_funded_tasks(spark, sf_dir):
 
     rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("id"), F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("at"), F.col("n_name").alias("area"), F.lit("q").alias("query"), F.lit(None).cast("string").alias("locality"))
     specs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), (F.lit(20) + F.col("r_regionkey")).alias("max_credits"))
-    return research.funded_tasks(rows, specs, 0.8, 5).select("id", "at", "credit_budget")
+    return research.funded_tasks(rows, specs, 0.8, 5).select("id", F.col("at").cast("long").alias("at"), "credit_budget")
 
 
 @query("pln_charge", "SELECT o_orderkey AS task_id, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN (o_orderkey % 7) * 5 ELSE (o_orderkey % 7) * 2 END AS credits FROM orders")
