@@ -212,3 +212,16 @@ def retry_after(header: Column, now: Column, most: int = 3600) -> Column:
     at = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(F.trim(header).try_cast("double"), (F.unix_micros(at) - F.unix_micros(now)) / 1e6)
     return F.when(seconds.isNotNull(), F.least(F.greatest(seconds, F.lit(0.0)), F.lit(float(most))))
+
+
+def is_own_site(url: Column, listings: list[str]) -> Column:
+    """Whether a url is a business's own host: no listing's, no platform's, and no host below its registered name."""
+    host = N.host_of(url)
+    return F.coalesce((host == N.site_domain(url)) & ~N.is_platform_host(url) & ~N.registrable_stem(url).isin(listings), F.lit(False))
+
+
+def decode_entities(c: Column) -> Column:
+    """Common entities and percent escapes of addresses decoded, fancy dashes made plain."""
+    for entity, plain in (("&#64;", "@"), ("&commat;", "@"), ("&#46;", "."), ("&period;", "."), ("&nbsp;", " "), ("&amp;", "&"), ("%40", "@"), ("%2E", "."), ("%2e", "."), ("%20", " ")):
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return F.translate(c, "\u2010\u2011\u2012\u2013\u2014\u2015", "------")

@@ -123,3 +123,21 @@ def task_tree(tasks: DataFrame, depth: int = 32) -> DataFrame:
         done = up.where(F.col("up").isNull())  # apart from the join: a null key would meet in one task
         up = up.where(F.col("up").isNotNull()).join(far, "up", "left").select("id", F.col("up2").alias("up"), F.coalesce("root2", "root_id").alias("root_id"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")).unionByName(done)
     return up.select("id", "root_id", "level")
+
+
+def bootstrap_org(requests: DataFrame, signup_credits: int) -> dict[str, DataFrame]:
+    """Rows of each table that a new organisation needs, for requests (user_id, org_name): ids are hashes of both."""
+    rows = requests.withColumn("org_id", F.sha2(F.concat_ws("\x1f", "user_id", "org_name"), 256))
+    rows = rows.withColumn("workspace_id", F.sha2(F.concat("org_id", F.lit("/workspace")), 256)).withColumn("slug", N.slugify(F.col("org_name")))
+    return {
+        "organizations": rows.select(F.col("org_id").alias("id"), F.col("org_name").alias("name"), "slug"),
+        "workspaces": rows.select(F.col("workspace_id").alias("id"), "org_id", F.lit("Default").alias("name")),
+        "memberships": rows.select("org_id", "user_id", F.lit("owner").alias("role")),
+        "audit": rows.select("org_id", F.col("user_id").alias("actor"), F.lit("org.created").alias("action"), F.col("org_id").alias("target")),
+        "credit_ledger": rows.select("org_id", F.lit(signup_credits).cast("long").alias("delta"), F.lit("grant").alias("reason")),
+    }
+
+
+def audit_entries(changes: DataFrame, actor: Column, action: str, target: Column, meta: Column) -> DataFrame:
+    """Audit rows of a set of changes: who did what to what, with details as JSON; appended, never updated."""
+    return changes.select(actor.alias("actor"), F.lit(action).alias("action"), target.cast("string").alias("target"), F.to_json(meta).alias("meta"))

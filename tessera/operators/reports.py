@@ -159,3 +159,14 @@ def sources_of(values: DataFrame, key: str) -> DataFrame:
 
 def members_by_org(members: DataFrame) -> DataFrame:
     return members.groupBy("org_id").agg(F.countDistinct("user_id").alias("members"), F.count_if(F.col("role") == "owner").alias("owners"))
+
+
+def due_jobs(jobs: DataFrame, settled: DataFrame, states: list[str], limit: int) -> DataFrame:
+    """(at, job_id, org_id): finished jobs that are not settled yet, the oldest first, up to a batch's limit."""
+    open_ = jobs.where(F.col("status").isin(states)).join(settled.select("job_id").distinct(), "job_id", "left_anti")
+    return open_.orderBy("created_at", "job_id").limit(limit).select("job_id", "org_id", "created_at")
+
+
+def workspace_members(memberships: DataFrame, users: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Members with their addresses, and names where they gave any."""
+    return memberships.join(users, "user_id").join(profiles, "user_id", "left")

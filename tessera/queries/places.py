@@ -266,3 +266,27 @@ def nrm_find_area(spark, sf_dir):
     names = n.select(F.concat("n_name", F.lit(" District")).alias("name"), F.lit("XX").alias("country"))
     found = places.find_areas(names, city.unionByName(state))
     return found.select(F.regexp_replace("name", " District$", "").alias("name"), F.regexp_extract("slug", r"c-(\d+)", 1).cast("int").alias("n_nationkey"))
+
+
+@query("src_json_round_trip", f"SELECT CAST(id AS VARCHAR) AS external_id, name, lat, phone FROM ({PART})")
+def src_json_round_trip(spark, sf_dir):
+    rows = part_places(spark, sf_dir).withColumn("external_id", F.col("id").cast("string"))
+    return places.from_json(places.as_json(rows)).select("external_id", "name", "lat", "phone")
+
+
+@query("src_record_by_id", f"SELECT id, name FROM ({PART}) WHERE id = 77")
+def src_record_by_id(spark, sf_dir):
+    return places.by_id(part_places(spark, sf_dir).withColumn("external_id", F.col("id").cast("string")), "part", "77").select("id", "name")
+
+
+@query("flt_own_site", f"SELECT page_id, len(string_split({BARE}, '.')) = 2 AND {BARE} <> 'example.org' AS own FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://own' || page_id || '.com/' WHEN 1 THEN 'https://www.example.org' ELSE url END AS url FROM pages)")
+def flt_own_site(spark, sf_dir):
+    k = F.col("page_id")
+    url = F.when(k % 3 == 0, F.concat(F.lit("http://own"), k, F.lit(".com/"))).when(k % 3 == 1, "https://www.example.org").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", TX.is_own_site(url, ["example"]).alias("own"))
+
+
+@query("nrm_decode_entities", "SELECT p_partkey, 'a' || p_partkey || '@x.in, 1-2 & 3' AS plain FROM part")
+def nrm_decode_entities(spark, sf_dir):
+    raw = F.concat(F.lit("a"), F.col("p_partkey"), F.lit("&#64;x%2Ein, 1\u20132 &amp; 3"))
+    return table(spark, sf_dir, "part").select("p_partkey", TX.decode_entities(raw).alias("plain"))

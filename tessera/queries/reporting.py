@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import money
 from tessera.functions import text as TX
-from tessera.operators import export, guards, ranking, reports
+from tessera.operators import export, graph, guards, ranking, reports
 from tessera.plans import research
 from tessera.registry import query, table
 
@@ -333,6 +333,31 @@ def pln_charge(spark, sf_dir):
     return research.charge(done, rates).select("task_id", "credits")
 
 
+@query("agg_due_jobs", "SELECT o_orderkey AS job_id, o_custkey AS org_id FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0 ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def agg_due_jobs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("org_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return reports.due_jobs(o, o.where("job_id % 3 = 0"), ["F", "P"], 50).select("job_id", "org_id")
+
+
+@query("jn_workspace_members", "SELECT c_custkey AS user_id, c_name AS email, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS name FROM customer")
+def jn_workspace_members(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("user_id", F.col("c_custkey"))
+    return reports.workspace_members(c.select("user_id"), c.select("user_id", F.col("c_name").alias("email")), c.where("user_id % 2 = 0").select("user_id", F.col("c_mktsegment").alias("name")))
+
+
+@query("ups_bootstrap_org", "SELECT n_name AS name, lower(replace(n_name, '_', '-')) AS slug, 'owner' AS role, 100 AS delta FROM nation")
+def ups_bootstrap_org(spark, sf_dir):
+    rows = graph.bootstrap_org(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("user_id"), F.col("n_name").alias("org_name")), 100)
+    joined = rows["organizations"].join(rows["memberships"].withColumnRenamed("org_id", "id"), "id").join(rows["credit_ledger"].withColumnRenamed("org_id", "id"), "id")
+    return joined.select("name", "slug", "role", F.col("delta").cast("int").alias("delta"))
+
+
+@query("snk_audit_append", "SELECT CAST(o_custkey AS VARCHAR) AS actor, 'lead.export' AS action, CAST(o_orderkey AS VARCHAR) AS target, '{\"status\":\"' || o_orderstatus || '\"}' AS meta FROM orders WHERE o_orderkey % 100 = 1")
+def snk_audit_append(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1")
+    return graph.audit_entries(o, F.col("o_custkey").cast("string"), "lead.export", F.col("o_orderkey"), F.struct(F.col("o_orderstatus").alias("status")))
+
+
 @query("flagship_best_value_reach", """
 WITH v AS (SELECT l_orderkey, l_linenumber % 4 AS field, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 4 ORDER BY l_discount DESC, l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem),
 c AS (SELECT l_orderkey, bool_or(field = 0) AS f0, bool_or(field = 1) AS f1 FROM v WHERE rn = 1 GROUP BY 1)

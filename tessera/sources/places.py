@@ -177,6 +177,26 @@ def search(
     return df
 
 
+PLACE_SCHEMA = """source string, external_id string, name string, category string, categories array<string>, lat double, lon double,
+ phone string, website string, email string, socials array<string>, street string, city string, postcode string, region string, country string,
+ confidence double, operating_status string"""
+
+
+def by_id(index: DataFrame, source: str, external_id: str) -> DataFrame:
+    return index.where((F.col("source") == source) & (F.col("external_id") == external_id))
+
+
+def as_json(places: DataFrame) -> DataFrame:
+    """(source, external_id, raw): each place as one JSON record."""
+    present = [c for c in PLACE_COLUMNS if c in places.columns]
+    return places.select("source", "external_id", F.to_json(F.struct(*present)).alias("raw"))
+
+
+def from_json(records: DataFrame) -> DataFrame:
+    """Places of JSON records by the declared schema; what does not fit a column's type is null."""
+    return records.select(F.from_json("raw", PLACE_SCHEMA, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
+
+
 def health(index: DataFrame) -> DataFrame:
     """State of an index: missing rows make it empty."""
     return index.agg(F.count("*").alias("places"), F.max("updated_at").alias("data_until")).withColumn("state", F.when(F.col("places") == 0, "empty").otherwise("ok"))
