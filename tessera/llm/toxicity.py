@@ -10,8 +10,8 @@ where the bracket, the negatives' risk corrected for the positives among the unl
 it would, the step undoes it instead. The classifiers differ in the part of the unlabelled set that they see, and
 their scores' logits are averaged.
 
-The fit sees at most about ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` other documents, chosen by a hash of
-doc_id, and ``MAX_WORDS`` words. Everything else covers all rows.
+The fit sees at most about ``MAX_POSITIVE`` confirmed documents, chosen by a hash of doc_id, one row for each id, and
+``MAX_UNLABELLED`` other rows, chosen by a seeded draw, and ``MAX_WORDS`` words. Everything else covers all rows.
 
 Null and empty texts have no words and get the score of the bias. Labels that are null count as unlabelled. Without a
 confirmed toxic document every score is 0. Repeated rows are each scored.
@@ -56,7 +56,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _share(n: int, most: int) -> Column:
-    """True for a hash-chosen share of the rows that leaves about ``most`` of ``n``."""
+    """True for a hash-chosen share of the ids that leaves about ``most`` of ``n``."""
     return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, most / max(n, 1)))
 
 
@@ -68,8 +68,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tup
         return None, 0.0, 0
     positives = known.where(F.col("toxic") == 1).where(_share(n_toxic, MAX_POSITIVE)).select("doc_id")
     train = docs.select("doc_id", "text").where(~held_out())
-    unlabelled = train.where(_share(train.count(), MAX_UNLABELLED)).select("text", F.lit(False).alias("positive"))
-    sample = train.join(F.broadcast(positives), "doc_id", "left_semi").select("text", F.lit(True).alias("positive")).unionByName(unlabelled)
+    # a draw for each row: an id that repeats without end must not carry all its rows into the sample
+    unlabelled = train.where(F.rand(17) < min(1.0, MAX_UNLABELLED / max(train.count(), 1))).select("text", F.lit(False).alias("positive"))
+    confirmed = train.join(F.broadcast(positives), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sample = confirmed.select("text", F.lit(True).alias("positive")).unionByName(unlabelled)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
