@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
 from tessera.functions import text as TX
-from tessera.operators import extract
+from tessera.operators import extract, ranking
 from tessera.registry import query, table
 from tessera.streaming import events as S
 
 
+QUERY_BLOCK = 10_000
+
+
 def scratch(spark) -> str:
     """A new folder in the cluster's shared scratch space; a local master may go without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -188,7 +191,7 @@ def nrm_social_profiles(spark, sf_dir):
 
 @query("x_confidence", "SELECT l_orderkey, round(least(CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 0.5 ELSE 1 END, 1 - exp(sum(ln(1 - l_discount * 0.9)))), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
 def x_confidence(spark, sf_dir):
-    """Beyond the reference's code: joint confidence of independent sources, capped on conflict."""
+    """An extension: joint confidence of independent sources, capped on conflict."""
     li = table(spark, sf_dir, "lineitem")
     joint = 1 - F.exp(F.sum(F.log(1 - F.col("l_discount") * 0.9)))
     cap = F.when(F.countDistinct("l_returnflag") > 1, 0.5).otherwise(1.0)
@@ -197,7 +200,7 @@ def x_confidence(spark, sf_dir):
 
 @query("x_score", "SELECT c_custkey, (CASE WHEN c_acctbal > 1000 THEN 40 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 35 ELSE 0 END + CASE WHEN c_nationkey < 10 THEN 25 ELSE 0 END)::BIGINT AS score FROM customer")
 def x_score(spark, sf_dir):
-    """Beyond the reference's code: points of the criteria that a lead meets, with the breakdown summed."""
+    """An extension: points of the criteria that a lead meets, with the breakdown summed."""
     checks = F.array(F.when(F.col("c_acctbal") > 1000, 40).otherwise(0), F.when(F.col("c_mktsegment") == "BUILDING", 35).otherwise(0), F.when(F.col("c_nationkey") < 10, 25).otherwise(0))
     return table(spark, sf_dir, "customer").select("c_custkey", F.aggregate(checks, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
 
@@ -207,21 +210,28 @@ WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT q.vec_id AS query_id, e.vec_id AS match_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE q.vec_id <> e.vec_id)
 SELECT query_id, match_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) <= 5""")
 def x_cosine_topk(spark, sf_dir):
-    """Beyond the reference's code: exact top five of a stated query set against all vectors, best-first heaps per task."""
+    """An extension: exact top five of a stated query set against all vectors, best-first heaps per task."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
     score = F.round(dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("norm")), 6)
-    pairs = unit.join(F.broadcast(asked) if asked.count() <= 10_000 else asked, F.col("query_id") != F.col("vec_id"))
-    from tessera.operators import ranking
-
-    return ranking.first_k(pairs.select("query_id", F.col("vec_id").alias("match_id"), score.alias("score")), ["query_id"], [F.desc("score"), F.asc("match_id")], 5)
+    # the query set goes to all tasks in blocks of bounded size; each block's pairs are cut to five a query at once
+    n = -(-asked.count() // QUERY_BLOCK) or 1
+    best = lambda df: ranking.first_k(df, ["query_id"], [F.desc("score"), F.asc("match_id")], 5)
+    parts = []
+    for i in range(n):
+        block = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+        parts.append(best(unit.join(block, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("match_id"), score.alias("score"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("x_blocked_pairs", "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND CAST(round(a.c_acctbal) AS BIGINT) // 50 = CAST(round(b.c_acctbal) AS BIGINT) // 50 AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 2")
 def x_blocked_pairs(spark, sf_dir):
-    """Beyond the reference's code: candidate pairs within a narrow block, decided by edit distance."""
+    """An extension: candidate pairs within a narrow block, decided by edit distance."""
     c = table(spark, sf_dir, "customer")
     rows = c.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.expr("cast(round(c_acctbal) AS bigint) div 50").alias("band"))
     other = rows.select(F.col("c_custkey").alias("id_b"), F.col("c_name").alias("name_b"), "c_nationkey", "c_mktsegment", "band")
