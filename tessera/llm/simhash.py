@@ -45,7 +45,8 @@ BOXES = 5
 LARGE = 64
 BLOCK = 32_768
 VIEWS = 8
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
+BROADCAST_IDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
 
@@ -112,10 +113,15 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 0) - 2**63 for i in range(n)})
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if a count shows at most BROADCAST_IDS of them (8 bytes each), else shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def similar_pairs(df: DataFrame, ids: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
     """(u, v), u > v: pairs of rows (doc_id, text) among ``ids`` whose word shingles reach the Jaccard similarity.
 
-    Texts are read twice and never shuffled whole, unless the texts of proposed pairs are too many to broadcast ids.
+    Texts are read twice; they are shuffled only if proposed pairs name more than BROADCAST_IDS texts.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,7 @@ def similar_pairs(df: DataFrame, ids: DataFrame, scratch: Scratch, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "hashes"])
 
     named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = scratch.save(map_in_arrow(df.select("doc_id", "text").join(named, "doc_id", "left_semi"), cut, "id long, hashes array<long>"))
+    sets = scratch.save(map_in_arrow(df.select("doc_id", "text").join(_few(named), "doc_id", "left_semi"), cut, "id long, hashes array<long>"))
     a, b = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return proposed.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
@@ -240,13 +246,14 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """
     found = near_duplicates(df, doc_id, text, shingle)
     best = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    scratch = Scratch(df.sparkSession, "kept")
+    best = scratch.save(best)
     if similarity is not None:
-        scratch = Scratch(df.sparkSession, "similar")
-        texts, ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scratch.save(best.select(F.col(doc_id).alias("doc_id")))
+        texts, ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), best.select(F.col(doc_id).alias("doc_id"))
         pairs = similar_pairs(texts, ids, scratch, similarity, wide_shingle)
         worse = components(pairs, scratch).where("id <> component").select(F.col("id").alias("doc_id"))
         best = scratch.save(ids.join(worse, "doc_id", "left_anti").select(F.col("doc_id").alias(doc_id)))
-    kept = df.join(best, doc_id, "left_semi")
+    kept = df.join(_few(best), doc_id, "left_semi")
     # a repeated id can bring in other rows: one row for each id
     twice = df.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull()).select(doc_id)
     if twice.isEmpty():
