@@ -15,10 +15,9 @@ both. Every member is filed under its 39 or 40 strings within one bit, and all m
 ``components`` joins links to groups by alternating large-star and small-star passes.
 
 Fingerprints of short shingles drift apart by more than 2 bits when a few words of a text change. ``keep_one`` with a
-similarity therefore looks once more at what the groups leave: ``VIEWS`` fingerprints of each text's distinct words,
-with a hash of their own each, propose pairs within the same radius and by the same filter; a pair counts if the
-Jaccard similarity of the two texts' word shingles, taken over all of them, reaches the bound. Here the members of a
-large bucket are proposed as pairs with its smallest member only.
+similarity therefore also links texts by the Jaccard similarity of their word shingles. Pairs come from a prefix
+filter: with one order of all hashes, two sets of similarity t share one of their first n - ceil(t * n) + 1 hashes.
+The order puts hashes that are frequent in a sample last. No pair at the bound is lost to the groups.
 
 Null texts count as empty. Texts without words have the fingerprint 0 and link like any other. Copies share their
 fingerprint's row, whatever their number. Rows without a doc_id get the group of their fingerprint, and null where no
@@ -27,6 +26,7 @@ row with an id has it. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +46,8 @@ LARGE = 64
 BLOCK = 32_768
 VIEWS = 8
 KNOWN_WORDS = 100_000
+SAMPLE = 16
+FREQUENT = 100_000
 BROADCAST_IDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
@@ -104,13 +106,33 @@ def views(text: str | None, known: dict[bytes, bytes]) -> list[int]:
     return np.packbits(2 * counts > len(words), bitorder="little").view(np.int64).tolist()
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """Distinct 64-bit hashes of a text's word shingles (the whole text if it has fewer words)."""
-    import xxhash
+class _Words(dict):
+    """64-bit hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word, 0)
+        return value
 
+
+def _hash_set(text: str | None, shingle: int, known: _Words) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1)
-    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 0) - 2**63 for i in range(n)})
+    width = min(shingle, len(words))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for k in range(width):  # each step is a bijection of the word's hash
+        mixed = (mixed ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Distinct 64-bit hashes of a text's word shingles (the whole text if it has fewer words), in ascending order."""
+    return _hash_set(text, shingle, _Words()).tolist()
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -118,41 +140,98 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def similar_pairs(df: DataFrame, ids: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
-    """(u, v), u > v: pairs of rows (doc_id, text) among ``ids`` whose word shingles reach the Jaccard similarity.
-
-    Texts are read twice; they are shuffled only if proposed pairs name more than BROADCAST_IDS texts.
-    """
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([views(t.as_py(), known) for t in batch.column(1)], pa.list_(pa.int64()))], ["rep", "fps"])
-
-    seen = scratch.save(map_in_arrow(df.select("doc_id", "text").where(F.col("doc_id").isNotNull()), look, "rep long, fps array<long>"))
-    seen = seen.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
-    # one class for each view and fingerprint; the other members of a class are proposed with its smallest
-    each = seen.select("rep", F.posexplode("fps").alias("view", "fp"))
-    least = each.groupBy("view", "fp").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
-    same = each.join(least.where("n > 1"), ["view", "fp"]).where("rep > v").select(F.col("rep").alias("u"), "v")
-    classes = least.select("view", "fp", F.col("v").alias("rep"))
-    filed = classes.select("view", "fp", "rep", F.explode(F.array(*(F.lit(i) for i in range(BOXES)))).alias("start")).withColumn("key", F.col("fp").bitwiseAND(_masks(2)))
-    sizes = filed.groupBy("view", "start", "key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    filed = scratch.save(filed.join(sizes, ["view", "start", "key"]))
-    small = filed.where(F.col("n") <= LARGE).select("view", "start", "key", "fp", "rep")
-    near = _small_buckets(small, ["view", "start", "key"])
-    large = filed.where((F.col("n") > LARGE) & (F.col("rep") > F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    proposed = scratch.save(same.unionByName(near).unionByName(large).distinct())
+def _hashed(df: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of rows (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hash_set(t.as_py(), shingle, known) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "hashes"])
+
+    return map_in_arrow(df.select("doc_id", "text"), cut, "id long, hashes array<long>")
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many of a set's n hashes, first in any order common to all sets, meet those of every set that is as similar."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
+
+def _prefixes(df: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(key, id, n, pos): the first hashes of each text of (doc_id, text), frequent ones last, with its number of hashes.
+
+    Which hashes count as frequent comes from a sample and changes the number of proposals, never the pairs found.
+    """
+    sample = _hashed(df.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle)
+    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    often = sorted((r["h"], r["n"]) for r in often)
+    names, counts = np.array([h for h, _ in often], np.int64), np.array([n for _, n in often], np.int64)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            firsts, sizes = [], []
+            for t in batch.column(1):
+                hashes = _hash_set(t.as_py(), shingle, known)
+                sizes.append(len(hashes))
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+                    hashes = hashes[np.argsort(np.where(names[at] == hashes, counts[at], 0), kind="stable")]
+                firsts.append(hashes[: prefix_size(len(hashes), similarity)])
+            if firsts:
+                each = [len(x) for x in firsts]
+                ids, n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each), np.repeat(np.array(sizes, np.int32), each)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(ids), pa.array(n), pa.array(pos)], ["key", "id", "n", "pos"])
+
+    return map_in_arrow(df.select("doc_id", "text"), file, "key long, id long, n int, pos int")
+
+
+def _verified(df: DataFrame, proposed: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (u, v) of ``proposed`` whose texts' shingles reach the Jaccard similarity."""
     named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = scratch.save(map_in_arrow(df.select("doc_id", "text").join(_few(named), "doc_id", "left_semi"), cut, "id long, hashes array<long>"))
+    sets = scratch.save(_hashed(df.select("doc_id", "text").join(_few(named), "doc_id", "left_semi"), shingle))
     a, b = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return proposed.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return scratch.save(proposed.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
+
+
+def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """(id, component) of the groups that ``linked`` (u, v) and all pairs of texts (doc_id, text) as similar make.
+
+    A pair at the similarity shares a key of both prefixes. First every text meets the smallest one under each of its
+    keys; then, under keys that still hold several groups, all texts of different groups meet whose sizes and places
+    of the key allow the similarity. Pairs left out are within a group already, so no link is lost to the groups.
+    """
+    texts = df.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    copies = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    texts = texts.join(_few(scratch.save(copies.select("doc_id").distinct())), "doc_id", "left_semi")
+
+    filed = scratch.save(_prefixes(texts, similarity, shingle))
+    hubs = filed.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n")).alias("hub")).where("rows > 1")
+    shared = scratch.save(filed.join(hubs.select("key", "hub"), "key"))
+    scratch.drop(filed)
+    alike = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        groups = scratch.save(components(links, scratch))
+        named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+        return groups, named
+
+    groups, rows = labelled(linked)
+    stars = rows.where((F.col("id") > F.col("hub.id")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("id").alias("u"), F.col("hub.id").alias("v"), "group").distinct()
+    stars = stars.join(groups.select(F.col("id").alias("v"), "component"), "v", "left").where(F.col("group") != F.coalesce("component", "v")).select("u", "v")
+    linked = linked.select("u", "v").unionByName(_verified(texts, scratch.save(stars), scratch, similarity, shingle))
+
+    _, rows = labelled(linked)
+    rows = scratch.save(rows.select("key", "id", "n", "pos", "group"))
+    several = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
+    rows = scratch.save(rows.join(several, "key", "left_semi"))
+    other = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"))
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # that two sets can share from their first common hash on
+    fit = alike(F.col("n"), F.col("n2")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6)
+    met = rows.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("group") != F.col("group2")) & fit)
+    met = scratch.save(met.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct())
+    return components(linked.unionByName(_verified(texts, met, scratch, similarity, shingle)), scratch)
 
 
 def _signed(x: int) -> int:
@@ -250,8 +329,9 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     best = scratch.save(best)
     if similarity is not None:
         texts, ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), best.select(F.col(doc_id).alias("doc_id"))
-        pairs = similar_pairs(texts, ids, scratch, similarity, wide_shingle)
-        worse = components(pairs, scratch).where("id <> component").select(F.col("id").alias("doc_id"))
+        none = found.where("false").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+        groups = similar_groups(texts.join(_few(ids), "doc_id", "left_semi"), none, scratch, similarity, wide_shingle)
+        worse = groups.where("id <> component").select(F.col("id").alias("doc_id"))
         best = scratch.save(ids.join(worse, "doc_id", "left_anti").select(F.col("doc_id").alias(doc_id)))
     kept = df.join(_few(best), doc_id, "left_semi")
     # a repeated id can bring in other rows: one row for each id

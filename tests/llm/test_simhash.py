@@ -92,3 +92,20 @@ def test_views_and_shingles():
     assert simhash.views(text, known) == simhash.views(text.upper(), {}) and len(known) == 50_000
     assert simhash.views(None, known) == simhash.views(" ", known) == [0] * simhash.VIEWS
     assert len(simhash.shingle_hashes("a b c d e f", 5)) == 2 and len(simhash.shingle_hashes("a", 5)) == 1
+
+
+def test_every_alike_pair_is_proposed(spark):
+    """Extended and shortened texts and those with one passage replaced go, whatever fingerprints say."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        base, at = prose(200), rnd.randrange(180)
+        rows += enumerate(map(" ".join, (base, base + prose(20), base[:170], base[:at] + prose(14) + base[at + 14 :], base[:100] + prose(100))), 5 * i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()}
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(alike(5 * i, 5 * i + k) == (k < 4) for i in range(40) for k in range(1, 5))
+    assert got == {5 * i for i in range(40)} | {5 * i + 4 for i in range(40)}
