@@ -109,3 +109,21 @@ def test_every_alike_pair_is_proposed(spark):
     alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert all(alike(5 * i, 5 * i + k) == (k < 4) for i in range(40) for k in range(1, 5))
     assert got == {5 * i for i in range(40)} | {5 * i + 4 for i in range(40)}
+
+
+def test_members_unlike_the_smallest_still_meet(spark):
+    """Texts of one word set share all views; pairs among them count even if the smallest id is unlike each of them.
+
+    So do pairs under one hot key: a common opening of 100 texts whose ends are alike in twos only.
+    """
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(150)]
+    mixed = rnd.sample(words, 150)
+    rows = [(0, " ".join(words)), (1, " ".join(mixed)), (2, " ".join(mixed[1:] + mixed[:1]))]
+    opening = " ".join(f"same{i}" for i in range(60))
+    for i in range(50):
+        ending = [f"e{i}x{k}" for k in range(60)]
+        rows += [(10 + 2 * i, f"{opening} {' '.join(ending)}"), (11 + 2 * i, f"{opening} {' '.join(ending[:-4])}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()}
+    assert got == {0, 1} | {10 + 2 * i for i in range(50)}
