@@ -48,6 +48,8 @@ VIEWS = 8
 KNOWN_WORDS = 100_000
 SAMPLE = 16
 FREQUENT = 100_000
+TEXTS = 128
+SKETCH = 1024
 BROADCAST_IDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
@@ -141,14 +143,16 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _hashed(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes) of rows (doc_id, text)."""
+    """(id, n, bits, hashes) of rows (doc_id, text); bits has the parity of the hashes in each of SKETCH classes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hash_set(t.as_py(), shingle, known) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "hashes"])
+            sets = [_hash_set(t.as_py(), shingle, known) for t in batch.column(1)]
+            bits = [np.packbits((np.bincount(x & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "bits", "hashes"])
 
-    return map_in_arrow(df.select("doc_id", "text"), cut, "id long, hashes array<long>")
+    return map_in_arrow(df.select("doc_id", "text"), cut, "id long, n int, bits array<long>, hashes array<long>", TEXTS)
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -183,16 +187,24 @@ def _prefixes(df: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(ids), pa.array(n), pa.array(pos)], ["key", "id", "n", "pos"])
 
-    return map_in_arrow(df.select("doc_id", "text"), file, "key long, id long, n int, pos int")
+    return map_in_arrow(df.select("doc_id", "text"), file, "key long, id long, n int, pos int", TEXTS)
 
 
 def _verified(df: DataFrame, proposed: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
     """The pairs (u, v) of ``proposed`` whose texts' shingles reach the Jaccard similarity."""
     named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     sets = scratch.save(_hashed(df.select("doc_id", "text").join(_few(named), "doc_id", "left_semi"), shingle))
-    a, b = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return scratch.save(proposed.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
+    side = lambda t, at: t.select(F.col("id").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in t.columns if c != "id"))
+    # two sets differ in at least as many hashes as their parities: pairs too far apart need no comparison of all hashes
+    slim = sets.select("id", "n", "bits")
+    apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    close = apart * (1 + similarity) <= (1 - similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6
+    proposed = scratch.save(proposed.join(side(slim, "u"), "u").join(side(slim, "v"), "v").where(close).select("u", "v").distinct())
+    named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    whole = sets.select("id", "hashes").join(_few(named), "id", "left_semi")
+    both = F.size(F.array_intersect("hashes_u", "hashes_v"))
+    joined = proposed.join(side(whole, "u"), "u").join(side(whole, "v"), "v")
+    return scratch.save(joined.where(both >= similarity * (F.size("hashes_u") + F.size("hashes_v") - both) - 1e-9).select("u", "v"))
 
 
 def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
@@ -207,25 +219,26 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
     texts = texts.join(_few(scratch.save(copies.select("doc_id").distinct())), "doc_id", "left_semi")
 
     filed = scratch.save(_prefixes(texts, similarity, shingle))
-    hubs = filed.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n")).alias("hub")).where("rows > 1")
-    shared = scratch.save(filed.join(hubs.select("key", "hub"), "key"))
+    hubs = filed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
+    shared = scratch.save(filed.join(hubs, "key"))
     scratch.drop(filed)
     alike = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
         groups = scratch.save(components(links, scratch))
-        named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-        return groups, named
-
-    groups, rows = labelled(linked)
-    stars = rows.where((F.col("id") > F.col("hub.id")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("id").alias("u"), F.col("hub.id").alias("v"), "group").distinct()
-    stars = stars.join(groups.select(F.col("id").alias("v"), "component"), "v", "left").where(F.col("group") != F.coalesce("component", "v")).select("u", "v")
-    linked = linked.select("u", "v").unionByName(_verified(texts, scratch.save(stars), scratch, similarity, shingle))
-
-    _, rows = labelled(linked)
-    rows = scratch.save(rows.select("key", "id", "n", "pos", "group"))
-    several = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
-    rows = scratch.save(rows.join(several, "key", "left_semi"))
+        for c, out in (("id", "group"), ("hub", "hub_group")):
+            rows = rows.join(_few(groups.select(F.col("id").alias(c), F.col("component").alias(out))), c, "left").withColumn(out, F.coalesce(out, c))
+        return rows
+
+    stars = labelled(shared, linked).where(F.col("group") != F.col("hub_group")).select(F.col("id").alias("u"), F.col("hub").alias("v"), "n").distinct()
+    sizes = shared.where("id = hub").select(F.col("id").alias("v"), F.col("n").alias("m")).distinct()
+    stars = scratch.save(stars.join(sizes, "v").where(alike(F.col("n"), F.col("m"))).select("u", "v").distinct())
+    linked = linked.select("u", "v").unionByName(_verified(texts, stars, scratch, similarity, shingle))
+
+    rows = labelled(shared, linked)
+    several = scratch.save(rows.where(F.col("group") != F.col("hub_group")).select("key").distinct())
+    rows = scratch.save(rows.join(_few(several), "key", "left_semi").select("key", "id", "n", "pos", "group"))
+    scratch.drop(shared)
     other = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"))
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # that two sets can share from their first common hash on
     fit = alike(F.col("n"), F.col("n2")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6)
@@ -318,20 +331,24 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:
     """``df`` with one row of each near-duplicate group: the one with the smallest id.
 
-    With a ``similarity``, rows left whose shingles of ``wide_shingle`` words are that similar are one group too.
+    With a ``similarity``, groups are those of both links: fingerprints, and shingles of ``wide_shingle`` words that are
+    that similar, over all rows. Rows that share their id count as one document there.
 
     Rows that share their id and text are copies as well: one of them stays. Rows without an id stay where no row
     with an id is in their group, one for each fingerprint.
     """
     found = near_duplicates(df, doc_id, text, shingle)
-    best = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     scratch = Scratch(df.sparkSession, "kept")
-    best = scratch.save(best)
-    if similarity is not None:
-        texts, ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), best.select(F.col(doc_id).alias("doc_id"))
-        none = found.where("false").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-        groups = similar_groups(texts.join(_few(ids), "doc_id", "left_semi"), none, scratch, similarity, wide_shingle)
+    if similarity is None:
+        best = scratch.save(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct())
+    else:
+        found = scratch.save(found)
+        texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        # of several rows with one id, one that is the smallest of its group keeps the id
+        linked = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("u")).agg(F.max("component_id").alias("v")).where("u <> v")
+        groups = similar_groups(texts, scratch.save(linked), scratch, similarity, wide_shingle)
         worse = groups.where("id <> component").select(F.col("id").alias("doc_id"))
+        ids = found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
         best = scratch.save(ids.join(worse, "doc_id", "left_anti").select(F.col("doc_id").alias(doc_id)))
     kept = df.join(_few(best), doc_id, "left_semi")
     # a repeated id can bring in other rows: one row for each id

@@ -127,3 +127,23 @@ def test_members_unlike_the_smallest_still_meet(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()}
     assert got == {0, 1} | {10 + 2 * i for i in range(50)}
+
+
+def test_links_over_the_whole_input(spark):
+    """B goes for A by fingerprint, C is alike B but not A: one group, of which A stays."""
+    rnd = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    sets = lambda t: set(simhash.shingle_hashes(t, 5))
+    alike = lambda a, b: len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b))
+    found = []
+    while len(found) < 3:
+        a = [rnd.choice(words) for _ in range(60)]
+        b = a[:-2] + [rnd.choice(words) for _ in range(2)]
+        c = [rnd.choice(words) for _ in range(6)] + b[6:]
+        a, b, c = map(" ".join, (a, b, c))
+        near = lambda x, y: bin((simhash.fingerprint(x) ^ simhash.fingerprint(y)) % 2**64).count("1") <= simhash.RADIUS
+        if near(a, b) and alike(b, c) and not alike(a, c) and not near(a, c) and not near(b, c):
+            found.append((a, b, c))
+    rows = [(3 * i + k, t) for i, abc in enumerate(found) for k, t in enumerate(abc)]
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert got == {0, 3, 6}
