@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
 from tessera.functions import text as TX
 from tessera.operators import extract, ranking
 from tessera.registry import query, table
+from tessera.scratch import Scratch
 from tessera.streaming import events as S
 
 
 QUERY_BLOCK = 10_000
 
 
-def scratch(spark) -> str:
-    """A new folder in the cluster's shared scratch space; a local master may go without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark, sf_dir, transform, mode="append"):
     """The rows that a transformation of the events stream has put out by its end."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = S.read_events(spark, f"{sf_dir}/*.parquet", raw, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out, base = transform(stream), scratch(spark)
+    out, base = transform(stream), Scratch(spark, "stream").base
     schema = out.schema
     S.drain(out, f"{base}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}"), mode)
     return spark.read.schema(schema).parquet(f"{base}/out/*")
