@@ -44,7 +44,14 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
+        self._delete(*(t._scratch_path for t in tables))
+
+    def clear(self) -> None:
+        """Deletes all tables saved here."""
+        self._delete(self.base)
+
+    def _delete(self, *paths: str) -> None:
         jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
