@@ -1,60 +1,27 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, let-binding, column checks."""
+"""Shared helpers: scratch tables, let-binding, names that clash with no column."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import bind as let  # noqa: F401
+from tessera.scratch import Scratch  # noqa: F401
+
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master may go without it; there a temporary folder is made once and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables written once and read again, so that lineage ends at a file every executor can read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self._n}"
-        self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until none of ``columns`` is spelled so in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:

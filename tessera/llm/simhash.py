@@ -17,7 +17,9 @@ both. Every member is filed under its 39 or 40 strings within one bit, and all m
 Fingerprints of short shingles drift apart by more than 2 bits when a few words of a text change. ``keep_one`` with a
 similarity therefore also links texts by the Jaccard similarity of their word shingles. Pairs come from a prefix
 filter: with one order of all hashes, two sets of similarity t share one of their first n - ceil(t * n) + 1 hashes.
-The order puts hashes that are frequent in a sample last. No pair at the bound is lost to the groups.
+The order puts hashes that are frequent in a sample last. Proposed pairs are first compared by parity sketches, whose
+size follows the set's, and whole sets travel only for the pairs that the sketches cannot tell apart. No pair at the
+bound is lost to the groups.
 
 Null texts count as empty. Texts without words have the fingerprint 0 and link like any other. Copies share their
 fingerprint's row, whatever their number. Rows without a doc_id get the group of their fingerprint, and null where no
@@ -27,7 +29,7 @@ row with an id has it. Empty tables give empty results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, unused
 from tessera.shipping import map_in_arrow
 
 SHINGLE = 3
@@ -44,12 +46,11 @@ RADIUS = 2
 BOXES = 5
 LARGE = 64
 BLOCK = 32_768
-VIEWS = 8
 KNOWN_WORDS = 100_000
 SAMPLE = 16
 FREQUENT = 100_000
 TEXTS = 128
-SKETCH = 1024
+LEAST_SKETCH = 256  # bits
 BROADCAST_IDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
@@ -89,25 +90,6 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, out:
     return map_in_arrow(df.select(text, *keep), scan, schema)
 
 
-def views(text: str | None, known: dict[bytes, bytes]) -> list[int]:
-    """VIEWS fingerprints of the distinct words of a text; ``known`` keeps the words' hashes between calls."""
-    import hashlib
-
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return [0] * VIEWS
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = hashlib.blake2b(w, digest_size=8 * VIEWS).digest()
-    counts, at = np.zeros(64 * VIEWS, np.int64), list(words)
-    for i in range(0, len(at), BLOCK):
-        block = np.frombuffer(b"".join(known[w] for w in at[i : i + BLOCK] if w in known), np.uint8).reshape(-1, 8 * VIEWS)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > len(words), bitorder="little").view(np.int64).tolist()
-
-
 class _Words(dict):
     """64-bit hashes of words, computed when first asked for."""
 
@@ -142,17 +124,44 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _hashed(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, bits, hashes) of rows (doc_id, text); bits has the parity of the hashes in each of SKETCH classes."""
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the hashes in each class modulo a power of two between 4 and 8 times their number, as longs."""
+    classes = LEAST_SKETCH
+    while classes < 4 * len(hashes):
+        classes *= 2
+    return np.packbits((np.bincount(hashes & (classes - 1), minlength=classes) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _per_text(df: DataFrame, shingle: int, name: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, n, ``name``) of rows (doc_id, text): the number of a text's hashes, and longs made from them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
             sets = [_hash_set(t.as_py(), shingle, known) for t in batch.column(1)]
-            bits = [np.packbits((np.bincount(x & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "bits", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(of, sets)), pa.list_(pa.int64()))], ["id", "n", name])
 
-    return map_in_arrow(df.select("doc_id", "text"), cut, "id long, n int, bits array<long>, hashes array<long>", TEXTS)
+    return map_in_arrow(df.select("doc_id", "text"), cut, f"id long, n int, {name} array<long>", TEXTS)
+
+
+def _hashed(df: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, hashes) of rows (doc_id, text)."""
+    return _per_text(df, shingle, "hashes", lambda x: x)
+
+
+def _sketched(df: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, bits) of rows (doc_id, text)."""
+    return _per_text(df, shingle, "bits", _parities)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many classes two parity sketches differ: no more than the sets differ in hashes.
+
+    Classes modulo a power of two fold into those modulo half of it, so sketches of two sizes compare in the smaller.
+    """
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fitted = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    return F.aggregate(F.zip_with(fitted(a, b), fitted(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -161,7 +170,9 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _prefixes(df: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(key, id, n, pos): the first hashes of each text of (doc_id, text), frequent ones last, with its number of hashes.
+    """(key, id, place): the first hashes of each text of (doc_id, text), frequent ones last.
+
+    place holds the text's number of hashes (upper half) and where the key stands in their order (lower half).
 
     Which hashes count as frequent comes from a sample and changes the number of proposals, never the pairs found.
     """
@@ -183,28 +194,31 @@ def _prefixes(df: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 firsts.append(hashes[: prefix_size(len(hashes), similarity)])
             if firsts:
                 each = [len(x) for x in firsts]
-                ids, n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each), np.repeat(np.array(sizes, np.int32), each)
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(ids), pa.array(n), pa.array(pos)], ["key", "id", "n", "pos"])
+                ids, n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each), np.repeat(np.array(sizes, np.int64), each)
+                place = (n << 32) + np.concatenate([np.arange(k, dtype=np.int64) for k in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(ids), pa.array(place)], ["key", "id", "place"])
 
-    return map_in_arrow(df.select("doc_id", "text"), file, "key long, id long, n int, pos int", TEXTS)
+    return map_in_arrow(df.select("doc_id", "text"), file, "key long, id long, place long", TEXTS)
 
 
 def _verified(df: DataFrame, proposed: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
     """The pairs (u, v) of ``proposed`` whose texts' shingles reach the Jaccard similarity."""
-    named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = scratch.save(_hashed(df.select("doc_id", "text").join(_few(named), "doc_id", "left_semi"), shingle))
     side = lambda t, at: t.select(F.col("id").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in t.columns if c != "id"))
+    texts = lambda ids: df.select("doc_id", "text").join(_few(ids), "doc_id", "left_semi")
+    of = lambda pairs: scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     # two sets differ in at least as many hashes as their parities: pairs too far apart need no comparison of all hashes
-    slim = sets.select("id", "n", "bits")
-    apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    close = apart * (1 + similarity) <= (1 - similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6
-    proposed = scratch.save(proposed.join(side(slim, "u"), "u").join(side(slim, "v"), "v").where(close).select("u", "v").distinct())
-    named = scratch.save(proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    whole = sets.select("id", "hashes").join(_few(named), "id", "left_semi")
+    named = of(proposed)
+    sketches = scratch.save(_sketched(texts(named), shingle))
+    close = _apart(F.col("bits_u"), F.col("bits_v")) * (1 + similarity) <= (1 - similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6
+    near = scratch.save(proposed.join(side(sketches, "u"), "u").join(side(sketches, "v"), "v").where(close).select("u", "v").distinct())
+    scratch.drop(named, sketches)
+    named = of(near)
+    sets = scratch.save(_hashed(texts(named), shingle).select("id", "hashes"))
     both = F.size(F.array_intersect("hashes_u", "hashes_v"))
-    joined = proposed.join(side(whole, "u"), "u").join(side(whole, "v"), "v")
-    return scratch.save(joined.where(both >= similarity * (F.size("hashes_u") + F.size("hashes_v") - both) - 1e-9).select("u", "v"))
+    joined = near.join(side(sets, "u"), "u").join(side(sets, "v"), "v")
+    out = scratch.save(joined.where(both >= similarity * (F.size("hashes_u") + F.size("hashes_v") - both) - 1e-9).select("u", "v"))
+    scratch.drop(named, near, sets)
+    return out
 
 
 def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
@@ -220,7 +234,7 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
 
     filed = scratch.save(_prefixes(texts, similarity, shingle))
     hubs = filed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
-    shared = scratch.save(filed.join(hubs, "key"))
+    shared = scratch.save(filed.join(hubs, "key").withColumns({"n": F.shiftright("place", 32).cast("int"), "pos": F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int")}).drop("place"))
     scratch.drop(filed)
     alike = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
@@ -233,7 +247,9 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
     stars = labelled(shared, linked).where(F.col("group") != F.col("hub_group")).select(F.col("id").alias("u"), F.col("hub").alias("v"), "n").distinct()
     sizes = shared.where("id = hub").select(F.col("id").alias("v"), F.col("n").alias("m")).distinct()
     stars = scratch.save(stars.join(sizes, "v").where(alike(F.col("n"), F.col("m"))).select("u", "v").distinct())
-    linked = linked.select("u", "v").unionByName(_verified(texts, stars, scratch, similarity, shingle))
+    found = _verified(texts, stars, scratch, similarity, shingle)
+    scratch.drop(stars)
+    linked = linked.select("u", "v").unionByName(found)
 
     rows = labelled(shared, linked)
     several = scratch.save(rows.where(F.col("group") != F.col("hub_group")).select("key").distinct())
@@ -244,7 +260,10 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
     fit = alike(F.col("n"), F.col("n2")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6)
     met = rows.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("group") != F.col("group2")) & fit)
     met = scratch.save(met.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct())
-    return components(linked.unionByName(_verified(texts, met, scratch, similarity, shingle)), scratch)
+    scratch.drop(rows)
+    found = _verified(texts, met, scratch, similarity, shingle)
+    scratch.drop(met)
+    return components(linked.unionByName(found), scratch)
 
 
 def _signed(x: int) -> int:
@@ -357,7 +376,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         return kept
     once = kept.join(twice, doc_id, "left_anti")
     again = kept.join(twice, doc_id, "left_semi").dropDuplicates([doc_id])
+    body, fp = unused(df.columns, "_text", "_fp")
     nameless = df.where(F.col(doc_id).isNull())
-    nameless = fingerprints(nameless.withColumn("_text", F.col(text)), "_text", shingle, "_fp")
-    nameless = nameless.join(found.where("component_id IS NOT NULL").select(F.col("fp").alias("_fp")).distinct(), "_fp", "left_anti")
-    return once.unionByName(again).unionByName(nameless.dropDuplicates(["_fp"]).select(df.columns))
+    nameless = fingerprints(nameless.withColumn(body, F.col(text)), body, shingle, fp)
+    nameless = nameless.join(found.where("component_id IS NOT NULL").select(F.col("fp").alias(fp)).distinct(), fp, "left_anti")
+    return once.unionByName(again).unionByName(nameless.dropDuplicates([fp]).select(df.columns))
