@@ -99,13 +99,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's measures are computed for every row; what else a rule needs, where the cascade asks it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    planned = quality.plan_cascade(docs, quality.default_rules(), prepare=quality.with_measures)
+    planned = quality.plan_cascade(docs, quality.default_rules(quality.MEASURES), prepare=quality.with_measures)
     judged = quality.apply_cascade(quality.with_measures(docs), [rule for rule, _, _ in planned])
-    base = F.coalesce(quality.base_failed(), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"),
+        F.coalesce(quality.base_failed(), F.lit(False)).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"),
     )
 
 
