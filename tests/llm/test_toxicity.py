@@ -1,5 +1,6 @@
 """Toxicity: held-out accuracy on the tables, the risk estimator, and awkward rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -45,3 +46,46 @@ def test_awkward_rows(spark, tmp_path):
     assert toxicity.fit(docs.select("doc_id", "text"), none) is None
     assert toxicity.score(docs.withColumn("score", F.lit("clash")), None).where("score = 0").count() == len(rows)
     assert toxicity.fit(docs.limit(0), spark.read.parquet(f"{sf_dir}/labels.parquet")) is None
+
+
+def corpus(n=600):
+    """A fifth of the documents is toxic; every document has an id of its own."""
+    rnd = random.Random(4)
+    vocab = [f"{a}{b}" for a in "bcdfgh" for b in ("ane", "ome", "ist", "urk", "elp")]
+    texts = []
+    for i in range(n):
+        said = [rnd.choice(vocab) for _ in range(30)]
+        texts.append(" ".join(said + ([rnd.choice(["moron", "scum"]), "idiot"] if i % 5 == 0 else [])))
+    return texts
+
+
+def test_confirmed_positives_alone_are_enough(spark):
+    """No label of 0 and most toxic documents unlabelled: the scores still tell the classes apart."""
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, len(texts), 10)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert sum((got[i] >= 0.5) == (i % 5 == 0) for i in got) >= 0.98 * len(texts)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark):
+    texts = corpus(300)
+    rows = list(enumerate(texts)) + [(0, texts[0])] * 40
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    models = []
+    for parts, order in ((1, rows), (7, rows[::-1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        models.append(toxicity.fit(docs, labels.repartition(parts)))
+    assert models[0] == models[1]
+
+
+def test_class_prior_of_a_known_mixture():
+    rng = np.random.default_rng(3)
+    for share in (0.05, 0.2, 0.6):
+        truth = np.concatenate([np.ones(400, bool), rng.random(4000) < share])
+        confirmed = np.arange(len(truth)) < 400
+        rows = [np.append(rng.choice(20, 3, replace=False), [20] if t and rng.random() < 0.8 else []).astype(np.int64) for t in truth]
+        order = rng.permutation(len(truth))
+        prior = toxicity.class_prior([rows[i] for i in order], confirmed[order], 21)
+        assert 0.7 * share <= prior <= 1.4 * share, (share, prior)
+    assert toxicity.class_prior(rows[:3], np.array([True, False, False]), 21) == 0.5
