@@ -1,6 +1,8 @@
 """Plain Python versions of the operators' contracts."""
 
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter
 
@@ -116,3 +118,56 @@ def best_place(item, text):
             new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
+
+
+def patterns(texts, rounds, min_seeds, min_score):
+    """Pattern to score, for texts of plain words, addresses (the seeds) and numbers of seven digits."""
+    edges, totals = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        for i, x in enumerate(w):
+            totals[x] += 1
+            totals[" ".join(w[i : i + 2])] += i + 1 < len(w)
+            if "@" in x or len(x) >= 5:
+                # words between this mention and the ones beside it
+                before, after = w[:i], w[i + 1 :]
+                k = next((k for k, y in enumerate(reversed(before)) if any(c.isdigit() for c in y)), len(before))
+                before = before[len(before) - k :]
+                after = after[: next((k for k, y in enumerate(after) if any(c.isdigit() for c in y)), len(after))]
+                beside = {("L", *before[-1:]), ("L", *before[-2:]), ("R", *after[:1]), ("R", *after[:2])}
+                for side, *near in beside:
+                    if near:
+                        edges[f"{side} {' '.join(near)}", x] += 1
+    seeds = Counter(p for p, x in edges if "@" in x)
+    score = {x: float("@" in x) for _, x in edges}
+    hopeful = {p for p in seeds if seeds[p] >= min_seeds and sum(n for (q, _), n in edges.items() if q == p) >= min_score * totals[p[2:]]}
+    edges = {k: n for k, n in edges.items() if k[0] in hopeful}
+    rate = lambda p: min(1.0, sum(n * score[x] for (q, x), n in edges.items() if q == p) / totals[p[2:]])
+    for _ in range(rounds):
+        now = {p: rate(p) for p in hopeful}
+        for x in {x for _, x in edges if "@" not in x}:
+            rest = 1.0
+            for p, y in edges:
+                rest *= 1 - min(now[p], 0.999) if y == x else 1
+            score[x] = 1 - rest
+    share = lambda p: sum("@" in x for q, x in edges if q == p) / sum(q == p for q, _ in edges)
+    return {p: rate(p) for p in hopeful if rate(p) >= min_score and share(p) >= 0.5}
+
+
+def rules(rows, params):
+    """Antecedent to (confidence, support) of (tokens, label) rows, by counting every set of tokens."""
+    total, blocked = len(rows), sum(x == "block" for _, x in rows)
+    least = max(params.MIN_URLS, math.ceil(params.MIN_SUPPORT * total))
+    count = {}
+    for k in range(1, params.MAX_ANTECEDENT + 1):
+        for a in itertools.combinations(sorted({t for own, _ in rows for t in own}), k):
+            holds = [x for own, x in rows if set(a) <= set(own)]
+            if holds.count("block") >= least:
+                count[a] = (holds.count("block"), len(holds))
+    found = {}
+    for a, (hits, n) in count.items():
+        chi = total * (hits * total - n * blocked) ** 2 / (n * (total - n) * blocked * (total - blocked)) if n < total else 0
+        if hits / n >= params.MIN_CONFIDENCE and hits / n >= params.MIN_LIFT * blocked / total and chi >= params.critical_value(len(count)):
+            found[a] = (hits / n, hits / total)
+    keep = {a for a in found if not any(set(b) < set(a) and found[b][0] >= found[a][0] for b in found)}
+    return {a: tuple(round(x, 9) for x in found[a]) for a in keep}

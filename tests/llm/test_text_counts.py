@@ -1,5 +1,7 @@
 """Token counts, quality rules, url filter and chat formatting against brute force."""
 
+import random
+
 import duckdb
 import pytest
 import sentencepiece
@@ -55,6 +57,35 @@ def test_cascade_order_and_verdicts(spark):
     out = quality.apply_cascade(df, [r for r, _, _ in planned])
     assert out.where("rejected_by is null").count() == 400
     assert quality.plan_cascade(df.limit(0), rules)[0][1] == 0
+    costs = {r.name: cost for r, _, cost in quality.plan_cascade(spark.range(4000).select(F.repeat(F.lit("a b "), 500).alias("text")), quality.default_rules())}
+    assert costs["repetition"] > costs["symbols"]
+
+
+def test_a_rejected_row_computes_nothing_more(spark):
+    """Each rule's expression raises where it must not be asked; only rows that no earlier rule rejects reach it."""
+    df = spark.range(100).select("id", (F.col("id") % 10).alias("x"))
+    asked = lambda reject, wanted: F.when(wanted, reject).otherwise(F.raise_error(F.lit("asked for nothing")).cast("boolean"))
+    rules = [quality.Rule("first", F.col("x") < 5), quality.Rule("second", asked(F.col("x") < 8, F.col("x") >= 5)), quality.Rule("third", asked(F.col("x") < 9, F.col("x") >= 8))]
+    assert {r["rejected_by"]: r["count"] for r in quality.apply_cascade(df, rules).groupBy("rejected_by").count().collect()} == {"first": 50, "second": 30, "third": 10, None: 10}
+    plan = quality.apply_cascade(spark.range(1).select(F.lit("a").alias("text")).repartition(1), quality.default_rules()[:1])._jdf.queryExecution().toString()
+    assert "xxhash64" not in plan  # no measure but those of the rules
+
+
+def test_default_rules_alone_give_the_query_s_verdicts(spark, hard):
+    texts, sf_dir = hard
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit("clash") for c in ("_w", "_L", "N_WORDS", "rejected_by", "_time")})
+    planned = quality.plan_cascade(docs, quality.default_rules())
+    alone = quality.apply_cascade(docs, [r for r, _, _ in planned])
+    got = {r["doc_id"]: r["rejected_by"] is None for r in alone.collect()}
+    assert got == {r["doc_id"]: r["kept"] for r in queries.op9_quality_rules(spark, sf_dir).collect()} and len(set(got.values())) == 2
+    assert {"_w", "_L", "_time"} <= set(quality.with_measures(docs).columns) and alone.where("_w <> 'clash' OR _L <> 'clash' OR _time <> 'clash'").count() == 0
+
+
+def test_empty_tables_of_the_queries(spark, tmp_path):
+    sf_dir = folder(spark, tmp_path, documents=documents([]), conversations=([], "conv_id long, turn long, role string, text string"), pages=([], "page_id long, url string, html string"))
+    for name in ("op1_packing", "op2_license_scan", "op3_toxicity", "op4_pii", "op5_url_filter", "op6_token_counts", "op8_decontamination", "op9_quality_rules", "op10_simhash"):
+        assert queries.queries()[name](spark, sf_dir).count() == 0, name
+    assert [r["conv_id"] for r in queries.op7_chat_formatting(spark, sf_dir).collect()] == [-1]
 
 
 URLS = [
@@ -74,17 +105,63 @@ def test_url_parts_and_rules(spark, tmp_path):
         assert got[i]["rule"] == rule and (verdict is None or got[i]["verdict"] == verdict), u
 
 
-def test_mined_rules_find_the_token_pair(spark):
+def labelled_urls(spark):
     rows = [(f"http://{h}.example.com/{p}/{i}", h, p) for i in range(60) for h in ("pills", "news") for p in ("buy", "read")]
-    labels = spark.createDataFrame([(u, "block" if (h, p) == ("pills", "buy") else "allow") for u, h, p in rows], "url string, label string")
-    df = spark.createDataFrame([(u, 1) for u, _, _ in rows] + [("http://pills.example.com/buy/999", 2), ("http://pills.example.com/read/999", 2)], "url string, verdict int")
-    got = {r["url"]: r["verdict"] for r in url_filter.judge_urls(df, [], labels).collect()}
-    assert len(got) == len(rows) + 2
+    return rows, spark.createDataFrame([(u, "block" if (h, p) == ("pills", "buy") else "allow") for u, h, p in rows], "url string, label string")
+
+
+def test_mined_rules_find_the_token_pair(spark):
+    rows, labels = labelled_urls(spark)
+    df = spark.createDataFrame([(u, 1) for u, _, _ in rows] + [("http://pills.example.com/buy/999", 2), ("http://pills.example.com/read/999", 2)], "url string, verdict int").withColumns({"_url": F.lit(1), "_MINED": F.lit(2), "_rest": F.lit(3)})
+    out = url_filter.judge_urls(df, [], labels)
+    got = {r["url"]: r["verdict"] for r in out.collect()}
+    assert len(got) == len(rows) + 2 and out.where("_url <> 1 OR _MINED <> 2 OR _rest <> 3").count() == 0
     assert got["http://pills.example.com/buy/999"] == "block" and got["http://pills.example.com/read/999"] == "allow"
     assert all(v == ("block" if "pills" in u and "buy" in u else "allow") for u, v in got.items())
     assert url_filter.judge_urls(df, [], labels.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_fixed_rules_teach_nothing(spark):
+    """Urls that a fixed rule blocks are no labels; without labels that say so, nothing else is blocked."""
+    df = spark.createDataFrame([(f"http://a.example.org/{'es' if i % 2 else 'fr'}/{i}",) for i in range(200)], "url string")
+    labels = df.select("url", F.when(F.xxhash64("url") % 4 == 0, "block").otherwise("allow").alias("label"))
+    got = url_filter.judge_urls(df, [("block", "org", "/es/")], labels).groupBy("rule", "verdict").count().collect()
+    assert {(r["rule"], r["verdict"], r["count"]) for r in got} == {("org/es/", "block", 100), (None, "allow", 100)}
+
+
+def test_many_shared_tokens_end(spark):
+    """Every url has the same forty query keys, and each key stands in other urls too."""
+    shared = "&".join(f"{a}{b}=1" for a in "abcde" for b in "fghijklm")
+    rows = [(f"http://x.example.com/{'bad' if i % 2 else 'good'}/{i}?{shared}", "block" if i % 2 else "allow") for i in range(80)]
+    rows += [(f"http://y.example.com/other/{i}?{a}{b}=1", "allow") for i, (a, b) in enumerate((a, b) for a in "abcde" for b in "fghijklm")]
+    labels = spark.createDataFrame(rows, "url string, label string")
+    got = {r["url"]: r["verdict"] for r in url_filter.judge_urls(labels.select("url"), [], labels).collect()}
+    assert all(got[u] == v for u, v in rows)
+
+
+def test_mined_rules_against_brute_force(spark):
+    rnd = random.Random(9)
+    tokens = [f"p:{c}" for c in "abcdef"]
+    rows = []
+    for _ in range(400):
+        own = sorted(t for t in tokens if rnd.random() < 0.5)
+        bad = 0.9 if {"p:a", "p:b"} <= set(own) else 0.7 if "p:c" in own and "p:d" not in own else 0.1
+        rows.append((own, "block" if rnd.random() < bad else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    got = {tuple(r["antecedent"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in url_filter.mine_rules(df).collect()}
+    want = brute.rules(rows, url_filter)
+    assert got == want and ("p:a", "p:b") in got
+
+
+def test_matching_against_brute_force(spark):
+    rnd = random.Random(10)
+    rules = [(sorted(rnd.sample("abcdefgh", rnd.randrange(1, 4))), round(0.5 + k / 100, 2), 0.1, "block") for k in range(25)]
+    urls = [(str(i), sorted(rnd.sample("abcdefghij", rnd.randrange(0, 6)))) for i in range(200)]
+    found = url_filter.match_rules(spark.createDataFrame(urls, "url string, tokens array<string>"), spark.createDataFrame(rules, "antecedent array<string>, confidence double, support double, verdict string"))
+    want = {u: max(c for a, c, _, _ in rules if set(a) <= set(t)) for u, t in urls if any(set(a) <= set(t) for a, *_ in rules)}
+    assert {r["url"]: r["confidence"] for r in found.collect()} == want and 50 < len(want) < 200
+
+
 def test_chat_query(spark, tmp_path):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, t, ["user", "assistant"][t % 2], x) for t, x in enumerate(HARD_TEXTS)]
