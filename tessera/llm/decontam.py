@@ -7,11 +7,18 @@ place in the item) that lie within k of each other. So the shared q-grams of an
 bands of diagonals, k + 1 wide and overlapping by half, bands that meet the bound are kept, and a banded alignment
 verifies each.
 
-The item index goes to the executors in blocks of at most ``BLOCK_CHARS`` characters of items; a larger benchmark
-takes more passes over the documents. Documents are never shuffled; long texts are searched in overlapping pieces.
-
-Null and empty texts hold nothing. Items of fewer than ``MIN_CHARS`` characters are not searched for: they occur by
-chance. Repeated rows are each searched. Empty tables give empty results.
+Items of fewer than ``SHORT`` characters allow no edits and are found where their words stand as whole words. Items
+of more than ``LONG`` characters are cut into equal parts of at most that length, and a document holds the item if it
+holds a part: a region within the share of edits of the whole has a part within it too. Items without any word are
+held by nothing.
+
+The item index goes to the executors in blocks of at most ``BLOCK_CHARS`` characters. A larger benchmark takes one
+pass over the documents for each block, one after the other, so no task ever holds two blocks; what each pass finds is
+kept in scratch tables. Documents are never shuffled; long texts are searched in overlapping pieces.
+
+Null and empty texts hold nothing. Items without an id are searched for like others. Of items with equal id and text
+one counts; of regions with equally few edits one is reported. Repeated rows are each searched. Empty tables give
+empty results; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import Scratch, unused
 from tessera.shipping import map_in_arrow
 
 Q = 10
 MAX_EDITS = 0.08
-MIN_CHARS = 24
+SHORT = 24
+LONG = 4_000
 BLOCK_CHARS = 2_000_000
 PIECE = 1_000_000
 SLOTS = 1 << 20
@@ -93,12 +102,24 @@ def alignment(item: np.ndarray, text: np.ndarray, k: int, low: int, high: int) -
     return (int(row[best]), len(item) + low + best) if row[best] <= k else None
 
 
+def parts(text: str) -> list[str]:
+    """A normal text as one part, or in equal parts of at most LONG characters."""
+    n = -(-len(text) // LONG) or 1
+    return [text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n)]
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, and the words of the short ones."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        known = [(i, codes(t)) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= MIN_CHARS]
-        self.ids, self.items = [i for i, _ in known], [c.astype(np.int64) for _, c in known]
+        texts = [(i, normal(t)) for i, t in items]
+        self.names: list[tuple[int | None, int]] = [(i, len(t)) for i, t in texts]  # id and length of each item
+        self.short: dict[str, list[tuple[list[str], int]]] = {}
+        for at, (_, t) in enumerate(texts):
+            if 0 < len(t) < SHORT:
+                self.short.setdefault(t.split(" ", 1)[0], []).append((t.split(" "), at))
+        known = [(at, codes(p)) for at, (_, t) in enumerate(texts) if len(t) >= SHORT for p in parts(t)]
+        self.ids, self.items = [at for at, _ in known], [c.astype(np.int64) for _, c in known]
         lengths = np.array([len(c) for _, c in known], np.int64)
         self.lengths = lengths
         self.k = np.array([edits_allowed(n) for n in lengths], np.int64)
@@ -114,6 +135,16 @@ class Index:
         self.slots = np.zeros(SLOTS, bool)
         self.slots[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
+    def short_places(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the first place of each short item in a normal text, on word borders."""
+        words, at, seen = text.split(" "), 0, set()
+        for i, w in enumerate(words):
+            for item, number in self.short.get(w, ()):
+                if number not in seen and words[i : i + len(item)] == item:
+                    seen.add(number)
+                    yield number, at, at + sum(map(len, item)) + len(item) - 1
+            at += len(w) + 1
+
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in text, item, place in item) of every shared q-gram."""
         h = gram_hashes(c)
@@ -128,7 +159,7 @@ class Index:
         return np.repeat(maybe, n), self.item[rows].astype(np.int64), self.place[rows].astype(np.int64)
 
     def search(self, c: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item number, edits, start, end) of the regions of one text that hold an item; start is about right."""
+        """(part number, edits, start, end) of the regions of one text that hold a part of an item; start is about right."""
         p, item, r = self.hits(c)
         if not len(p):
             return
@@ -162,6 +193,11 @@ class Index:
         group: list[tuple[int, np.ndarray]] = []
         size = 0
 
+        def note(i: int, part: int, edits: int, start: int, end: int) -> None:
+            number = self.ids[part]
+            if number not in out[i] or edits < out[i][number][0]:
+                out[i][number] = (edits, start, end)
+
         def flush() -> None:
             nonlocal group, size
             if not group:
@@ -174,19 +210,22 @@ class Index:
             pairs, n = np.unique(owner * max(1, len(self.ids)) + item, return_counts=True)
             for g in np.unique(pairs[n >= self.bound[pairs % max(1, len(self.ids))]] // max(1, len(self.ids))) if len(pairs) else ():
                 i, c = group[g]
-                for k, edits, start, end in self.search(c):
-                    out[i][k] = (edits, start, end)
+                for found in self.search(c):
+                    note(i, *found)
             group, size = [], 0
 
         for i, t in enumerate(texts):
-            c = codes(normal(t))
+            t = normal(t)
+            if self.short and t:
+                for number, start, end in self.short_places(t):
+                    out[i][number] = (0, start, end)
+            c = codes(t)
             if len(c) < Q or not self.ids:
                 continue
             if len(c) > PIECE:
                 for at in range(0, len(c), PIECE):
                     for k, edits, start, end in self.search(c[at : at + PIECE + self.reach]):
-                        if k not in out[i] or edits < out[i][k][0]:
-                            out[i][k] = (edits, start + at, end + at)
+                        note(i, k, edits, start + at, end + at)
                 continue
             if size + len(c) > PIECE:
                 flush()
@@ -197,47 +236,83 @@ class Index:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about BLOCK_CHARS characters at most."""
-    items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") >= MIN_CHARS)).select("item_id", "text").distinct()
-    chars, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > BLOCK_CHARS:
-        raise ValueError(f"an item of {longest} characters is longer than a block")
+    """The items, in blocks of about BLOCK_CHARS characters; an item that is longer is a block of its own."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = math.ceil(chars / (BLOCK_CHARS / 2)) if chars > BLOCK_CHARS else 1
     for i in range(n):
         rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r[0], r[1]) for r in rows.collect()]
+        block, size = [], 0
+        for item_id, text in rows.toLocalIterator():
+            if block and size + len(text) > BLOCK_CHARS:
+                yield block
+                block, size = [], 0
+            block.append((item_id, text))
+            size += len(text)
+        if block or n == 1:
+            yield block
+
+
+def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """The items of one block found in rows (doc_id, text): see ``find_leaks``; with the broadcast as ``_shared``."""
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("item_id", "item_chars", "edits", "start", "end", "text_key"))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            found = index.search_all(batch.column(0).to_pylist())
+            rows = [(i, *index.names[k], *spot) for i, hits in enumerate(found) for k, spot in sorted(hits.items())]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            columns = [pa.array([None if r[j] is None else int(r[j]) for r in rows], pa.int64()) for j in range(1, 6)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), *columns, batch.column(2).take(at)], schema.names)
+
+    out = map_in_arrow(docs.select("text", "doc_id", F.xxhash64("text").alias("text_key")), search, schema)
+    out._shared = shared
+    return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, item_chars, edits, start, end): items found in each row, places in its normal form."""
-    spark, out = docs.sparkSession, None
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("item_id", "item_chars", "edits", "start", "end"))])
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))
+def _all_found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What ``find_leaks`` gives, with text_key: one pass for each block, kept in scratch tables if there are several."""
+    found: list[DataFrame] = []
+    scratch = None
+    ahead = blocks(benchmark)
+    block = next(ahead, [])
+    while block is not None:
+        after = next(ahead, None)
+        part = _search(docs, block)
+        if after is not None or found:
+            scratch = scratch or Scratch(docs.sparkSession, "leaks")
+            shared = part._shared
+            part = scratch.save(part)
+            shared.destroy()
+        found.append(part)
+        block = after
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                found = index.search_all(batch.column(0).to_pylist())
-                rows = [(i, index.ids[k], int(index.lengths[k]), *spot) for i, hits in enumerate(found) for k, spot in sorted(hits.items())]
-                ids = batch.column(1).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([int(r[j]) for r in rows], pa.int64()) for j in range(1, 6))], schema.names)
 
-        part = map_in_arrow(docs.select("text", "doc_id"), search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_chars, edits, start, end): items found in each row, places in its normal form."""
+    return _all_found(docs, benchmark).drop("text_key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are."""
-    spark = docs.sparkSession
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))
+    ahead = blocks(benchmark)
+    items = next(ahead, [])
+    if next(ahead, None) is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = shared.value.search_all(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = map_in_arrow(docs, clean, docs.schema)
-    return docs
+        return map_in_arrow(docs, clean, docs.schema)
+    # several blocks: rows go by id and text, as equal texts hold the same
+    row, key = unused(docs.columns, "_leak_id", "_leak_key")
+    leaks = _all_found(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(row), F.col("text_key").alias(key)).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col(row)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, queries
 from tests.llm import brute
@@ -46,7 +47,7 @@ def test_alignment_is_the_best_place():
 @pytest.mark.parametrize("piece", [1_000_000, 700])
 def test_query_against_brute_force(spark, tmp_path, monkeypatch, piece):
     monkeypatch.setattr(decontam, "PIECE", piece)
-    items = [(i, prose(n)) for i, n in enumerate([6, 9, 20, 30, 45])] + [(90, None), (91, ""), (92, "short one"), (93, "É" * 30)]
+    items = [(i, prose(n)) for i, n in enumerate([6, 9, 20, 30, 45])] + [(90, None), (91, ""), (92, "Short one!"), (93, "É" * 30), (94, WORDS[0]), (95, f"{WORDS[1]}, {WORDS[2]} {WORDS[3]}"), (None, WORDS[4])]
     texts = list(HARD_TEXTS)
     for i in range(70):
         _, item = items[i % 5]
@@ -54,16 +55,20 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, piece):
         planted = edited(item, n) if i % 7 else " ".join(w + "***\n" for w in item.upper().split())
         texts.append(f"{prose(rnd.randrange(60))} {planted} {prose(rnd.randrange(60))}")
     texts.append(f"{prose(40)} {items[3][1]} {prose(500)} {items[4][1]}")
+    texts += [f"x{WORDS[0]} a short one {prose(3)}", f"{prose(3)} {WORDS[1]} ({WORDS[2]}) {WORDS[3]}", f"{WORDS[1]} {WORDS[2]} {WORDS[3]}s"]
     sf_dir = folder(spark, tmp_path, documents=documents(texts), benchmark=(items, "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]): r["edits"] for r in queries.op8_decontamination(spark, sf_dir).collect()}
     want = {}
     for d, t in enumerate(texts):
         for i, item in items:
             a, b = decontam.normal(item), decontam.normal(t)
-            if len(a) >= decontam.MIN_CHARS and (e := brute.best_place(a, b)) <= decontam.edits_allowed(len(a)):
+            if len(a) < decontam.SHORT:
+                if a and f" {a} " in f" {b} ":
+                    want[d, i] = 0
+            elif (e := brute.best_place(a, b)) <= decontam.edits_allowed(len(a)):
                 want[d, i] = e
-    assert got == want and len(want) > 40
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got == want and len(want) > 40 and {94, 95, None} <= {i for _, i in want}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit(c) for c in ("_leak_id", "item_id", "text_KEY")})
     kept = decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
@@ -76,3 +81,18 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert decontam.find_leaks(docs, items.limit(0)).count() == 0
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
     assert decontam.drop_leaks(docs, items).count() == 0
+    mixed = docs.unionByName(docs.select("doc_id", F.lit("nothing of the kind stands here").alias("text"))).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(mixed.withColumn("_leak_id", F.lit(0)), items).collect()) == list(range(12))
+    assert decontam.find_leaks(docs, items).where("edits = 0").count() == 12
+
+
+def test_long_items_are_held_by_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "LONG", 300)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 500)
+    whole = prose(200)
+    items = spark.createDataFrame([(1, whole), (2, prose(30))], "item_id long, text string")
+    texts = [f"{prose(9)} {whole[100:800]} {prose(9)}", f"{prose(9)} {whole[:120]} {prose(30)}", f"{prose(5)} {edited(whole, 30)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["item_chars"]) for r in decontam.find_leaks(docs, items).collect()}
+    assert got == {(0, 1, len(decontam.normal(whole))), (2, 1, len(decontam.normal(whole)))}
+    assert "".join(decontam.parts(whole)) == whole and max(map(len, decontam.parts(whole))) <= 300
