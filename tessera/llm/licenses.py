@@ -1,14 +1,18 @@
 """Licence scans with a generalised suffix automaton of licence words.
 
 The automaton holds every run of words of every template, so one pass over a text's words gives the matching
-statistics: at each word, how long a run ending there stands in some template. Runs that cannot be extended and have
-``MIN_MATCH`` words or more (or are a whole template) are chained, in the order of text and template, into covered
-template spans; a span's coverage is the share of its template's words.
-
-The templates are a fixed short list, so the automaton is small; each worker builds it once. No row is shuffled.
-
-Words are runs of digits, lower-cased ASCII letters and characters beyond ASCII. Null texts count as empty: no words,
-no spans, score 0. Repeated rows are each scanned.
+statistics: at each word, how long a run ending there stands in some template, and, by the suffix links, in each
+template. Each template's runs that cannot be extended and have ``MIN_MATCH`` words or more (or are a whole template)
+are chained, in the order of text and template, into covered template spans; a span's coverage is the share of its
+template's words. Of spans that lie by half or more in a better covered one (the longer one, then the label first in
+the alphabet, on a tie) only that one stays.
+
+The templates are a fixed short list of whole short licences, headers and notices, so the automaton is small; each
+worker builds it once. No row is shuffled.
+
+Words are runs of digits, lower-cased ASCII letters and characters beyond ASCII. Null and empty texts have no words,
+no spans and score 0. Repeated rows are each scanned. Columns named like the results are replaced, others stay,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,29 +30,62 @@ from tessera.shipping import map_in_arrow
 #: Phrases whose every place counts, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices of common licences, with their labels.
+#: Notices, headers and whole short licences, with their labels: published texts.
 NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+     the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+     or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+     CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+     limitations under the License."""),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+     (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+     publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+     subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+     substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+     BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+     AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+     ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    *((f"gpl-{n}.0", f"licensed under the gnu general public license version {n}") for n in (2, 3)),
+    *((f"gpl-{n}.0", f"released under the gnu general public license version {n}") for n in (2, 3)),
+    *((f"gpl-{n}.0", f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+     License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+     This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""") for n in (2, 3)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+     conditions are met"""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+     conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+     following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+     following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+     COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+     OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+     distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-4.0", "licensed under cc by 4.0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4.0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4.0"),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+     the above copyright notice and this permission notice appear in all copies."""),
+    *((f"cc-{a.replace(' ', '-')}-{v}", f"licensed under cc {a} {v}") for a in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for v in ("3.0", "4.0")),
+    *((f"cc-{a}-4.0", f"creative commons {name} 4.0 international license") for a, name in (
+        ("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"), ("by-nd", "attribution noderivatives"),
+        ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives"),
+    )),
     ("cc-by", "this work is licensed under a creative commons attribution license"),
     ("cc0-1.0", "dedicated to the public domain under cc0 1.0"),
+    ("cc0-1.0", "creative commons cc0 1.0 universal public domain dedication"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
+]
 MIN_MATCH = 3
 MIN_COVERAGE = 0.8
 MAX_GAP = 12
@@ -86,8 +123,33 @@ class SuffixAutomaton:
             for word in seq:
                 state = self.next[state][word]
             self.whole[state].append((len(seq), k))
+        # what shorter suffixes of a state's runs add: template, length, its places; for templates that lack the longer run
+        self.own = [{k: tuple(sorted(e for t, e in ends if t == k)) for k in {t for t, _ in ends}} for ends in self.ends]
+        self.shorter: list[dict[int, tuple[int, tuple[int, ...]]]] = [{} for _ in self.next]
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            self.whole[s] = self.whole[s] + self.whole[self.link[s]]
+            up = self.link[s]
+            self.whole[s] = self.whole[s] + self.whole[up]
+            if up:
+                near = self.shorter[up] | {k: (self.length[up], ends) for k, ends in self.own[up].items() if self.counts(k, self.length[up])}
+                self.shorter[s] = {k: v for k, v in near.items() if k not in self.own[s]}
+
+    def counts(self, k: int, n: int) -> bool:
+        """Whether a run of n words of sequence k is long enough to count."""
+        return n >= MIN_MATCH or n == len(self.sequences[k])
+
+    def runs(self, text: list[bytes]) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
+        """(sequence, position, length, ends in the sequence): each sequence's runs that end there and go no further."""
+        before: dict[int, tuple[int, tuple[int, ...]]] = {}
+        last = -1
+        for i, state, matched in self.statistics(text):
+            now = {k: (matched, ends) for k, ends in self.own[state].items() if self.counts(k, matched)}
+            now.update(self.shorter[state])
+            for k, (n, ends) in before.items():
+                if i != last + 1 or k not in now or now[k][0] != n + 1:
+                    yield k, last, n, ends
+            before, last = now, i
+        for k, (n, ends) in before.items():
+            yield k, last, n, ends
 
     def _new(self, length: int, link: int, nxt: dict) -> int:
         self.next.append(nxt)
@@ -160,21 +222,11 @@ class LicenseScanner:
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Words in the text, (label, first word) of the base phrases' places, and (label, first, end, coverage)."""
         seq = words(text)
-        places, matches = [], []
-        before = None  # the run that the next word may extend
-        for i, state, matched in self.automaton.statistics(seq):
-            for n, k in self.automaton.whole[state]:
-                if n <= matched and k < self.n_base:
-                    places.append((self.templates[k][0], i - n + 1))
-            if before and not (i == before[0] + 1 and matched == before[2] + 1):
-                matches.append(before)
-            before = (i, state, matched)
-        if before:
-            matches.append(before)
-        return len(seq), places, self._chain(matches)
-
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans: runs of matches that follow each other in the text and in one template."""
+        places = [(self.templates[k][0], i - n + 1) for i, state, matched in self.automaton.statistics(seq) for n, k in self.automaton.whole[state] if n <= matched and k < self.n_base]
+        return len(seq), places, self._best(self._chain(self.automaton.runs(seq)))
+
+    def _chain(self, runs: Iterator[tuple[int, int, int, tuple[int, ...]]]) -> list[tuple[str, int, int, float]]:
+        """Spans: runs that follow each other in the text and in one template."""
         open_: dict[int, list[int]] = {}  # template: first word, end word, end in template, words covered
         spans = []
 
@@ -182,25 +234,30 @@ class LicenseScanner:
             first, end, _, covered = open_.pop(k)
             spans.append((self.templates[k][0], first, end, covered / len(self.templates[k][1])))
 
-        for i, state, matched in matches:
-            first, done = i - matched + 1, set()
-            for k, end in self.automaton.ends[state]:
-                if k in done or (matched < MIN_MATCH and matched < len(self.templates[k][1])):
-                    continue
-                start = end - matched
-                if k in open_:
-                    chain = open_[k]
-                    overlap = max(0, chain[1] - first, chain[2] - start)
-                    if overlap < matched and first - chain[1] <= MAX_GAP and start + overlap >= chain[2]:
-                        chain[1:] = [i + 1, end, chain[3] + matched - overlap]
-                        done.add(k)
-                        continue
+        for k, i, n, ends in runs:
+            first = i - n + 1
+            if k in open_:
+                chain = open_[k]
+                for end in ends:
+                    overlap = max(0, chain[1] - first, chain[2] - (end - n))
+                    if overlap < n and first - chain[1] <= MAX_GAP and end - n + overlap >= chain[2]:
+                        chain[1:] = [i + 1, end, chain[3] + n - overlap]
+                        break
+                else:
                     close(k)
-                open_[k] = [first, i + 1, end, matched]
-                done.add(k)
+            if k not in open_:
+                open_[k] = [first, i + 1, ends[0], n]
         for k in list(open_):
             close(k)
-        return sorted(spans, key=lambda s: (s[1], s[0]))
+        return spans
+
+    def _best(self, spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """The spans that do not lie by half or more in a better one."""
+        kept: list[tuple[str, int, int, float]] = []
+        for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[0], s[1])):
+            if not any(2 * (min(span[2], k[2]) - max(span[1], k[1])) >= span[2] - span[1] for k in kept):
+                kept.append(span)
+        return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("coverage", T.DoubleType())])
