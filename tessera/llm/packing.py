@@ -6,12 +6,18 @@ fullest; if none has room, a bin of the permitted length with the least cost per
 still to place limit what a large bin can hold. At last every bin shrinks to the smallest permitted length that
 holds its contents. ``SEPARATOR`` tokens follow each piece.
 
+The lengths are chosen together: a buffer is packed once for every run of neighbouring lengths that bins may open with
+(a single one among them), and the packing of the least total cost is taken. A piece too long for the run opens the
+least length that holds it.
+
 Packing runs inside the partitions as they are read: nothing is shuffled, a buffer holds at most ``BUFFER_TOKENS``
 tokens and one more document, and a lost task repeats its own bins. Only a partition's last buffer packs less than a
 full one.
 
-Null and empty texts have no tokens: they get one row without a bin. Repeated rows are packed again. Rows of an empty
-table: none.
+The pieces of a text, one after the other, are the text. Null and empty texts have no tokens: they get one row without
+a bin. Repeated rows are packed again. Of pieces of equal length the first goes first; of equally cheap runs of
+lengths the shorter one, then the one of smaller lengths, is taken. Rows of an empty table: none. Columns named like the results are replaced,
+others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,9 +56,8 @@ def open_size(need: int, left: int, sizes: tuple[int, ...]) -> int:
     return min((s for s in sizes if s >= need), key=lambda s: (cost(s) / min(s, left), s))
 
 
-def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[Bin]:
-    """Bins of item numbers; no length may exceed the largest size."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+def _pack(lengths: list[int], order: list[int], opened: tuple[int, ...], sizes: tuple[int, ...]) -> list[Bin]:
+    """Best fit in the given order; bins open with one of ``opened``, or the least of ``sizes`` where none is enough."""
     left = sum(lengths)
     bins: list[Bin] = []
     by_room: dict[int, list[int]] = {}
@@ -66,7 +71,7 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[Bin]:
             if not by_room[room]:
                 rooms &= ~(1 << room)
         else:
-            bins.append(Bin(open_size(n, left, sizes), 0, []))
+            bins.append(Bin(open_size(n, left, opened if opened[-1] >= n else (min(s for s in sizes if s >= n),)), 0, []))
             k, room = len(bins) - 1, bins[-1].size
         bins[k].items.append(i)
         bins[k].used += n
@@ -79,37 +84,48 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[Bin]:
     return bins
 
 
+def total_cost(bins: list[Bin]) -> float:
+    return sum(cost(b.size) for b in bins)
+
+
+def best_fit(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> list[Bin]:
+    """Bins of item numbers; no length may exceed the largest size. The cheapest packing over all runs of lengths."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    runs = [sizes[i : i + k] for k in range(1, len(sizes) + 1) for i in range(len(sizes) - k + 1)]
+    return min((_pack(lengths, order, opened, sizes) for opened in runs), key=total_cost, default=[])
+
+
 def pieces(text: str | None, counter: TokenCounter, most: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the cuts of a text, in code points; between cuts at most one space is left out."""
+    """(start, end, tokens) of the cuts of a text, in code points; each begins where the one before ends."""
     if not text:
         return []
+    step = max(1, (most - 1) // 4)  # a character takes at most four tokens
+    by_length = lambda a, b: [(at, min(at + step, b), counter.count(text[at : min(at + step, b)])) for at in range(a, b, step)]
     if counter.whole:
         n = counter.count(text)
-        if n <= most:
-            return [(0, len(text), n)]
-        step = max(1, (most - 1) // 4)  # a character takes at most four tokens
-        return [(a, min(a + step, len(text)), counter.count(text[a : a + step])) for a in range(0, len(text), step)]
+        return [(0, len(text), n)] if n <= most else by_length(0, len(text))
     parts = pre_tokens(text)
     counts = list(map(counter.lengths.__getitem__, parts))
     if sum(counts) <= most:
         return [(0, len(text), sum(counts))]
-    cuts, at = [], 0
-    start, total = 0, 0
-    for part, n in zip(parts, counts):
+    cuts: list[tuple[int, int, int]] = []
+    start = end = total = 0  # the piece that grows: where it starts and ends, and its tokens
+    for k, (part, n) in enumerate(zip(parts, counts)):
+        after = end + len(part) + (k > 0)
+        if total and total + n > most:
+            cuts.append((start, end, total))
+            start, total = end, 0
+        if not total:
+            # a piece that begins within the text keeps the space before its first word
+            n = counter.count(text[start:after])
         if n > most:
-            if total:
-                cuts.append((start, at - 1, total))
-            step = max(1, (most - 1) // 4)
-            cuts += [(at + a, at + min(a + step, len(part)), counter.count(part[a : a + step])) for a in range(0, len(part), step)]
-            start, total = at + len(part) + 1, 0
-        elif total + n > most:
-            cuts.append((start, at - 1, total))
-            start, total = at, n if part else 0
+            cuts += by_length(start, after)
+            start, total = after, 0
         else:
             total += n
-        at += len(part) + 1
-    if total:
-        cuts.append((start, len(text), total))
+        end = after
+    if end > start:
+        cuts.append((start, end, total))
     return cuts
 
 
