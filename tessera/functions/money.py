@@ -33,3 +33,12 @@ def stable_key(*parts: Column) -> Column:
 def json_key(kind: Column, document: Column) -> Column:
     """``kind:md5`` of a JSON document, whatever the order of its keys."""
     return F.concat(kind, F.lit(":"), F.md5(F.to_json(F.parse_json(document))))
+
+
+CHARS_PER_TOKEN = 4
+
+
+def prompt_cost_bound(prompt_chars: Column, max_output_tokens: Column, prices: dict[str, float]) -> Column:
+    """The most that one call can cost (MTH3): the prompt that is sent and the whole output budget."""
+    tokens = F.floor(prompt_chars / CHARS_PER_TOKEN) + 1
+    return token_cost_micros({"input": tokens, "output": max_output_tokens}, prices)

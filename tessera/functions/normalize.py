@@ -48,8 +48,12 @@ TRACKING_PARAMETERS = r"(?i)^(utm_[a-z_]+|gclid|fbclid|msclkid|mc_[a-z]+|ref|sou
 VISUAL_SEPARATORS = " ·•‧‐‑‒–—―"
 MAX_EMAIL = 254
 
-# Top-level domains are a parameter; without one, two letters or one of these generic names count.
-GENERIC_TLDS = ["com", "org", "net", "edu", "gov", "info", "biz", "io", "clinic", "dental", "care", "health", "shop", "app", "dev", "online", "site", "store"]
+# Top-level domains are a parameter; without one, every word of letters counts that is no file's or inner network's.
+NOT_TLDS = [
+    "png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "ico", "bmp", "css", "js", "html", "htm", "php", "asp", "aspx", "jsp",
+    "pdf", "json", "xml", "txt", "csv", "mp3", "mp4", "woff", "woff2", "ttf", "example", "test", "invalid", "localhost", "local",
+    "internal", "lan", "home", "corp",
+]
 
 #: Numbering rules by region: country code, trunk prefix, national number, mobile prefix (null: cannot be told).
 #: A number of a region that is not listed is not validated and becomes null.
@@ -63,6 +67,33 @@ PHONE_RULES = {
     "AE": ("971", "0", "[2-79][0-9]{7,8}", "5"),
     "FR": ("33", "0", "[1-9][0-9]{8}", "[67]"),
     "DE": ("49", "0", "[1-9][0-9]{5,10}", "1[567]"),
+    "ES": ("34", "", "[679][0-9]{8}", "[67]"),
+    "IT": ("39", "", "(?:0[0-9]{5,10}|3[0-9]{8,9})", "3"),
+    "NL": ("31", "0", "[1-9][0-9]{8}", "6"),
+    "BE": ("32", "0", "[1-9][0-9]{7,8}", "4[5-9][0-9]"),
+    "CH": ("41", "0", "[2-9][0-9]{8}", "7[4-9]"),
+    "AT": ("43", "0", "[1-9][0-9]{6,12}", "6[5-9]"),
+    "SE": ("46", "0", "[1-9][0-9]{6,8}", "7[02369]"),
+    "NO": ("47", "", "[2-9][0-9]{7}", "[49]"),
+    "DK": ("45", "", "[2-9][0-9]{7}", None),
+    "FI": ("358", "0", "[1-9][0-9]{5,10}", "(?:4|50)"),
+    "IE": ("353", "0", "[1-9][0-9]{6,8}", "8[35679]"),
+    "PT": ("351", "", "[29][0-9]{8}", "9"),
+    "PL": ("48", "", "[1-9][0-9]{8}", "(?:4[5]|5[0137]|6[069]|7[23589]|88)"),
+    "NZ": ("64", "0", "[2-9][0-9]{7,9}", "2"),
+    "ZA": ("27", "0", "[1-8][0-9]{8}", "[6-8]"),
+    "BR": ("55", "0", "[1-9][1-9](?:9[0-9]{8}|[2-5][0-9]{7})", "[1-9][1-9]9"),
+    "MX": ("52", "", "[2-9][0-9]{9}", None),
+    "JP": ("81", "0", "[1-9][0-9]{8,9}", "[789]0"),
+    "MY": ("60", "0", "(?:1[0-9]{8,9}|[3-9][0-9]{7,8})", "1"),
+    "PK": ("92", "0", "(?:3[0-9]{9}|[2-9][0-9]{7,9})", "3"),
+    "BD": ("880", "0", "(?:1[3-9][0-9]{8}|[2-9][0-9]{5,9})", "1"),
+    "LK": ("94", "0", "[1-9][0-9]{8}", "7"),
+    "NP": ("977", "0", "(?:9[678][0-9]{8}|[1-9][0-9]{6,7})", "9[678]"),
+    "SA": ("966", "0", "(?:5[0-9]{8}|1[1-7][0-9]{7})", "5"),
+    "QA": ("974", "", "[3-7][0-9]{7}", "[3567]"),
+    "KE": ("254", "0", "(?:[17][0-9]{8}|[2-6][0-9]{6,8})", "[17]"),
+    "NG": ("234", "0", "(?:[789][01][0-9]{8}|[1-9][0-9]{6,8})", "[789][01]"),
 }
 
 
@@ -154,7 +185,7 @@ def is_platform_host(url: Column) -> Column:
 
 def has_real_tld(domain: Column, tlds: list[str] | None = None) -> Column:
     tld = F.lower(F.regexp_extract(domain, r"\.([^.]+)\.?$", 1))
-    return tld.isin(tlds) if tlds else (tld.isin(GENERIC_TLDS) | F.regexp_like(tld, F.lit("^[a-z]{2}$")))
+    return tld.isin(tlds) if tlds else (F.regexp_like(tld, F.lit("^(?:[a-z]{2,24}|xn--[a-z0-9-]+)$")) & ~tld.isin(NOT_TLDS))
 
 
 def email(address: Column, tlds: list[str] | None = None) -> Column:
@@ -206,25 +237,23 @@ def phone_e164(raw: Column, region: Column) -> Column:
     """``+`` and digits of a valid number, or null; without ``+`` the region's rules read it."""
     spaced = F.translate(raw, VISUAL_SEPARATORS, " " * len(VISUAL_SEPARATORS))
     digits = F.regexp_replace(spaced, r"[^0-9]", "")
-    plus = F.regexp_like(spaced, F.lit(r"^\s*\+"))
-    plain = F.regexp_like(spaced, F.lit(r"^[+0-9().\s/-]+$"))
-    out = F.lit(None).cast("string")
-    for code, (cc, trunk, national, _) in PHONE_RULES.items():
-        foreign = plus & F.regexp_like(digits, F.lit(f"^{cc}(?:{national})$"))
-        local = ~plus & (F.upper(region) == code) & F.regexp_like(digits, F.lit(f"^(?:{trunk})?(?:{national})$"))
-        number = F.when(foreign, digits).when(local, F.concat(F.lit(cc), F.regexp_extract(digits, f"(?:{trunk})?({national})$" if trunk else f"({national})$", 1)))
-        out = F.coalesce(out, F.concat(F.lit("+"), number))
-    return F.when(plain, out)
+    codes = F.create_map(*(F.lit(x) for code, rule in PHONE_RULES.items() for x in (code, rule[0])))
+    readings = F.create_map(*(F.lit(x) for code, (_, trunk, national, _) in PHONE_RULES.items() for x in (code, f"^(?:{trunk})?({national})$")))
+    whole = "|".join(dict.fromkeys(f"{cc}(?:{national})" for cc, _, national, _ in PHONE_RULES.values()))
+    at = F.upper(region)
+    foreign = F.when(F.regexp_like(digits, F.lit(f"^(?:{whole})$")), F.concat(F.lit("+"), digits))
+    local = F.concat(F.lit("+"), F.element_at(codes, at), F.nullif(F.call_function("regexp_extract", digits, F.element_at(readings, at), F.lit(1)), F.lit("")))
+    number = F.when(F.regexp_like(spaced, F.lit(r"^\s*\+")), foreign).otherwise(local)
+    return F.when(F.regexp_like(spaced, F.lit(r"^[+0-9().\s/-]+$")), number)
 
 
 def phone_type(e164: Column) -> Column:
     """mobile, fixed_line, or fixed_line_or_mobile where the numbering plan does not tell them apart."""
-    out = F.lit("unknown")
-    for cc, _, national, mobile in PHONE_RULES.values():
-        ours = F.regexp_like(e164, F.lit(rf"^\+{cc}(?:{national})$"))
-        kind = F.lit("fixed_line_or_mobile") if mobile is None else F.when(F.regexp_like(e164, F.lit(rf"^\+{cc}{mobile}")), "mobile").otherwise("fixed_line")
-        out = F.when(ours, kind).otherwise(out)
-    return F.when(e164.isNotNull(), out)
+    like = lambda rules: F.regexp_like(e164, F.lit(f"^\\+(?:{'|'.join(dict.fromkeys(rules))})$"))
+    mobile = like(f"{cc}(?={own})(?:{national})" for cc, _, national, own in PHONE_RULES.values() if own)
+    either = like(f"{cc}(?:{national})" for cc, _, national, own in PHONE_RULES.values() if not own)
+    known = like(f"{cc}(?:{national})" for cc, _, national, _ in PHONE_RULES.values())
+    return F.when(mobile, "mobile").when(either, "fixed_line_or_mobile").when(known, "fixed_line").when(e164.isNotNull(), "unknown")
 
 
 def looks_like_phone(c: Column) -> Column:

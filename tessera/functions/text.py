@@ -225,3 +225,45 @@ def decode_entities(c: Column) -> Column:
     for entity, plain in (("&#64;", "@"), ("&commat;", "@"), ("&#46;", "."), ("&period;", "."), ("&nbsp;", " "), ("&amp;", "&"), ("%40", "@"), ("%2E", "."), ("%2e", "."), ("%20", " ")):
         c = F.replace(c, F.lit(entity), F.lit(plain))
     return F.translate(c, "\u2010\u2011\u2012\u2013\u2014\u2015", "------")
+
+
+def distinct_in_order(values: Column, fold: bool = False) -> Column:
+    """The distinct elements of an array in their first order; ``fold``: whatever their case, as first written (DED2)."""
+    if not fold:
+        return F.array_distinct(values)
+    lowered = F.transform(values, F.lower)
+    return F.filter(values, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+
+def shown(value: Column, kind: str) -> Column:
+    """A value as people read it (JSN8): a dash for none, grouped numbers, yes or no, joined lists, rounded places.
+
+    ``kind``: string, number, boolean, strings (an array) or place (a struct of lat and lng).
+    """
+    if kind == "number":
+        out = F.regexp_replace(F.format_number(value, 3), r"\.?0+$", "")
+    elif kind == "boolean":
+        out = F.when(value, "Yes").otherwise("No")
+    elif kind == "strings":
+        out = F.array_join(F.transform(value, lambda x: F.coalesce(x, F.lit("—"))), " · ")
+    elif kind == "place":
+        out = F.format_string("%.4f, %.4f", value["lat"], value["lng"])
+    else:
+        out = value
+    return F.when(value.isNull(), "—").otherwise(out)
+
+
+#: The states that a history may be narrowed to, and the longest term.
+KNOWN_STATUSES, MAX_TERM = ["queued", "running", "completed", "failed", "cancelled"], 200
+
+
+def allowed_filters(status: Column, term: Column) -> Column:
+    """(status, term) of a query string as a struct: unknown states are dropped, terms trimmed and cut (FLT24)."""
+    return F.struct(F.when(status.isin(KNOWN_STATUSES), status).alias("status"), F.nullif(F.substring(F.trim(term), 1, MAX_TERM), F.lit("")).alias("term"))
+
+
+def opening_hours(specifications: Column) -> Column:
+    """Opening hours on one line of an array of (days, opens, closes); incomplete ones are left out (NRM21)."""
+    day = lambda d: F.substring(F.substring_index(d, "/", -1), 1, 2)
+    line = lambda s: F.when((F.size(s["days"]) > 0) & (s["opens"] != "") & (s["closes"] != ""), F.concat(F.array_join(F.transform(s["days"], day), ","), F.lit(" "), s["opens"], F.lit("-"), s["closes"]))
+    return F.nullif(F.array_join(F.transform(specifications, line), "; "), F.lit(""))

@@ -183,12 +183,30 @@ def merge_pages(values: DataFrame, site: Column) -> DataFrame:
     return values.withColumn("site", site).withColumn("_n", best).where("_n = 1").select("site", "field", "value", "confidence", "page_id")
 
 
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+NUMBER = r"\+[0-9][0-9 ().-]{8,}[0-9]"
+
+
+def _replaced(text: Column, pattern: str, stand_in) -> Column:
+    """The text with ``stand_in`` of every match in its place."""
+    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(stand_in(F.get(matches, i)), F.lit("")))), "")
+
+
 def scrub(text: Column) -> Column:
-    """Addresses and numbers replaced by made-up ones of the same shape, the same for the same value."""
-    token = lambda x: F.substring(F.sha2(x, 256), 1, 8)
-    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    fake = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.concat(F.lit("user-"), token(F.get(matches, i)), F.lit("@example.org")), F.lit(""))))
-    numbered = F.regexp_replace(F.array_join(fake, ""), r"\+[0-9][0-9 ().-]{8,}[0-9]", "+1 555 0100")
-    return F.when(F.contains(text, F.lit("@")), numbered).otherwise(F.regexp_replace(text, r"\+[0-9][0-9 ().-]{8,}[0-9]", "+1 555 0100"))
+    """Addresses and numbers replaced by made-up ones, the same for the same value; a number keeps its shape.
+
+    A number's digits but for its first become those of a hash of it, with 555 in front; separators stay where they are.
+    """
+    address = lambda m: F.concat(F.lit("user-"), F.substring(F.sha2(m, 256), 1, 8), F.lit("@example.org"))
+
+    def number(m: Column) -> Column:
+        own = F.concat(F.lit("555"), F.translate(F.md5(F.regexp_replace(m, "[^0-9]", "")), "abcdef", "012345"))
+        swap = lambda s, c: F.when(
+            F.regexp_like(c, F.lit("[0-9]")) & (s["n"] >= 0),
+            F.struct(F.concat(s["out"], F.when(s["n"] == 0, c).otherwise(F.substr(own, s["n"], F.lit(1)))).alias("out"), (s["n"] + 1).alias("n")),
+        ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["n"].alias("n")))
+        return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), swap)["out"]
+
+    out = F.when(F.contains(text, F.lit("@")), _replaced(text, ADDRESS, address)).otherwise(text)
+    return F.when(F.contains(out, F.lit("+")), _replaced(out, NUMBER, number)).otherwise(out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import normalize as N
+from tessera.scratch import Scratch
 
 
 def resolve_companies(candidates: DataFrame, known_places: DataFrame, known_domains: DataFrame) -> DataFrame:
@@ -110,19 +111,27 @@ def duplicates_by_content(fetches: DataFrame) -> DataFrame:
     return fetches.withColumn("owner_id", owner).withColumn("deduplicated", F.col("owner_id") != F.col("id"))
 
 
-def task_tree(tasks: DataFrame, depth: int = 32) -> DataFrame:
+def task_tree(tasks: DataFrame) -> DataFrame:
     """(id, root_id, level) of tasks (id, parent_id); orphans and their own parents are roots.
 
-    Pointers double their reach with each pass, so ``depth`` levels take log2(depth) joins.
+    Pointers double their reach with each pass, so a tree of any depth takes the logarithm of it in joins. What no
+    root reaches, a longer cycle and what hangs on it, is left out. ``id`` is unique.
     """
+    scratch = Scratch(tasks.sparkSession, "tree")
     ids = tasks.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     real = tasks.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("id"))).join(ids, "parent_id")
-    up = tasks.select("id").join(real.select("id", "parent_id"), "id", "left").select("id", F.col("parent_id").alias("up"), F.coalesce("parent_id", "id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("level"))
-    for _ in range(max(1, depth - 1).bit_length()):
+    up = tasks.select("id").join(real.select("id", "parent_id"), "id", "left").select("id", F.col("parent_id").alias("up"), F.coalesce("parent_id", "id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    up = scratch.save(up)
+    n, waiting = up.agg(F.count("*"), F.count("up")).first()
+    for _ in range(n.bit_length()):
+        if not waiting:
+            break
         far = up.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root_id").alias("root2"), F.col("level").alias("level2"))
         done = up.where(F.col("up").isNull())  # apart from the join: a null key would meet in one task
-        up = up.where(F.col("up").isNotNull()).join(far, "up", "left").select("id", F.col("up2").alias("up"), F.coalesce("root2", "root_id").alias("root_id"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")).unionByName(done)
-    return up.select("id", "root_id", "level")
+        after = scratch.save(up.where(F.col("up").isNotNull()).join(far, "up").select("id", F.col("up2").alias("up"), F.col("root2").alias("root_id"), (F.col("level") + F.col("level2")).alias("level")).unionByName(done))
+        scratch.drop(up)
+        up, waiting = after, after.agg(F.count("up")).first()[0]
+    return up.where(F.col("up").isNull()).select("id", "root_id", "level")
 
 
 def bootstrap_org(requests: DataFrame, signup_credits: int) -> dict[str, DataFrame]:
@@ -141,3 +150,13 @@ def bootstrap_org(requests: DataFrame, signup_credits: int) -> dict[str, DataFra
 def audit_entries(changes: DataFrame, actor: Column, action: str, target: Column, meta: Column) -> DataFrame:
     """Audit rows of a set of changes: who did what to what, with details as JSON; appended, never updated."""
     return changes.select(actor.alias("actor"), F.lit(action).alias("action"), target.cast("string").alias("target"), F.to_json(meta).alias("meta"))
+
+
+def stamp_exported(leads: DataFrame, exported: DataFrame, at: Column) -> DataFrame:
+    """``leads`` with exported_at set on those that a file held (``exported``: lead_id), once it was sent (SNK7).
+
+    A lead that was exported before keeps its first time.
+    """
+    sent = exported.select("lead_id", F.lit(True).alias("_sent")).distinct()
+    joined = leads.join(sent, "lead_id", "left")
+    return joined.withColumn("exported_at", F.coalesce("exported_at", F.when(F.col("_sent"), at))).drop("_sent")

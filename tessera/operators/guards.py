@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.binding import bind
 from tessera.shipping import ship
 
 #: What each role may do.
@@ -68,10 +69,56 @@ def with_url_rejection(df: DataFrame, url: Column, out: str = "reason") -> DataF
     return df.withColumn(out, rejection(url))
 
 
-def robots_allow(status: Column, disallow: Column, allow: Column, path: Column) -> Column:
-    """Whether robots rules let a path be read: the longest prefix decides, allow wins a tie.
+RULES = "array<struct<allow:boolean,path:string>>"
 
-    4xx answers allow everything, other answers without rules nothing. ``disallow`` and ``allow``: prefix arrays.
+
+def robots_rules(text: Column, agent: str) -> Column:
+    """(rules, crawl_delay) that a robots file holds for an agent, as a struct (FLT21).
+
+    Lines of user agents that follow each other share the rules after them. The groups that name the agent count, all
+    of them; without any, the groups for ``*``. Comments, blank lines and unknown lines part no group.
+    """
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
+    none, no_delay = F.array().cast(RULES), F.lit(None).cast("double")
+    start = F.struct(
+        F.lit(False).alias("naming"), F.lit(False).alias("mine"), F.lit(False).alias("every"), F.lit(False).alias("named"),
+        none.alias("own"), none.alias("star"), no_delay.alias("own_delay"), no_delay.alias("star_delay"),
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        is_agent, is_rule, is_delay = p["key"] == "user-agent", p["key"].isin("allow", "disallow") & (p["value"] != ""), p["key"] == "crawl-delay"
+        hit = is_agent & (p["value"] != "") & (p["value"] != "*") & F.startswith(F.lit(agent.lower()), F.lower(p["value"]))
+        mine = F.when(is_agent, hit | (s["naming"] & s["mine"])).otherwise(s["mine"])
+        every = F.when(is_agent, (p["value"] == "*") | (s["naming"] & s["every"])).otherwise(s["every"])
+        rule = F.struct((p["key"] == "allow").alias("allow"), p["value"].alias("path"))
+        seconds = p["value"].try_cast("double")
+        other = ~is_agent & ~p["key"].isin("allow", "disallow", "crawl-delay")
+        return F.struct(
+            F.when(other, s["naming"]).otherwise(is_agent).alias("naming"), mine.alias("mine"), every.alias("every"), (s["named"] | hit).alias("named"),
+            F.when(is_rule & mine, F.array_append(s["own"], rule)).otherwise(s["own"]).alias("own"), F.when(is_rule & every, F.array_append(s["star"], rule)).otherwise(s["star"]).alias("star"),
+            F.when(is_delay & mine, F.coalesce(s["own_delay"], seconds)).otherwise(s["own_delay"]).alias("own_delay"), F.when(is_delay & every, F.coalesce(s["star_delay"], seconds)).otherwise(s["star_delay"]).alias("star_delay"),
+        )
+
+    end = lambda s: F.struct(F.when(s["named"], s["own"]).otherwise(s["star"]).alias("rules"), F.when(s["named"], s["own_delay"]).otherwise(s["star_delay"]).alias("crawl_delay"))
+    return F.aggregate(pairs, start, step, end)
+
+
+def robots_decision(status: Column, text: Column, agent: str, path: Column) -> Column:
+    """(allowed, reason, crawl_delay) for a path with its query, as a struct (FLT21).
+
+    2xx: the longest pattern that fits decides, allow wins a tie; ``*`` stands for anything, ``$`` for the end. 4xx:
+    no rules, so allowed. Anything else: not known, so not allowed.
     """
-    longest = lambda rules: F.coalesce(F.array_max(F.transform(F.filter(rules, lambda r: (r != "") & F.startswith(path, r)), F.length)), F.lit(-1))
-    return F.when(status.between(200, 299), longest(allow) >= longest(disallow)).when(status.between(400, 499), True).otherwise(False)
+    regex = lambda p: F.concat(F.lit("^\\Q"), F.replace(F.regexp_replace(p, r"\$$", ""), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"), F.when(F.endswith(p, F.lit("$")), "$").otherwise(""))
+    fits = lambda found: F.filter(found["rules"], lambda r: F.regexp_like(path, regex(r["path"])))
+    best = lambda rules: F.array_max(F.transform(rules, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))
+    verdict = lambda allowed, reason, delay: F.struct(allowed.alias("allowed"), F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"), delay.alias("crawl_delay"))
+    none = F.lit(None).cast("double")
+
+    def judged(found: Column) -> Column:
+        allowed = F.coalesce(best(fits(found))["allow"], F.lit(True))
+        return verdict(allowed, F.when(allowed, "robots_allow").otherwise("robots_disallow"), found["crawl_delay"])
+
+    known = bind(robots_rules(text, agent), judged)
+    return F.when(status.between(200, 299), known).when(status.between(400, 499), verdict(F.lit(True), "robots_absent", none)).otherwise(verdict(F.lit(False), "robots_unavailable", none))

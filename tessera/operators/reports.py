@@ -44,25 +44,44 @@ def usage_rollup(events: DataFrame) -> DataFrame:
     return day.rollup("org_id", "meter", "day").agg(F.count("*").alias("events"), F.sum("cost_micros").alias("cost_micros"), F.grouping_id().alias("level"))
 
 
-def crawl_health(pages: DataFrame, spend: DataFrame, delivered: DataFrame) -> DataFrame:
-    """One row of crawl figures; rates without a denominator are null.
+def _usage_totals() -> list[Column]:
+    return [F.count("*").alias("events"), F.sum("cost_micros").alias("cost_micros")]
 
-    ``pages``: duration_ms, http_status, bytes, content_hash, storage_key, access_status, values_found.
+
+def usage_cube(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals by every combination of the keys (of org_id, meter, day), with the level that tells which (AGG21)."""
+    return events.withColumn("day", F.to_date("created_at")).cube(*keys).agg(*_usage_totals(), F.grouping_id().alias("level"))
+
+
+def usage_sets(events: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """Totals by each of several sets of keys (AGG21); keys that a set lacks are null."""
+    day = events.withColumn("day", F.to_date("created_at"))
+    keys = list(dict.fromkeys(k for keys in sets for k in keys))
+    return day.groupingSets([[F.col(k) for k in keys] for keys in sets], *keys).agg(*_usage_totals())
+
+
+def crawl_health(tasks: DataFrame, documents: DataFrame, spend: DataFrame, leads: DataFrame) -> DataFrame:
+    """One row of crawl figures (AGG3); rates without a denominator are null.
+
+    ``tasks``: status, pages_read, values_found, started_at, finished_at. ``documents``: access_status, storage_key,
+    content_hash, bytes. ``spend``: cost_micros.
     """
-    page = pages.agg(
-        F.count("*").alias("pages"),
-        F.count_if(F.col("access_status") == "ok").alias("ok"),
-        F.count_if(F.col("access_status") == "restricted").alias("restricted"),
-        F.count_if(F.col("access_status") == "error").alias("failed"),
-        F.count_if(F.col("content_hash").isNotNull() & F.col("storage_key").isNull()).alias("deduplicated"),
-        F.sum("values_found").alias("values_found"),
-        half_up(F.avg("duration_ms")).alias("avg_ms"),
-        F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE access_status = 'ok')").alias("p95_ms"),
-    )
-    cost = spend.agg(F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("cost_micros"))
-    leads = delivered.agg(F.count("*").alias("leads"))
-    one = page.crossJoin(cost).crossJoin(leads)  # three single rows
-    return one.withColumn("cost_per_lead", F.try_divide("cost_micros", "leads"))
+    ms = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000
+    state = lambda s: F.count_if(F.col("status") == s)
+    pages, found = F.coalesce("pages_read", F.lit(0)), F.coalesce("values_found", F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    task = tasks.agg(
+        F.count("*").alias("tasks"), state("completed").alias("completed"), state("failed").alias("failed"), state("running").alias("running"), total(pages).alias("pages_read"),
+        F.count_if((pages == 0) & (F.col("status") == "completed")).alias("read_nothing"), F.count_if((pages > 0) & (found == 0)).alias("found_nothing"), total(found).alias("values_found"),
+        half_up(F.avg(ms)).alias("avg_ms"), half_up(F.percentile(ms, 0.95)).alias("p95_ms"), F.max("finished_at").alias("last_finished"),
+    )
+    stored, access = F.col("storage_key").isNotNull(), lambda s: F.count_if(F.col("access_status") == s)
+    document = documents.agg(
+        F.count("*").alias("documents"), access("ok").alias("ok"), access("restricted").alias("restricted"), access("error").alias("error"), F.count_if(stored).alias("stored"),
+        F.count_if(F.col("content_hash").isNotNull() & ~stored).alias("deduplicated"), total(F.when(stored, F.col("bytes"))).alias("stored_bytes"),
+    )
+    one = task.crossJoin(document).crossJoin(spend.agg(total(F.col("cost_micros")).alias("cost_micros"))).crossJoin(leads.agg(F.count("*").alias("leads")))  # four single rows
+    return one.withColumn("cost_per_lead", half_up(F.try_divide("cost_micros", "leads")))
 
 
 def lead_counts(leads: DataFrame, channels: DataFrame, now: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators import ranking
+from tessera.sources import places
 
 SPEC = """intent string, country string, cities array<string>, states array<string>, industries array<string>, has_website boolean,
           contact_any_of array<string>, social array<string>, employees_gte long, employees_lte long, min_confidence double,
@@ -93,5 +94,61 @@ def capabilities(sources: DataFrame, fields: DataFrame) -> DataFrame:
     return fields.select("field").distinct().join(have, "field", "left").withColumn("satisfiable", F.col("sources").isNotNull())
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def resolve_places(specs: DataFrame, areas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Areas (id, area_pos, slug, kind, country) and unknown names (id, name) of requests (PLN2).
+
+    ``specs``: id, country, cities, states. Two names of one area count once, at the first one's place. A request that
+    names no place searches its whole country.
+    """
+    named = F.concat(F.coalesce("cities", F.array().cast("array<string>")), F.coalesce("states", F.array().cast("array<string>")))
+    asked = F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array("country")))
+    rows = specs.select("id", "country", F.size(named).alias("given"), F.posexplode(asked).alias("pos", "name"))
+    found = places.find_areas(rows.select("name", "country").distinct(), areas)
+    joined = rows.join(found, ["name", "country"], "left")
+    known = joined.where(F.col("slug").isNotNull()).groupBy("id", "country", "kind", "slug").agg(F.min("pos").alias("area_pos")).select("id", "area_pos", "slug", "kind", "country")
+    return known, joined.where(F.col("slug").isNull() & (F.col("given") > 0)).select("id", "name").distinct()
+
+
+#: Why a plan has no task, and the kinds of task that each discovery source takes.
+NO_PLACE, NO_SOURCE = "no searchable place in this request", "no enabled source can discover businesses for this request"
+TASK_TYPES = {"overture": "discovery.place_index_search", "osm": "discovery.place_index_search", "google_places": "discovery.places_text_search"}
+
+
+def build_plan(specs: DataFrame, areas: DataFrame, queries: DataFrame, localities: DataFrame, sources: DataFrame, fields: DataFrame, templates: DataFrame, micros_per_credit: int) -> tuple[DataFrame, DataFrame]:
+    """Tasks (id, at, type, input, credit_budget, task_key) and plans (id, unsatisfiable, unknown_places, notes,
+    budget_limited) of requests, all at once (PLN1).
+
+    ``specs``: id, intent, country, cities, states, max_credits; ``queries``: id, query, query_pos; ``fields``: id,
+    field; ``sources`` as for ``capabilities`` with ``discovers``; ``templates``: intent, share, most. The cheapest
+    source that discovers places and has a kind of task is used, and its cost in credits, rounded up, is the least a
+    task may get.
+    """
+    usable = sources.where(F.col("enabled") & ((F.col("tos_class") != "red") | F.col("legal_approved")))
+    kinds = F.create_map(*(F.lit(x) for pair in TASK_TYPES.items() for x in pair))
+    source = usable.where(F.col("discovers") & F.col("key").isin(list(TASK_TYPES))).orderBy("cost_micros", "key").select("key", "cost_micros").limit(1)
+    floor = F.greatest(F.lit(1), F.ceil(F.col("cost_micros") / micros_per_credit)).cast("long")
+    source = source.select(F.element_at(kinds, F.col("key")).alias("type"), floor.alias("floor"))
+
+    known, unknown = resolve_places(specs, areas)
+    have = usable.select(F.explode("fields_provided").alias("field")).distinct()
+    lacking = fields.join(have, "field", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("field")).alias("unsatisfiable"))
+    missing = unknown.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("unknown_places"))
+    ready = specs.join(templates, "intent").join(source)  # one row of source at most
+    wide = known.select("id", F.col("slug").alias("area"), "area_pos", (F.col("kind") == "city").alias("is_city"))
+    rows = searches(ready.select("id", "most"), wide, queries, localities, F.col("most"))
+    pot = F.floor(F.greatest("max_credits", F.lit(0)) * F.least("share", F.lit(1.0))).cast("long")
+    joined = rows.join(ready.select("id", pot.alias("pot"), "floor", "type"), "id")
+    funded = ranking.split_budget(joined.where(F.col("at") <= F.floor(F.col("pot") / F.col("floor"))), ["at"], F.col("pot"), ["id"]).where(F.col("share") >= F.col("floor"))
+    payload = F.to_json(F.struct("area", "query", "locality"))
+    tasks = funded.select("id", "at", "type", payload.alias("input"), F.col("share").alias("credit_budget"), F.concat("type", F.lit(":"), F.md5(payload)).alias("task_key"))
+
+    counts = joined.groupBy("id").agg(F.count("*").alias("wanted")).join(tasks.groupBy("id").agg(F.count("*").alias("planned")), "id", "left")
+    any_source = source.select(F.lit(True).alias("_source"))
+    out = specs.select("id").join(known.select("id", F.lit(True).alias("_place")).distinct(), "id", "left").join(any_source, F.lit(True), "left").join(counts, "id", "left").join(lacking, "id", "left").join(missing, "id", "left")
+    cut = F.coalesce("wanted", F.lit(0)) - F.coalesce("planned", F.lit(0))
+    notes = F.array_compact(F.array(
+        F.when(F.col("_source").isNull(), NO_SOURCE).when(F.col("_place").isNull(), NO_PLACE),
+        F.when(cut > 0, F.concat(cut.cast("string"), F.lit(" searches not planned: the credits do not fund them"))),
+    ))
+    none = F.array().cast("array<string>")
+    return tasks, out.select("id", F.coalesce("unsatisfiable", none).alias("unsatisfiable"), F.coalesce("unknown_places", none).alias("unknown_places"), notes.alias("notes"), (cut > 0).alias("budget_limited"))

@@ -255,10 +255,17 @@ def pln_headroom_cap(spark, sf_dir):
     return ranking.capped_by_headroom(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "wanted", F.lit(60)).select("l_orderkey", "l_linenumber", F.col("granted").cast("long").alias("granted"))
 
 
-@query("json_task_tree", "SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN c_custkey ELSE 1 + (c_custkey - 1) % 3 END AS root_id, (c_custkey - 1) // 3 AS level FROM customer WHERE c_custkey <= 90 UNION ALL SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey > 90")
+@query("json_task_tree", """
+WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey < 7 OR o_orderkey % 997 = 0 THEN NULL WHEN o_orderkey % 991 = 0 THEN o_orderkey WHEN o_orderkey % 983 = 0 THEN -o_orderkey
+    WHEN o_orderkey % 977 = 8 THEN o_orderkey + 1 WHEN o_orderkey % 977 = 9 THEN o_orderkey - 1 ELSE o_orderkey - 7 END AS parent FROM orders),
+k AS (SELECT id, CASE WHEN parent IN (SELECT id FROM t) AND parent <> id THEN parent END AS parent FROM t),
+w AS (SELECT id, id AS root_id, 0::BIGINT AS level FROM k WHERE parent IS NULL UNION ALL SELECT k.id, w.root_id, w.level + 1 FROM w JOIN k ON k.parent = w.id)
+SELECT id, root_id, level FROM w""")
 def json_task_tree(spark, sf_dir):
-    """Three chains of thirty tasks; tasks whose parent is missing or themselves are roots."""
-    k = F.col("c_custkey")
-    parent = F.when((k > 3) & (k <= 90), k - 3).when(k % 2 == 0, k).when(k > 90, -k)
-    tree = graph.task_tree(table(spark, sf_dir, "customer").select(k.alias("id"), parent.alias("parent_id")))
-    return tree.withColumn("level", F.col("level").cast("long"))
+    """Seven chains over all orders, cut by roots, tasks that are their own parent, orphans and pairs in a circle."""
+    k = F.col("o_orderkey")
+    parent = (
+        F.when((k < 7) | (k % 997 == 0), None).when(k % 991 == 0, k).when(k % 983 == 0, -k)
+        .when(k % 977 == 8, k + 1).when(k % 977 == 9, k - 1).otherwise(k - 7)
+    )
+    return graph.task_tree(table(spark, sf_dir, "orders").select(k.alias("id"), parent.alias("parent_id")))

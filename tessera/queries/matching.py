@@ -18,7 +18,7 @@ def win_best_website(spark, sf_dir):
     name = F.when(k == 0, F.concat(F.lit("Dr North Star "), key, F.lit(" Ltd"))).otherwise(name)
     urls = F.array(F.lit("https://northstar.justdial.com/"), F.lit("https://other.org/"), own)
     rows = c.select(key.alias("id"), name.alias("name"), F.posexplode(urls).alias("position", "url"))
-    return matching.best_websites(rows)
+    return matching.best_websites(rows).select("id", "website", "score")
 
 
 @query("nrm_mail_provider", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Google Workspace' WHEN 1 THEN 'Microsoft 365' WHEN 2 THEN 'self-hosted' END AS provider FROM supplier")
@@ -38,12 +38,20 @@ def ext_occurrences(spark, sf_dir):
     return found.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("flt_contact_context", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'built by' WHEN 1 THEN 'postcode' WHEN 2 THEN 'long id' WHEN 3 THEN 'timestamp' WHEN 4 THEN 'masked' END AS reason FROM part")
+CONTEXTS = [
+    ("Website designed by X, call ", "98765 43210", "built by"), ("Pin: ", "110001 12", "postcode"), ("Call us ", "1234567890123", "long id"), ("Call us ", "1712345678", "timestamp"),
+    ("Write ", "***info@clinic.in", "masked"), ("Call us ", "98765 43210", None), ("<img width=\"", "1200 800 10", "drawing"), ("<a href=\"/x-", "9876543210", "address of a file"),
+    ("GSTIN ", "2799887766", "registration"), ("Updated: ", "9876543210", "date"), ("latitude ", "28.61390", "coordinate"), ("at ", "28.61390", "decimal"), ("on ", "2019-04-05", "date"),
+    ("from ", "10.0.0.12", "address"), ("see https://x.org/p", "9876543210", "part of a url"), ("a <b>bold</b> word: ", "9876543210", None), ("<input placeholder='", "9876543210", "unshown text"),
+    ("<div data-el=\"", "9876543210", "name in the page"), ("Invoice #", "9876543210", "order"), ("maintained with care by hand, call ", "9876543210", "built by"),
+]
+
+
+@query("flt_contact_context", "SELECT p_partkey, c[1 + p_partkey % len(c)] AS reason FROM part, (SELECT [" + ", ".join("NULL" if r is None else f"'{r}'" for _, _, r in CONTEXTS) + "] AS c)")
 def flt_contact_context(spark, sf_dir):
-    k = F.col("p_partkey") % 6
-    value = F.when(k == 2, "1234567890123").when(k == 3, "1712345678").when(k == 4, "***info@clinic.in").otherwise("98765 43210")
-    before = F.when(k == 0, "Website designed by X, call ").when(k == 1, "Pin: ").otherwise("Call us ")
-    return table(spark, sf_dir, "part").select("p_partkey", matching.what_it_is(value, before, F.lit(False)).alias("reason"))
+    """Twenty contexts with the reasons that a reader gave them."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in CONTEXTS)), (F.col("p_partkey") % len(CONTEXTS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", matching.what_it_is(pick(1), pick(0), F.lit(False)).alias("reason"))
 
 
 @query("win_strongest_context", "SELECT event_type AS id, user_id AS value, CASE WHEN bool_or(event_id % 4 = 0) THEN 'tel' WHEN bool_or(event_id % 4 = 1) THEN 'whatsapp' ELSE 'text' END AS context FROM events GROUP BY 1, 2")
@@ -53,13 +61,17 @@ def win_strongest_context(spark, sf_dir):
     return matching.strongest_context(seen)
 
 
-@query("ext_label_compare", "SELECT c_custkey, c_custkey % 3 <> 2 AS same FROM customer")
+@query("ext_label_compare", """
+WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'phone' ELSE 'email' END AS field, CASE WHEN o_orderkey % 2 = 0 THEN '+91 ' || (9000000000 + o_custkey * 7919) ELSE 'U' || o_custkey || '@x.in' END AS label,
+  CASE WHEN o_orderkey % 2 = 0 THEN '0' || (9000000000 + (o_custkey + o_orderkey % 3 // 2) * 7919) ELSE ' u' || (o_custkey + o_orderkey % 5 // 4) || '@X.in' END AS got FROM orders)
+SELECT o_orderkey, CASE WHEN field = 'phone' THEN right(regexp_replace(label, '[^0-9]', '', 'g'), 10) = right(regexp_replace(got, '[^0-9]', '', 'g'), 10) ELSE lower(trim(label)) = lower(trim(got)) END AS same FROM p""")
 def ext_label_compare(spark, sf_dir):
-    k = F.col("c_custkey")
-    field = F.when(k % 3 == 0, "phone").otherwise("email")
-    label = F.when(k % 3 == 0, "+91 98765 43210").otherwise("a@b.in")
-    got = F.when(k % 3 == 0, "098765-43210").when(k % 3 == 1, " A@B.in").otherwise("c@b.in")
-    return table(spark, sf_dir, "customer").select("c_custkey", matching.same_value(field, label, got).alias("same"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = lambda n: (F.lit(9_000_000_000) + n * 7919).cast("string")
+    phone = k % 2 == 0
+    label = F.when(phone, F.concat(F.lit("+91 "), number(c))).otherwise(F.concat(F.lit("U"), c, F.lit("@x.in")))
+    got = F.when(phone, F.concat(F.lit("0"), number(c + F.floor(k % 3 / 2)))).otherwise(F.concat(F.lit(" u"), c + F.floor(k % 5 / 4), F.lit("@X.in")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", matching.same_value(F.when(phone, "phone").otherwise("email"), label, got).alias("same"))
 
 
 @query("ext_unaccounted_values", "SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1")
@@ -67,3 +79,13 @@ def ext_unaccounted_values(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("value"))
     labels = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("value"))
     return matching.unaccounted(found, labels).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("nrm_website_confidence", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://acme' || c_custkey || '.org/' WHEN 1 THEN 'https://acme' || c_custkey || '.com/' END AS website, CASE WHEN c_custkey % 3 < 2 THEN 0.7 END::DOUBLE AS confidence FROM customer")
+def nrm_website_confidence(spark, sf_dir):
+    """Of two hosts that spell the name the knowledge panel's wins, as it comes first; others win only without it (NRM20)."""
+    k = F.col("c_custkey")
+    panel = F.when(k % 3 == 0, F.concat(F.lit("https://acme"), k, F.lit(".org/about"))).otherwise(F.lit("https://facebook.com/acme"))
+    found = F.when(k % 3 < 2, F.concat(F.lit("https://acme"), k, F.lit(".com/x"))).otherwise(F.lit("https://else.com/"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("Acme "), k).alias("name"), F.posexplode(F.array(panel, found)).alias("position", "url"))
+    return matching.best_websites(rows).select("id", "website", "confidence")

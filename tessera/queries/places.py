@@ -44,9 +44,6 @@ def flt_tile_layout_search(spark, sf_dir):
     return places.search(rows, box=(9.5, 10.0, 10.5, 12.0)).select("id")
 
 
-WORD = "PROMO"
-
-
 @query("flt_category_any_level_semi", f"SELECT id FROM ({PART}) WHERE list_has_any(categories, ['TIN', 'PROMO', 'brushed'])")
 def flt_category_any_level_semi(spark, sf_dir):
     return places.search(part_places(spark, sf_dir), categories=["TIN", "PROMO", "brushed"]).select("id")
@@ -130,7 +127,7 @@ def src_providing_cheapest(spark, sf_dir):
 def src_search_result_hosts(spark, sf_dir):
     """One candidate for each host that is no directory, at its best position."""
     p = table(spark, sf_dir, "pages").withColumn("host", N.host_of(F.col("url")))
-    listings = [r[0] for r in p.where(F.col("host").startswith("th")).select("host").distinct().collect()]
+    listings = p.where(F.col("host").startswith("th")).select("host")
     results = p.select(F.lit("q").alias("query"), F.col("url").alias("link"), F.col("page_id").alias("position"))
     return places.search_results(results, listings).select("host", "position")
 
@@ -183,43 +180,83 @@ def nrm_matching_key(spark, sf_dir):
     return c.select("c_custkey", N.matching_key(F.concat("c_name", tail)).alias("key"))
 
 
-@query("nrm_city_lookup", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN 'District' ELSE n_name END AS city FROM nation")
-def nrm_city_lookup(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    raw = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(" Sub-District,  Tehsil"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit(" "), "n_name", F.lit("  municipal   corporation"))).otherwise("District")
-    return n.select("n_nationkey", N.lookup_name(raw).alias("city"))
+def of(values, key):
+    """The value of a list that a key points at, as columns."""
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+def sql_of(values, key):
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"[{', '.join(map(text, values))}][1 + ({key}) % {len(values)}]"
 
 
-@query("nrm_phone_e164", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '+91' || lpad(CAST(9000000000 + c_custkey AS VARCHAR), 10, '0') END AS e164, CASE WHEN c_custkey % 2 = 0 THEN 'mobile' END AS kind FROM customer")
+UNITS = ["", " District", " sub-district", ", Tehsil", "  municipal   corporation", " Taluka District", " Nagar Palika", " - urban agglomeration", " Blocks", " Mandal (East)"]
+KEPT_UNITS = ["", "", "", "", "", "", "", "", " Blocks", " Mandal (East)"]
+
+
+@query("nrm_city_lookup", f"SELECT c_custkey, coalesce({sql_of(['', 'Old ', None], 'c_custkey // 10')} || 'Town' || c_custkey || {sql_of(KEPT_UNITS, 'c_custkey')}, 'District') AS city FROM customer")
+def nrm_city_lookup(spark, sf_dir):
+    """Ten endings, eight of them administrative, on one or two words; a name that is only an ending stays (NRM8)."""
+    k = F.col("c_custkey")
+    name = F.concat(of(["", "Old ", None], F.floor(k / 10)), F.lit("Town"), k, of(UNITS, k))
+    return table(spark, sf_dir, "customer").select("c_custkey", N.lookup_name(F.coalesce(F.concat(F.lit(" "), name, F.lit(" ")), F.lit("District"))).alias("city"))
+
+
+@query("nrm_phone_e164", """
+WITH p AS (SELECT o_orderkey, CAST(1000000000 + o_orderkey * 7919891 % 9000000000 AS VARCHAR) AS n, o_orderkey % 5 AS r FROM orders),
+d AS (SELECT *, CASE r WHEN 3 THEN right(n, 8) ELSE n END AS own FROM p)
+SELECT o_orderkey, CASE WHEN r = 0 AND regexp_matches(own, '^[1-9]') THEN '+91' || own WHEN r = 1 AND regexp_matches(own, '^[2-9]..[2-9]') THEN '+1' || own WHEN r = 2 AND regexp_matches(own, '^[1-9]') THEN '+44' || own
+  WHEN r = 3 AND regexp_matches(own, '^[3689]') THEN '+65' || own END AS e164,
+  CASE WHEN r = 0 THEN CASE WHEN regexp_matches(own, '^[6-9]') THEN 'mobile' ELSE 'fixed_line' END WHEN r = 1 AND regexp_matches(own, '^[2-9]..[2-9]') THEN 'fixed_line_or_mobile'
+  WHEN r = 2 THEN CASE WHEN own LIKE '7%' THEN 'mobile' ELSE 'fixed_line' END WHEN r = 3 AND regexp_matches(own, '^[3689]') THEN CASE WHEN regexp_matches(own, '^[89]') THEN 'mobile' ELSE 'fixed_line' END END AS kind FROM d""")
 def nrm_phone_e164(spark, sf_dir):
-    """National numbers with a trunk prefix and a visual separator; every second one lacks a digit."""
-    n = (F.lit(9_000_000_000) + F.col("c_custkey")).cast("string")
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("0"), F.substring(n, 1, 5), F.lit("·"), F.substring(n, 6, 5))).otherwise(F.substring(n, 1, 9))
-    e164 = N.phone_e164(raw, F.lit("in"))
-    return table(spark, sf_dir, "customer").select("c_custkey", e164.alias("e164"), N.phone_type(e164).alias("kind"))
+    """Numbers of every first digits in four regions' ways of writing, and of a region without rules (NRM2)."""
+    k = F.col("o_orderkey")
+    n = (F.lit(1_000_000_000) + k * 7919891 % 9_000_000_000).cast("string")
+    part = lambda a, b: F.substring(n, a, b)
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit("0"), part(1, 5), F.lit("·"), part(6, 5))).when(k % 5 == 1, F.concat(F.lit("("), part(1, 3), F.lit(") "), part(4, 3), F.lit("-"), part(7, 4)))
+        .when(k % 5 == 2, F.concat(F.lit("+44 "), part(1, 4), F.lit(" "), part(5, 6))).when(k % 5 == 3, F.concat(part(3, 4), F.lit(" "), part(7, 4))).otherwise(n)
+    )
+    e164 = N.phone_e164(raw, of(["in", "US", "FR", "SG", "XX"], k))
+    return table(spark, sf_dir, "orders").select("o_orderkey", e164.alias("e164"), N.phone_type(e164).alias("kind"))
+
 
+LOCALS = [("Info", True, True), ("a.b-c", True, False), ("user", False, False), ("x..y", False, False), ("No-Reply", True, True), ("ünï", False, False), ("o'neil", True, False), ("a b", False, False), ("bookings", True, True)]
+DOMAINS = [("Clinic.CO.in", True), ("example.com", False), ("my.agency", True), ("sub.sentry.io", False), ("img@2x.png", False), ("museum", False), ("x-1.org.", True), ("a_b.com", False), ("hospital.dental", True), ("host.local", False)]
 
-@query("nrm_email", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'c' || c_custkey || '@clinic.co.in' WHEN 1 THEN NULL ELSE 'info@c' || c_custkey || '.org' END AS email, CASE c_custkey % 3 WHEN 0 THEN false WHEN 2 THEN true END AS is_role FROM customer")
+
+@query("nrm_email", f"""
+WITH p AS (SELECT o_orderkey, {sql_of([x for x, _, _ in LOCALS], 'o_orderkey')} AS l, {sql_of([x for _, x, _ in LOCALS], 'o_orderkey')} AS l_ok, {sql_of([x for _, _, x in LOCALS], 'o_orderkey')} AS role, {sql_of([x for x, _ in DOMAINS], 'o_orderkey // 9')} AS d, {sql_of([x for _, x in DOMAINS], 'o_orderkey // 9')} AS d_ok FROM orders)
+SELECT o_orderkey, CASE WHEN l_ok AND d_ok THEN lower(l || '@' || rtrim(d, '.')) END AS email, CASE WHEN l_ok AND d_ok THEN role END AS is_role FROM p""")
 def nrm_email(spark, sf_dir):
-    key = F.col("c_custkey").cast("string")
-    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" <C"), key, F.lit("@Clinic.CO.in> "))).when(F.col("c_custkey") % 3 == 1, F.concat(key, F.lit("@example.com"))).otherwise(F.concat(F.lit("Info@c"), key, F.lit(".org.")))
-    email = N.email(raw)
-    return table(spark, sf_dir, "customer").select("c_custkey", email.alias("email"), N.is_role_email(email).alias("is_role"))
+    """Nine local parts before ten domains, each pair in brackets and spaces (NRM3, NRM7)."""
+    k = F.col("o_orderkey")
+    email = N.email(F.concat(F.lit(" <"), of([x for x, _, _ in LOCALS], k), F.lit("@"), of([x for x, _ in DOMAINS], F.floor(k / 9)), F.lit("> ")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", email.alias("email"), N.is_role_email(email).alias("is_role"))
 
 
-@query("nrm_plausible", "SELECT p_partkey, true AS phone, p_partkey % 2 = 0 AS url FROM part")
+@query("nrm_plausible", """
+WITH p AS (SELECT p_partkey, substr('12345678901234567890', 1, p_partkey % 20) AS digits, p_partkey % 7 = 0 AS odd, p_partkey % 11 AS n FROM part)
+SELECT p_partkey, length(digits) BETWEEN 7 AND 15 AND NOT odd AS phone, n NOT IN (1, 2, 4, 5) AS url FROM p""")
 def nrm_plausible(spark, sf_dir):
+    """Up to nineteen digits with separators, some with a letter; hosts, numbers and words as urls (FLT13, FLT14)."""
     k = F.col("p_partkey")
-    phone = F.format_string("+1 (%07d) x", k)
-    url = F.when(k % 2 == 0, F.concat(F.lit("https://p"), k, F.lit(".test"))).otherwise(F.format_string("12.%d", k))
-    return table(spark, sf_dir, "part").select("p_partkey", N.looks_like_phone(F.substring_index(phone, " x", 1)).alias("phone"), N.looks_like_url(url).alias("url"))
+    phone = F.concat(F.lit("+("), F.expr("substr('12345678901234567890', 1, p_partkey % 20)"), F.when(k % 7 == 0, "a").otherwise(") - "))
+    url = of(["https://p.test", "12.5", "no dots", "p.test/x", "https://nodot", "two words.in it", "HTTP://A.B", "a.b.c", "x.1", "http://1.2", "k.in"], k)
+    return table(spark, sf_dir, "part").select("p_partkey", N.looks_like_phone(phone).alias("phone"), N.looks_like_url(url).alias("url"))
+
+
+ROLE_PATHS = [("/Contact-Us/", "contact"), ("/x/our-team", "team"), ("/company/overview", "about"), ("/people-and-contact", "contact"), ("/servicesx", None), ("/what-we-do#top", "services"), ("/jobs?team=1", "careers"), ("/", None), ("/leadership/about.html", "about")]
+ANCHORS = [(None, None), ("Reach us", None), ("Our  STAFF", "team"), ("vacancies", "careers"), ("", None)]
 
 
-@query("nrm_page_role", "SELECT page_id, 'contact' AS role FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'team' FROM pages WHERE page_id % 2 = 1")
+@query("nrm_page_role", f"SELECT page_id, coalesce({sql_of([r for _, r in ANCHORS], 'page_id')}, {sql_of([r for _, r in ROLE_PATHS], 'page_id // 5')}) AS role FROM pages")
 def nrm_page_role(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    url = F.when(F.col("page_id") % 2 == 0, F.concat(N.homepage_of(F.col("url")), F.lit("/Contact-Us/"))).otherwise(F.concat(N.homepage_of(F.col("url")), F.lit("/x/our-team")))
-    return p.select("page_id", TX.page_role(url).alias("role"))
+    """Nine paths under five anchors; the anchor decides where it says something (NRM14)."""
+    k = F.col("page_id")
+    url = F.concat(N.homepage_of(F.col("url")), of([x for x, _ in ROLE_PATHS], F.floor(k / 5)))
+    return table(spark, sf_dir, "pages").select("page_id", TX.page_role(url, of([x for x, _ in ANCHORS], k)).alias("role"))
 
 
 @query("flt_crawlable", f"SELECT page_id, NOT (regexp_matches(path, '\\.(pdf|html|css)$') AND path LIKE '%.pdf') AND NOT regexp_matches(path, '(^|/)(tag|page)(/|$)') AS crawlable FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/a.pdf' WHEN 1 THEN '/tag/x' ELSE '' END AS path FROM pages)")
@@ -250,11 +287,16 @@ def geo_quarters(spark, sf_dir):
     return q.select("n_nationkey", ((F.col("min_lat") > 1.0).cast("int") * 2 + (F.col("min_lon") > 2.0).cast("int")).alias("q"))
 
 
-@query("geo_radius_and_distance", "SELECT n_nationkey, round(10.0 / 111.32, 9) AS d_lat, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(1.0) / 2), 2))), 6) AS km FROM nation")
+@query("geo_radius_and_distance", """
+WITH p AS (SELECT c_custkey, c_custkey % 121 - 60.0 AS lat, c_custkey * 7 % 360 - 180.0 AS lon, 1.0 + c_custkey % 50 AS km FROM customer)
+SELECT c_custkey, round(km / 111.32, 9) AS d_lat, round(km / (111.32 * cos(radians(lat))), 9) AS d_lon,
+  round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(1.5) / 2), 2) + cos(radians(lat)) * cos(radians(lat + 1.5)) * pow(sin(radians(-2.5) / 2), 2))), 6) AS km FROM p""")
 def geo_radius_and_distance(spark, sf_dir):
-    lat, lon = F.col("n_nationkey").cast("double"), F.lit(75.0)
-    box = geo.radius_box(lat, lon, F.lit(10.0))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(box["max_lat"] - lat, 9).alias("d_lat"), F.round(geo.haversine_km(lat, lon, lat + 1, lon), 6).alias("km"))
+    """Boxes and distances at every latitude up to sixty degrees (GEO4, GEO5)."""
+    k = F.col("c_custkey")
+    lat, lon, km = k % 121 - 60.0, k * 7 % 360 - 180.0, k % 50 + 1.0
+    box = geo.radius_box(lat, lon, km)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(box["max_lat"] - lat, 9).alias("d_lat"), F.round(box["max_lon"] - lon, 9).alias("d_lon"), F.round(geo.haversine_km(lat, lon, lat + 1.5, lon - 2.5), 6).alias("km"))
 
 
 @query("nrm_find_area", "SELECT n_name AS name, n_nationkey FROM nation")
@@ -286,7 +328,70 @@ def flt_own_site(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", TX.is_own_site(url, ["example"]).alias("own"))
 
 
-@query("nrm_decode_entities", "SELECT p_partkey, 'a' || p_partkey || '@x.in, 1-2 & 3' AS plain FROM part")
+PIECES = [("&#64;", "@"), ("%2E", "."), ("\u2013", "-"), ("&amp;", "&"), ("&nbsp;", " "), ("%40", "@"), ("&period;", "."), ("&lt", "&lt"), ("%41", "%41"), ("\u2015", "-"), ("%20", " "), ("x", "x")]
+
+
+@query("nrm_decode_entities", f"SELECT o_orderkey, 'a' || {sql_of([x for _, x in PIECES], 'o_orderkey')} || o_orderkey || {sql_of([x for _, x in PIECES], 'o_orderkey // 12')} AS plain FROM orders")
 def nrm_decode_entities(spark, sf_dir):
-    raw = F.concat(F.lit("a"), F.col("p_partkey"), F.lit("&#64;x%2Ein, 1\u20132 &amp; 3"))
-    return table(spark, sf_dir, "part").select("p_partkey", TX.decode_entities(raw).alias("plain"))
+    """Every pair of twelve pieces, two of which stay as they are (NRM16)."""
+    k = F.col("o_orderkey")
+    raw = F.concat(F.lit("a"), of([x for x, _ in PIECES], k), k, of([x for x, _ in PIECES], F.floor(k / 12)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", TX.decode_entities(raw).alias("plain"))
+
+
+def geography(spark, sf_dir):
+    """Nations as cities with an alias, and regions as states; some nations are also states of the same name."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    area = lambda df, slug, kind, people, name, alias: df.select(F.lit("IN").alias("country"), slug.alias("slug"), F.lit(kind).alias("kind"), people.alias("population"), name.alias("name"), F.array(alias).alias("aliases"))
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    city = area(n, F.lower(name), "city", k, name, F.concat(F.lit("Old Town "), k))
+    twin = area(n.where("n_nationkey % 4 = 0"), F.concat(F.lit("s-"), F.lower(name)), "state", k + 1000, name, F.concat(F.lit("S"), k))
+    state = area(r, F.lower(F.col("r_name")), "state", F.col("r_regionkey"), F.col("r_name"), F.concat(F.lit("R"), F.col("r_regionkey")))
+    return city.unionByName(twin).unionByName(state)
+
+
+@query("nrm_canonical_city", """
+WITH c AS (SELECT o_orderkey, o_custkey % 30 AS k, o_orderkey % 4 AS form FROM orders)
+SELECT o_orderkey, CASE WHEN form = 3 THEN NULL WHEN k < 25 THEN n_name ELSE CASE WHEN form = 1 THEN 'Old Town ' || k ELSE 'NATION_' || k END END AS city FROM c LEFT JOIN nation ON n_nationkey = k""")
+def nrm_canonical_city(spark, sf_dir):
+    """Names, aliases and names with a suffix become the area's; unknown ones lose the suffix only (NRM9)."""
+    k, form = F.col("o_custkey") % 30, F.col("o_orderkey") % 4
+    city = F.when(form == 0, F.concat(F.lit("nation_"), k)).when(form == 1, F.concat(F.lit("Old Town "), k)).when(form == 2, F.concat(F.lit("NATION_"), k, F.lit(" Sub-District")))
+    city = F.when((form == 0) & (k >= 25), F.concat(F.lit("NATION_"), k)).otherwise(city)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", city.alias("city"), F.lit("IN").alias("country"))
+    return places.canonical_cities(rows, geography(spark, sf_dir)).select("o_orderkey", "city")
+
+
+@query("ups_project_state", """
+WITH c AS (SELECT c_custkey, c_custkey % 7 AS k, c_custkey % 3 AS form FROM customer)
+SELECT c_custkey AS entity_id, CASE WHEN form = 2 THEN n_name ELSE r_name END AS state FROM c LEFT JOIN region ON r_regionkey = k LEFT JOIN nation ON n_nationkey = k WHERE (form < 2 AND k < 5) OR (form = 2 AND k % 4 = 0)""")
+def ups_project_state(spark, sf_dir):
+    """States by name or alias; a city's name that is no state's is left out (UPS9)."""
+    k, form = F.col("c_custkey") % 7, F.col("c_custkey") % 3
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), "r_name")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), k.alias("k"), form.alias("form")).join(r, "k", "left")
+    state = F.when(F.col("form") == 0, F.upper("r_name")).when(F.col("form") == 1, F.concat(F.lit("r"), "k")).otherwise(F.concat(F.lit("NATION_"), "k"))
+    return places.project_states(c.select("entity_id", F.coalesce(state, F.lit(" ")).alias("state"), F.lit("IN").alias("country")), geography(spark, sf_dir))
+
+
+@query("src_seed_areas", """
+WITH h AS (SELECT c_custkey, c_custkey % 3 AS t, c_custkey % 2 = 0 AS city, c_custkey % 4 * 0.6 AS span, c_custkey % 7 * 1000000 AS people, c_custkey % 50.0 AS lat, 70.0 + c_custkey % 10 AS lon FROM customer),
+b AS (SELECT *, t > 0 AND (NOT city OR span <= 1.5) AS boundary, CASE WHEN people >= 5000000 THEN 25 WHEN people >= 1000000 THEN 15 ELSE 10 END AS km FROM h)
+SELECT 'Place ' || c_custkey AS name, 'place-' || c_custkey AS slug, round(CASE WHEN boundary THEN lat ELSE lat - km / 111.32 END, 6) AS min_lat, round(CASE WHEN boundary THEN lon + span ELSE lon + km / (111.32 * cos(radians(lat))) END, 6) AS max_lon,
+  CASE WHEN boundary THEN 'boundary' ELSE 'radius' END AS bbox_source, CASE WHEN people > 0 THEN people END::BIGINT AS population FROM b""")
+def src_seed_areas(spark, sf_dir):
+    """Geocoder answers to areas: boundaries, too wide ones and points, with and without population (SRC21)."""
+    k = F.col("c_custkey")
+    lat, lon, span = k % F.lit(50.0), k % 10 + F.lit(70.0), k % 4 * F.lit(0.6)
+    hits = table(spark, sf_dir, "customer").select(
+        F.when(k % 2 == 0, "city").otherwise("state").alias("kind"), F.concat(F.lit("Place "), k).alias("name"), of(["node", "way", "relation"], k).alias("osm_type"), lat.alias("lat"), lon.alias("lon"),
+        F.array(lat, lat + span, lon, lon + span).alias("box"), F.format_number(k % 7 * 1_000_000, 0).alias("population"),
+    )
+    return places.seed_areas(hits).select("name", "slug", "min_lat", "max_lon", "bbox_source", "population")
+
+
+@query("src_prune_absent", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 2")
+def src_prune_absent(spark, sf_dir):
+    """Rows that the seed no longer names go (SRC20)."""
+    n = table(spark, sf_dir, "nation")
+    return places.prune_absent(n.withColumn("slug", F.lower("n_name")), n.where("n_regionkey <> 2").select(F.lower("n_name").alias("slug"))).select("n_nationkey")

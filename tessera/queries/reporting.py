@@ -8,6 +8,7 @@ from tessera.functions import money
 from tessera.functions import text as TX
 from tessera.operators import export, graph, guards, ranking, reports
 from tessera.plans import research
+from tessera.queries.places import geography, of, sql_of
 from tessera.registry import query, table
 
 AS_OF = "(SELECT max(ts) FROM events)"
@@ -45,25 +46,54 @@ def agg_usage_by_meter(spark, sf_dir):
     return reports.usage_by_meter(usage(spark, sf_dir), F.lit("1970-01-01").cast("timestamp"))
 
 
-@query("agg_usage_rollup", f"SELECT org_id, meter, day, count(*) AS events, sum(cost_micros)::BIGINT AS cost_micros, grouping(org_id, meter, day) AS level FROM (SELECT *, CAST(created_at AS DATE) AS day FROM ({U}) WHERE org_id % 10 = 0) GROUP BY ROLLUP (org_id, meter, day)")
+@query("agg_usage_rollup", f"SELECT org_id, meter, day, count(*) AS events, sum(cost_micros)::BIGINT AS cost_micros, grouping(org_id, meter, day) AS level FROM (SELECT *, CAST(created_at AS DATE) AS day FROM ({U})) GROUP BY ROLLUP (org_id, meter, day)")
 def agg_usage_rollup(spark, sf_dir):
-    return reports.usage_rollup(usage(spark, sf_dir).where("org_id % 10 = 0"))
+    return reports.usage_rollup(usage(spark, sf_dir))
 
 
 @query("agg_p95_null_safe", """
-WITH p AS (SELECT event_id % 977 AS duration_ms, CASE user_id % 4 WHEN 0 THEN 'restricted' WHEN 1 THEN 'error' ELSE 'ok' END AS access_status, event_id % 7 AS v, event_id % 9 = 0 AS dup FROM events)
-SELECT count(*) AS pages, count(*) FILTER (access_status = 'ok') AS ok, count(*) FILTER (access_status = 'restricted') AS restricted, count(*) FILTER (access_status = 'error') AS failed, count(*) FILTER (dup) AS deduplicated,
-  sum(v)::BIGINT AS values_found, CAST(round(avg(duration_ms)) AS BIGINT) AS avg_ms, quantile_cont(duration_ms, 0.95) FILTER (access_status = 'ok') AS p95_ms, (SELECT count(*) FROM events) AS cost_micros, 0::BIGINT AS leads, NULL::DOUBLE AS cost_per_lead FROM p""")
+WITH t AS (SELECT CASE user_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS status, event_id % 3 AS pages, event_id % 7 AS v, event_id % 977 AS ms, user_id % 4 <> 1 AS done, ts FROM events),
+d AS (SELECT CASE user_id % 4 WHEN 0 THEN 'restricted' WHEN 1 THEN 'error' ELSE 'ok' END AS access, event_id % 9 <> 0 AS stored, event_id % 2 = 0 AS hashed, event_id % 5000 AS bytes FROM events WHERE event_type <> 'view')
+SELECT count(*) AS tasks, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running, sum(pages)::BIGINT AS pages_read,
+  count(*) FILTER (pages = 0 AND status = 'completed') AS read_nothing, count(*) FILTER (pages > 0 AND v = 0) AS found_nothing, sum(v)::BIGINT AS values_found,
+  (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM d WHERE access = 'ok') AS ok, (SELECT count(*) FROM d WHERE access = 'restricted') AS restricted, (SELECT count(*) FROM d WHERE access = 'error') AS error,
+  (SELECT count(*) FROM d WHERE stored) AS stored, (SELECT count(*) FROM d WHERE hashed AND NOT stored) AS deduplicated, (SELECT sum(bytes)::BIGINT FROM d WHERE stored) AS stored_bytes,
+  CAST(round(avg(ms) FILTER (done)) AS BIGINT) AS avg_ms, CAST(round(quantile_cont(ms, 0.95) FILTER (done)) AS BIGINT) AS p95_ms, (SELECT sum(event_id % 13)::BIGINT FROM events) AS cost_micros,
+  (SELECT count(*) FROM orders) AS leads, (SELECT CAST(round((SELECT sum(event_id % 13) FROM events) / count(*)) AS BIGINT) FROM orders) AS cost_per_lead, max(ts + to_milliseconds(ms)) FILTER (done) AS last_finished FROM t""")
 def agg_p95_null_safe(spark, sf_dir):
-    """Crawl health; without a delivered lead the cost per lead is null."""
+    """Crawl health, all figures (AGG3)."""
     e = table(spark, sf_dir, "events")
-    k = F.col("user_id") % 4
-    pages = e.select(
-        (F.col("event_id") % 977).alias("duration_ms"), F.when(k == 0, "restricted").when(k == 1, "error").otherwise("ok").alias("access_status"),
-        F.when(F.col("event_id") % 9 == 0, "h").alias("content_hash"), F.lit(None).cast("string").alias("storage_key"), (F.col("event_id") % 7).alias("values_found"),
+    k, ms = F.col("user_id") % 4, F.col("event_id") % 977
+    tasks = e.select(
+        F.when(k == 0, "failed").when(k == 1, "running").otherwise("completed").alias("status"), (F.col("event_id") % 3).alias("pages_read"), (F.col("event_id") % 7).alias("values_found"),
+        F.col("ts").alias("started_at"), F.when(k != 1, F.timestamp_micros(F.unix_micros("ts") + ms * 1000)).alias("finished_at"),
     )
-    out = reports.crawl_health(pages, e.select(F.lit(1).cast("long").alias("cost_micros")), e.where("false"))
-    return out
+    documents = e.where("event_type <> 'view'").select(
+        F.when(k == 0, "restricted").when(k == 1, "error").otherwise("ok").alias("access_status"), F.when(F.col("event_id") % 9 != 0, "key").alias("storage_key"),
+        F.when(F.col("event_id") % 2 == 0, "hash").alias("content_hash"), (F.col("event_id") % 5000).alias("bytes"),
+    )
+    return reports.crawl_health(tasks, documents, e.select((F.col("event_id") % 13).alias("cost_micros")), table(spark, sf_dir, "orders"))
+
+
+@query("agg_cost_without_leads", "SELECT 0::BIGINT AS leads, NULL::BIGINT AS cost_per_lead, 0::BIGINT AS tasks")
+def agg_cost_without_leads(spark, sf_dir):
+    """Without a lead the cost of one is null, and without a task the counts are zero."""
+    e = table(spark, sf_dir, "events").where("false")
+    stamp = F.col("ts")
+    tasks = e.select(F.lit("x").alias("status"), F.lit(1).alias("pages_read"), F.lit(1).alias("values_found"), stamp.alias("started_at"), stamp.alias("finished_at"))
+    documents = e.select(*(F.lit("x").alias(c) for c in ("access_status", "storage_key", "content_hash")), F.lit(1).alias("bytes"))
+    return reports.crawl_health(tasks, documents, e.select(F.lit(1).alias("cost_micros")), e).select("leads", "cost_per_lead", "tasks")
+
+
+@query("agg_usage_cube", f"SELECT meter, day, count(*) AS events, sum(cost_micros)::BIGINT AS cost_micros, grouping(meter, day) AS level FROM (SELECT *, CAST(created_at AS DATE) AS day FROM ({U})) GROUP BY CUBE (meter, day)")
+def agg_usage_cube(spark, sf_dir):
+    """All combinations of meter and day (AGG21)."""
+    return reports.usage_cube(usage(spark, sf_dir), ["meter", "day"])
+
+
+@query("agg_usage_grouping_sets", f"SELECT org_id, meter, count(*) AS events, sum(cost_micros)::BIGINT AS cost_micros FROM ({U}) GROUP BY GROUPING SETS ((org_id), (meter), ())")
+def agg_usage_grouping_sets(spark, sf_dir):
+    return reports.usage_sets(usage(spark, sf_dir), [["org_id"], ["meter"], []])
 
 
 @query("agg_dashboard_counts", """
@@ -170,22 +200,24 @@ def agg_capabilities(spark, sf_dir):
 
 
 @query("exp_pivot_eav", """
-SELECT l_orderkey AS lead_id, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ' | ') AS sources, max(l_partkey::VARCHAR) FILTER (l_linenumber = 1) AS name, max(l_partkey::VARCHAR) FILTER (l_linenumber = 2) AS email, max(l_partkey::VARCHAR) FILTER (l_linenumber = 3) AS zeta
-FROM (SELECT * FROM lineitem WHERE l_linenumber <= 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey""")
+WITH v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, CAST(l_partkey AS VARCHAR)) AS rn FROM lineitem)
+SELECT l_orderkey AS lead_id, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ' | ') AS sources, max(l_partkey::VARCHAR) FILTER (l_linenumber = 1 AND rn = 1) AS name,
+  max(l_partkey::VARCHAR) FILTER (l_linenumber = 2 AND rn = 1) AS email, max(l_partkey::VARCHAR) FILTER (l_linenumber = 3 AND rn = 1) AS zeta
+FROM v WHERE l_linenumber <= 3 GROUP BY l_orderkey""")
 def exp_pivot_eav(spark, sf_dir):
-    """Attribute rows to a wide export: leading fields first, then the others by name."""
-    li = ranking.first_per_key(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"), ["l_orderkey", "l_linenumber"], [F.asc("l_partkey"), F.asc("l_suppkey")])
+    """Attribute rows to a wide export, the newest value of each field: leading fields first, then the others by name."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
     name = F.when(F.col("l_linenumber") == 1, "name").when(F.col("l_linenumber") == 2, "email").otherwise("zeta")
     rows = li.select(F.col("l_orderkey").alias("lead_id"), name.alias("field"), F.col("l_partkey").cast("string").alias("value"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.lit("u").alias("source_url"), F.col("l_shipdate").alias("observed_at"))
-    return export.wide(rows)
+    return export.wide(rows, ["name", "email", "zeta"])
 
 
 @query("exp_csv_escape", r"""
 SELECT doc_id, CASE WHEN regexp_matches(g, '[",\r\n]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell FROM (
-  SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@\t\r]') THEN '''' || t ELSE t END AS g FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || lang WHEN 1 THEN '-"' || source ELSE substr(text, 1, 60) END AS t FROM documents))""")
+  SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@\t\r]') THEN '''' || t ELSE t END AS g FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || lang WHEN 1 THEN '-"' || source ELSE text END AS t FROM documents))""")
 def exp_csv_escape(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('-"'), "source")).otherwise(F.substring("text", 1, 60))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('-"'), "source")).otherwise(F.col("text"))
     return d.select("doc_id", TX.csv_cell(raw).alias("cell"))
 
 
@@ -249,11 +281,72 @@ def mth_backoff_and_cost(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", money.backoff_seconds(F.col("p_size")).alias("wait_s"), cost.alias("micros"))
 
 
-@query("dat_retry_after", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN least(p_size * 100, 3600)::DOUBLE WHEN 1 THEN 90.0 END AS wait_s FROM part")
+@query("dat_retry_after", """
+WITH p AS (SELECT o_orderkey, o_orderkey % 5 AS form, o_orderkey % 9000 AS s FROM orders)
+SELECT o_orderkey, CASE form WHEN 0 THEN least(s, 3600) WHEN 1 THEN least(greatest(s - 3000, 0), 3600) WHEN 2 THEN least(s + 0.5, 3600) WHEN 3 THEN 0 END::DOUBLE AS wait_s FROM p""")
 def dat_retry_after(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    header = F.when(k == 0, (F.col("p_size") * 100).cast("string")).when(k == 1, "Wed, 21 Oct 2015 07:29:30 GMT").otherwise("soon")
-    return table(spark, sf_dir, "part").select("p_partkey", TX.retry_after(header, F.lit("2015-10-21 07:28:00").cast("timestamp")).alias("wait_s"))
+    """Seconds, dates before and after now, fractions, negative numbers, words (DAT2)."""
+    k = F.col("o_orderkey")
+    s, form = k % 9000, k % 5
+    now = F.lit("2015-10-21 07:28:00").cast("timestamp")
+    at = F.timestamp_micros(F.unix_micros(now) + (s - 3000) * 1_000_000)
+    date = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    header = F.when(form == 0, s.cast("string")).when(form == 1, date).when(form == 2, F.concat(F.lit(" "), s, F.lit(".5 "))).when(form == 3, F.concat(F.lit("-"), s)).otherwise("soon")
+    return table(spark, sf_dir, "orders").select("o_orderkey", TX.retry_after(header, now).alias("wait_s"))
+
+
+@query("mth_prompt_bound", "SELECT doc_id, CAST(ceil(((length(text) // 4 + 1) * 3.0 + (doc_id % 4096) * 15.0) / 1000000) AS BIGINT) AS micros FROM documents")
+def mth_prompt_bound(spark, sf_dir):
+    """The most a call with each text as its prompt can cost (MTH3)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", money.prompt_cost_bound(F.length("text"), F.col("doc_id") % 4096, {"input": 3.0, "output": 15.0}).alias("micros"))
+
+
+@query("ups_stamp_exported", "SELECT o_orderkey AS lead_id, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2030-01-01' END AS exported_at FROM orders")
+def ups_stamp_exported(spark, sf_dir):
+    """Sent leads get the time once; those sent before keep theirs (SNK7)."""
+    k = F.col("o_orderkey")
+    leads = table(spark, sf_dir, "orders").select(k.alias("lead_id"), F.when(k % 5 == 0, F.col("o_orderdate")).alias("exported_at"))
+    return graph.stamp_exported(leads, leads.where("lead_id % 3 = 0"), F.lit("2030-01-01").cast("timestamp"))
+
+
+@query("json_display", f"SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '—' WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS flag, CASE WHEN c_custkey % 7 = 0 THEN '—' ELSE format('{{:,}}', c_custkey * 12345) END AS number, {sql_of(['a · b', 'a · —', ''], 'c_custkey')} AS list, printf('%.4f, %.4f', c_custkey / 8.0, -c_custkey / 16.0) AS place FROM customer")
+def json_display(spark, sf_dir):
+    """Values as people read them (JSN8)."""
+    k = F.col("c_custkey")
+    lists = F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(k % 3 == 1, F.array(F.lit("a"), F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    place = F.struct((k / 8.0).alias("lat"), (-k / 16.0).alias("lng"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", TX.shown(F.when(k % 9 != 0, k % 2 == 0), "boolean").alias("flag"), TX.shown(F.when(k % 7 != 0, k * 12345), "number").alias("number"), TX.shown(lists, "strings").alias("list"), TX.shown(place, "place").alias("place"),
+    )
+
+
+@query("flt_history_filters", f"SELECT doc_id, {sql_of(['queued', None, 'failed', None], 'doc_id')} AS status, nullif(substr(trim(text, ' '), 1, 200), '') AS term FROM documents")
+def flt_history_filters(spark, sf_dir):
+    """Unknown states are dropped, terms trimmed and cut (FLT24); the cut is the feature."""
+    d = table(spark, sf_dir, "documents")
+    f = TX.allowed_filters(of(["queued", "QUEUED", "failed", "' or 1"], F.col("doc_id")), F.concat(F.lit("  "), "text"))
+    return d.select("doc_id", f.alias("f")).select("doc_id", "f.status", "f.term")
+
+
+@query("ded_in_order", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'b,A,c' WHEN 1 THEN 'x' ELSE '' END AS folded, CASE o_orderkey % 3 WHEN 0 THEN 'b,A,a,B,c' WHEN 1 THEN 'x' ELSE '' END AS plain FROM orders")
+def ded_in_order(spark, sf_dir):
+    """Distinct values in their first order, with and without regard to case (DED2)."""
+    k = F.col("o_orderkey") % 3
+    rows = F.when(k == 0, F.split(F.lit("b,A,a,B,b,c,A"), ",")).when(k == 1, F.split(F.lit("x,x"), ",")).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(TX.distinct_in_order(rows, fold=True), ",").alias("folded"), F.array_join(TX.distinct_in_order(rows), ",").alias("plain"))
+
+
+@query("nrm_opening_hours", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Mo,Tu 09:00-17:00; Sa 10:00-12:00' WHEN 1 THEN 'Su 1' || s_suppkey % 9 || ':00-20:00' END AS hours FROM supplier")
+def nrm_opening_hours(spark, sf_dir):
+    """Days and times on one line; a specification that lacks a part says nothing (NRM21)."""
+    k = F.col("s_suppkey")
+    spec = lambda days, opens, closes: F.struct(F.array(*map(F.lit, days)).cast("array<string>").alias("days"), opens.alias("opens"), F.lit(closes).alias("closes"))
+    specs = (
+        F.when(k % 4 == 0, F.array(spec(["https://schema.org/Monday", "Tuesday"], F.lit("09:00"), "17:00"), spec(["Saturday"], F.lit("10:00"), "12:00")))
+        .when(k % 4 == 1, F.array(spec(["Sunday"], F.concat(F.lit("1"), k % 9, F.lit(":00")), "20:00"), spec(["Monday"], F.lit(""), "12:00"))).when(k % 4 == 2, F.array(spec([], F.lit("1"), "2")))
+    )
+    return table(spark, sf_dir, "supplier").select("s_suppkey", TX.opening_hours(specs).alias("hours"))
 
 
 @query("flt_tenant_rows", "SELECT c_custkey FROM customer WHERE c_nationkey = 5")
@@ -263,34 +356,84 @@ def flt_tenant_rows(spark, sf_dir):
     return guards.tenant_rows(c, "5").unionAll(guards.tenant_rows(c, None)).select("c_custkey")
 
 
-@query("flt_role_matrix", "SELECT r AS role, p AS permission, r IN ('owner', 'billing') AS allowed FROM (VALUES ('owner'), ('admin'), ('member'), ('billing'), ('guest')) AS a(r), (VALUES ('billing')) AS b(p)")
+GRANTS = {
+    "read": "owner admin member viewer billing", "research": "owner admin member", "export": "owner admin member", "billing": "owner billing",
+    "members": "owner admin", "settings": "owner admin", "delete": "owner", "audit": "owner admin",
+}
+
+
+@query("flt_role_matrix", "SELECT c_custkey, list_contains(string_split(CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GRANTS.items()) + """ END, ' '), r) AS allowed FROM (
+  SELECT c_custkey, ['owner', 'admin', 'member', 'viewer', 'billing', 'guest'][1 + c_custkey % 6] AS r, ['read', 'research', 'export', 'billing', 'members', 'settings', 'delete', 'audit'][1 + c_custkey // 6 % 8] AS p FROM customer)""")
 def flt_role_matrix(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('owner', 'billing'), ('admin', 'billing'), ('member', 'billing'), ('billing', 'billing'), ('guest', 'billing') AS t(role, permission)")
-    return rows.withColumn("allowed", guards.allowed(F.col("role"), F.col("permission")))
+    """Every role, and one that there is not, against every permission (FLT26)."""
+    k = F.col("c_custkey")
+    of = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    permission = of(list(GRANTS), F.floor(k / 6) % 8)
+    role = of(["owner", "admin", "member", "viewer", "billing", "guest"], k % 6)
+    return table(spark, sf_dir, "customer").select("c_custkey", guards.allowed(role, permission).alias("allowed"))
+
+
+BODIES = [
+    ("<p>hello</p>", None, None), ("Checking your browser before accessing", "bot_challenge", "bot_challenge"), ("<p>reCAPTCHA here</p>", "captcha", "captcha"), ("", None, None),
+    ("<input name=p type='password'>", "login_required", "login_required"), ("Subscribe to continue reading", "paywall", "paywall"), ("Verify you are human; captcha", "bot_challenge", "bot_challenge"), ("unusual traffic from your network", "bot_challenge", "bot_challenge"),
+]
+STATUSES = [(200, None), (403, "http_403"), (401, "http_401"), (404, None), (451, "legal_block"), (503, None), (429, None)]
 
 
-@query("flt_restriction_reason", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http_403' WHEN 1 THEN 'rate_limit_challenge' WHEN 2 THEN 'bot_challenge' WHEN 3 THEN 'captcha' END AS reason FROM pages")
+@query("flt_restriction_reason", f"""
+WITH p AS (SELECT page_id, page_id % 3 = 0 AS challenged, {sql_of([s for s, _ in STATUSES], 'page_id')} AS status, {sql_of([r for _, r in STATUSES], 'page_id')} AS by_status, {sql_of([r for _, r, _ in BODIES], 'page_id // 7')} AS by_body FROM pages)
+SELECT page_id, CASE WHEN challenged AND status = 429 THEN 'rate_limit_challenge' WHEN challenged THEN 'bot_challenge:x-datadome' ELSE coalesce(by_status, by_body) END AS reason FROM p""")
 def flt_restriction_reason(spark, sf_dir):
-    k = F.col("page_id") % 6
-    body = F.when(k == 2, F.concat(F.col("html"), F.lit("Checking your browser before accessing"))).when(k == 3, F.lit("<p>reCAPTCHA here</p>")).when(k == 4, F.lit("")).otherwise(F.lit("<p>hello</p>"))
-    status = F.when(k == 0, 403).when(k == 1, 429).otherwise(200)
-    headers = F.when(k == 1, F.array(F.lit("cf-mitigated"))).otherwise(F.array(F.lit("server")))
-    return table(spark, sf_dir, "pages").select("page_id", TX.restriction_reason(status, headers, body).alias("reason"))
+    """Seven states, eight bodies and a challenging header in all combinations (FLT20)."""
+    k = F.col("page_id")
+    headers = F.when(k % 3 == 0, F.array(F.lit("x-datadome"), F.lit("server"))).otherwise(F.array(F.lit("server")))
+    return table(spark, sf_dir, "pages").select("page_id", TX.restriction_reason(of([s for s, _ in STATUSES], k), headers, of([b for b, _, _ in BODIES], F.floor(k / 7))).alias("reason"))
 
 
-@query("flt_url_guard", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'address' WHEN 2 THEN 'scheme' WHEN 3 THEN 'userinfo' END AS reason FROM pages")
-def flt_url_guard(spark, sf_dir):
-    k = F.col("page_id") % 5
-    url = F.when(k == 0, "http://169.254.169.254/x").when(k == 1, "http://[::ffff:10.0.0.1]/").when(k == 2, "ftp://example.org/").when(k == 3, "https://a:b@example.org/").otherwise(F.col("url"))
-    return guards.with_url_rejection(table(spark, sf_dir, "pages"), url).select("page_id", "reason")
+GUARDED = [
+    ("http://169.254.169.254/x", "metadata"), ("http://[::ffff:10.0.0.1]/", "address"), ("ftp://example.org/", "scheme"), ("https://a:b@example.org/", "userinfo"), ("https://example.org/a?b", None), ("http://8.8.8.8/", None),
+    ("http://127.0.0.1:80/", "address"), ("http://192.168.1.1/", "address"), ("http://LOCALHOST/", "local"), ("http://db.internal/", "local"), ("http://[fe80::1]/", "address"), ("http:///x", "host"), ("file:///etc", "scheme"),
+    ("http://metadata.google.internal/", "metadata"), ("http://[2606:4700::1111]/", None), ("http://[bad/", "unparsable"), ("http://172.31.0.9/", "address"), ("http://172.32.0.9/", None),
+]
 
 
-@query("flt_robots_rules", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN path NOT LIKE '/en/%' OR path LIKE '/en/1%' WHEN 1 THEN true ELSE false END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+@query("flt_url_guard", f"SELECT page_id, {sql_of([r for _, r in GUARDED], 'page_id')} AS reason FROM pages")
+def flt_url_guard(spark, sf_dir):
+    """Eighteen addresses with the reasons that a reader gave them (FLT19)."""
+    return guards.with_url_rejection(table(spark, sf_dir, "pages"), of([u for u, _ in GUARDED], F.col("page_id"))).select("page_id", "reason")
+
+
+ROBOTS = """# all robots
+User-agent: *
+Disallow: /de/   # nothing here
+Crawl-delay: 5
+
+User-agent: Other
+User-Agent: Tessera
+Disallow: /en/
+Allow: /en/1
+Disallow: /*?page=
+Allow: /fr/*.html$
+Disallow: /fr/
+Sitemap: https://example.org/map
+Crawl-delay: 2"""
+
+
+@query("flt_robots_rules", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+o AS (SELECT page_id, path, unnest([{'n': 4, 'a': false, 'f': path LIKE '/en/%'}, {'n': 5, 'a': true, 'f': path LIKE '/en/1%'}, {'n': 8, 'a': false, 'f': path LIKE '/%?page=%'}, {'n': 11, 'a': true, 'f': path LIKE '/fr/%.html'}, {'n': 4, 'a': false, 'f': path LIKE '/fr/%'}]) AS r FROM p),
+t AS (SELECT page_id, arg_max(r.a, r.n) FILTER (r.f) AS own FROM o GROUP BY page_id)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN coalesce(own, true) WHEN 1 THEN path NOT LIKE '/de/%' WHEN 2 THEN true ELSE false END AS allowed,
+  CASE page_id % 4 WHEN 0 THEN CASE WHEN coalesce(own, true) THEN 'robots_allow' ELSE 'robots_disallow' END WHEN 1 THEN CASE WHEN path NOT LIKE '/de/%' THEN 'robots_allow' ELSE 'robots_disallow' END WHEN 2 THEN 'robots_absent' ELSE 'robots_unavailable' END AS reason,
+  CASE page_id % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 5.0 END::DOUBLE AS crawl_delay FROM p JOIN t USING (page_id)""")
 def flt_robots_rules(spark, sf_dir):
+    """An agent with a group of its own, one without, a file that is not there and one that cannot be had."""
     k = F.col("page_id") % 4
-    status = F.when(k == 0, 200).when(k == 1, 404).otherwise(503)
-    rules = lambda *x: F.array(*map(F.lit, x))
-    return table(spark, sf_dir, "pages").select("page_id", guards.robots_allow(status, rules("/en/", ""), rules("/en/1"), TX.url_path(F.col("url"))).alias("allowed"))
+    status = F.when(k < 2, 200).when(k == 2, 404).otherwise(503)
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
+    text = F.lit(ROBOTS)
+    named, other = (guards.robots_decision(status, text, agent, path) for agent in ("tessera/1.0", "unheard"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(k == 1, other).otherwise(named).alias("d")).select("page_id", "d.*")
 
 
 @query("pln_specs_and_feasibility", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'filters.industry,filters.location' WHEN 1 THEN 'filters.location,filters.has_website,filters.employee_count' ELSE '' END AS filters, CASE c_custkey % 3 WHEN 2 THEN 'not an object' ELSE '' END AS problems FROM customer")
@@ -302,6 +445,45 @@ def pln_specs_and_feasibility(spark, sf_dir):
     return specs.join(used, "id", "left").select("id", F.coalesce("filters", F.lit("")).alias("filters"), F.array_join("problems", ",").alias("problems"))
 
 
+@query("pln_resolve_places", """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN 'country' ELSE 'nation_' || c_custkey % 25 END AS slug, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 25 <> 24 THEN 'Nowhere' END AS unknown FROM customer WHERE c_custkey % 3 <> 1
+UNION ALL SELECT c_custkey, 'nation_' || c_custkey % 25, NULL FROM customer WHERE c_custkey % 3 = 1""")
+def pln_resolve_places(spark, sf_dir):
+    """Two names of one area count once, unknown names are told, no name means the country (PLN2)."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("NATION_"), k % 25)
+    cities = F.when(k % 3 == 0, F.when(k % 25 != 24, F.array(F.lit("Nowhere"), name)).otherwise(F.array(name))).when(k % 3 == 1, F.array(name, F.concat(F.lit("Old Town "), k % 25), F.concat(name, F.lit(" District"))))
+    specs = table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("IN").alias("country"), cities.alias("cities"), F.array().cast("array<string>").alias("states"))
+    whole = spark.sql("SELECT 'IN' country, 'country' slug, 'country' kind, 9 population, 'India' name, array('IN') aliases")
+    known, unknown = research.resolve_places(specs, geography(spark, sf_dir).unionByName(whole))
+    return known.join(unknown, "id", "left").select("id", "slug", F.col("name").alias("unknown"))
+
+
+@query("pln_build_plan", """
+WITH s AS (SELECT c_custkey AS id, c_custkey % 4 AS form, c_custkey % 40 AS credits FROM customer),
+p AS (SELECT *, CASE form WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS wanted, credits * 8 // 10 AS pot FROM s),
+t AS (SELECT *, least(wanted, pot // 2) AS planned FROM p)
+SELECT id, planned, CASE WHEN planned > 0 THEN pot ELSE 0 END AS credits, CASE WHEN form = 3 THEN 'Nowhere' ELSE '' END AS unknown, CASE WHEN form = 0 THEN 'fax' ELSE '' END AS unsatisfiable, wanted > planned AS limited,
+  CASE WHEN form > 1 THEN 'no searchable place in this request' WHEN wanted > planned THEN (wanted - planned) || ' searches not planned: the credits do not fund them' ELSE '' END AS notes FROM t""")
+def pln_build_plan(spark, sf_dir):
+    """Requests with one place, two, none and an unknown one, each with its own credits (PLN1, PLN3-5)."""
+    k = F.col("c_custkey")
+    form, name = k % 4, F.concat(F.lit("NATION_"), k % 24)
+    cities = F.when(form == 0, F.array(name)).when(form == 1, F.array(name, F.concat(F.lit("NATION_"), k % 24 + 1))).when(form == 3, F.array(F.lit("Nowhere")))
+    specs = table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("find").alias("intent"), F.when(form != 2, "IN").alias("country"), cities.alias("cities"), F.lit(None).cast("array<string>").alias("states"), (k % 40).alias("max_credits"))
+    queries = specs.select("id", F.posexplode(F.array(F.lit("gym"), F.lit("yoga"))).alias("query_pos", "query"))
+    sources = spark.sql("""SELECT * FROM VALUES ('osm', 30000, true, 'green', false, true, array('phone')), ('google_places', 90000, true, 'green', false, true, array('phone')),
+        ('secret', 1, true, 'red', false, true, array('fax')), ('site', 1, true, 'green', false, false, array('email')) AS t(key, cost_micros, enabled, tos_class, legal_approved, discovers, fields_provided)""")
+    fields = specs.select("id", F.explode(F.when(F.col("id") % 4 == 0, F.array(F.lit("phone"), F.lit("fax"))).otherwise(F.array(F.lit("email")))).alias("field"))
+    templates = spark.sql("SELECT 'find' intent, 0.8D share, 6 most")
+    local = spark.sql("SELECT '' area, '' locality, 0 locality_pos WHERE false")
+    tasks, plans = research.build_plan(specs, geography(spark, sf_dir), queries, local, sources, fields, templates, 20_000)
+    got = tasks.groupBy("id").agg(F.count("*").alias("planned"), F.sum("credit_budget").alias("credits"))
+    joined = lambda c: F.array_join(c, ",")
+    out = plans.join(got, "id", "left").select("id", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("credits", F.lit(0)).alias("credits"), joined("unknown_places").alias("unknown"), joined("unsatisfiable").alias("unsatisfiable"), F.col("budget_limited").alias("limited"), joined("notes").alias("notes"))
+    return out
+
+
 @query("pln_cross_searches", """
 WITH w AS (SELECT r_regionkey AS id, n_name AS area, q AS query, NULL AS locality, 0 AS a, n_nationkey AS b, i AS c, 0 AS d FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES ('x', 0), ('y', 1)) AS t(q, i)
   UNION ALL SELECT r_regionkey, n_name, 'x', l, 1, n_nationkey, 0, j FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES ('l0', 0), ('l1', 1)) AS t(l, j) WHERE n_nationkey % 2 = 0)
@@ -352,9 +534,9 @@ def ups_bootstrap_org(spark, sf_dir):
     return joined.select("name", "slug", "role", F.col("delta").cast("int").alias("delta"))
 
 
-@query("snk_audit_append", "SELECT CAST(o_custkey AS VARCHAR) AS actor, 'lead.export' AS action, CAST(o_orderkey AS VARCHAR) AS target, '{\"status\":\"' || o_orderstatus || '\"}' AS meta FROM orders WHERE o_orderkey % 100 = 1")
+@query("snk_audit_append", "SELECT CAST(o_custkey AS VARCHAR) AS actor, 'lead.export' AS action, CAST(o_orderkey AS VARCHAR) AS target, '{\"status\":\"' || o_orderstatus || '\"}' AS meta FROM orders")
 def snk_audit_append(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1")
+    o = table(spark, sf_dir, "orders")
     return graph.audit_entries(o, F.col("o_custkey").cast("string"), "lead.export", F.col("o_orderkey"), F.struct(F.col("o_orderstatus").alias("status")))
 
 

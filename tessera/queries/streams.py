@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import normalize as N
 from tessera.functions import text as TX
 from tessera.operators import extract, ranking
+from tessera.queries.places import of, sql_of
 from tessera.registry import query, table
 from tessera.scratch import Scratch
 from tessera.streaming import events as S
@@ -50,22 +51,35 @@ def str_dedupe(spark, sf_dir):
     return streamed(spark, sf_dir, twice)
 
 
-@query("str_token_bucket")
+BUCKET_SQL = """
+WITH RECURSIVE n AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT event_type, event_id, us, i, 4.0::DOUBLE AS tokens, true AS allowed FROM n WHERE i = 1
+  UNION ALL SELECT event_type, event_id, us, i, CASE WHEN full_ >= 1 THEN full_ - 1 ELSE full_ END, full_ >= 1
+  FROM (SELECT n.*, least(5.0::DOUBLE, b.tokens + greatest(0, n.us - b.us) / 1000000::DOUBLE * 0.002::DOUBLE) AS full_ FROM b JOIN n ON n.event_type = b.event_type AND n.i = b.i + 1))
+SELECT event_type AS key, event_id, round(tokens, 6) AS tokens, allowed FROM b"""
+
+
+@query("str_token_bucket", BUCKET_SQL)
 def str_token_bucket(spark, sf_dir):
-    """A real stream with keyed state; its batch twin and the tests hold it."""
-    return streamed(spark, sf_dir, lambda s: S.token_bucket(s, "event_type", 0.002, 5.0))
+    """A real stream with keyed state."""
+    out = streamed(spark, sf_dir, lambda s: S.token_bucket(s, "event_type", 0.002, 5.0))
+    return out.select("key", "event_id", F.round("tokens", 6).alias("tokens"), "allowed")
 
 
-@query("str_token_bucket_twin")
+@query("str_token_bucket_twin", BUCKET_SQL)
 def str_token_bucket_twin(spark, sf_dir):
-    return S.token_bucket(table(spark, sf_dir, "events"), "event_type", 0.002, 5.0)
+    out = S.token_bucket(table(spark, sf_dir, "events"), "event_type", 0.002, 5.0)
+    return out.select("key", "event_id", F.round("tokens", 6).alias("tokens"), "allowed")
 
 
 @query("str_sliding_counter", """
-WITH m AS (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT a.event_type, a.minute, a.n, a.n + coalesce(b.n, 0) // 2 AS weighted, a.n + coalesce(b.n, 0) // 2 > 1 AS limited FROM m a LEFT JOIN m b ON a.event_type = b.event_type AND b.minute = a.minute - INTERVAL 1 MINUTE""")
+WITH m AS (SELECT event_id, event_type, epoch_us(ts) // 60000000 AS minute, 60000000 - epoch_us(ts) % 60000000 AS rest, ts FROM events),
+c AS (SELECT event_type, minute, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT event_id, used, used > 1 AS limited FROM (
+  SELECT event_id, row_number() OVER (PARTITION BY m.event_type, m.minute ORDER BY ts, event_id) + coalesce(c.n, 0) * rest // 60000000 AS used
+  FROM m LEFT JOIN c ON c.event_type = m.event_type AND c.minute = m.minute - 1)""")
 def str_sliding_counter(spark, sf_dir):
-    return S.sliding_counter(table(spark, sf_dir, "events"), "event_type", 1)
+    return S.sliding_counter(table(spark, sf_dir, "events"), "event_type", 1).select("event_id", "used", "limited")
 
 
 @query("str_monthly_allowance", "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) <= 2 AS free FROM events")
@@ -73,9 +87,17 @@ def str_monthly_allowance(spark, sf_dir):
     return S.monthly_allowance(table(spark, sf_dir, "events"), "user_id", 2).select("event_id", "free")
 
 
-@query("str_budget_cap", "SELECT event_id, spent::BIGINT AS spent, spent <= 300 AS accepted FROM (SELECT event_id, sum(event_id % 97) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)")
+@query("str_budget_cap", """
+WITH RECURSIVE n AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN -(event_id % 40) ELSE event_id % 97 END AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS i, 0::BIGINT AS spent, true AS accepted FROM events
+  UNION ALL SELECT n.user_id, n.event_id, n.i, CASE WHEN n.cost <= 0 OR r.spent + n.cost <= 300 THEN r.spent + n.cost ELSE r.spent END, n.cost <= 0 OR r.spent + n.cost <= 300
+  FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT event_id, spent, accepted FROM r WHERE i > 0""")
 def str_budget_cap(spark, sf_dir):
-    return S.within_budget(table(spark, sf_dir, "events"), "user_id", F.col("event_id") % 97, 300).select("event_id", "spent", "accepted")
+    """Refused calls give their claim back, so cheaper ones after them may pass; every eleventh event is a release."""
+    k = F.col("event_id")
+    cost = F.when(k % 11 == 0, -(k % 40)).otherwise(k % 97)
+    return S.within_budget(table(spark, sf_dir, "events"), "user_id", cost, 300).select("event_id", "spent", "accepted")
 
 
 @query("str_host_slots", """
@@ -146,11 +168,23 @@ def ext_reduce_page(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", TX.reduce_page(F.col("html")).alias("reduced"))
 
 
-@query("ext_emails", r"SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?i)[a-z0-9!#$%&''*+/=?^_`|~.-]+@[a-z0-9.-]+\.[a-z]{2,24}'), lambda x: lower(x)), lambda x: x LIKE '%.%.%@%' AND false))) AS n FROM documents WHERE doc_id < 0")
+MAIL_RUN = "[a-z0-9!#$%&''*+/=?^_`|~-]+(?:\\.[a-z0-9!#$%&''*+/=?^_`|~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{2,24}"
+IGNORED = "|".join(h.replace(".", "\\.") for h in N.IGNORED_MAIL_HOSTS)
+PLANTED = "text || ' write to Sales.' || doc_id % 50 || '@Firm' || doc_id % 7 || '.co.in or info' || doc_id % 3 || '@clinic-' || doc_id % 5 || '.agency, you@x.org, a@example.com, b' || doc_id || ' (at) kiosk' || doc_id % 4 || ' [dot] museum'"
+
+
+@query("ext_emails", f"""
+WITH t AS (SELECT doc_id, {PLANTED} AS x FROM documents),
+f AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(regexp_replace(x, ' \\(at\\) ', '@', 'g'), ' \\[dot\\] ', '.', 'g')), '{MAIL_RUN}')) AS m FROM t)
+SELECT doc_id, m AS email FROM f WHERE NOT regexp_matches(m, '(@|\\.)({IGNORED})$') AND split_part(m, '@', 1) NOT IN ('you', 'your', 'name', 'email', 'someone', 'user', 'username') AND m NOT LIKE '%*%@%' GROUP BY 1, 2""")
 def ext_emails(spark, sf_dir):
-    """Addresses of template hosts never count: these texts hold no others."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(TX.emails_in(F.col("text"))).alias("n")).where("n > 0").select("doc_id", F.col("n").cast("long").alias("n"))
+    """Every document's own addresses and some planted ones: role and personal, spelled out, of templates, of new domains."""
+    k = F.col("doc_id")
+    planted = F.concat(
+        "text", F.lit(" write to Sales."), k % 50, F.lit("@Firm"), k % 7, F.lit(".co.in or info"), k % 3, F.lit("@clinic-"), k % 5,
+        F.lit(".agency, you@x.org, a@example.com, b"), k, F.lit(" (at) kiosk"), k % 4, F.lit(" [dot] museum"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(TX.emails_in(planted)).alias("email"))
 
 
 @query("ext_phone_candidates")
@@ -159,20 +193,28 @@ def ext_phone_candidates(spark, sf_dir):
     return d.select("doc_id", F.explode(TX.phones_in(F.col("text"), "US")).alias("phone"))
 
 
-@query("scrub_pii")
+@query("scrub_pii", r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS a FROM documents),
+r AS (SELECT doc_id, list_reduce(list_prepend(text, list_distinct(a)), lambda t, m: replace(t, m, 'user-' || substr(sha256(m), 1, 8) || '@example.org')) AS t FROM d)
+SELECT doc_id, md5(regexp_replace(t, '\+[0-9][0-9 ().-]{8,}[0-9]', '+', 'g')) AS rest, len(regexp_extract_all(t, '\+[0-9][0-9 ().-]{8,}[0-9]')) AS n_numbers, length(t) AS chars FROM r""")
 def scrub_pii(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", extract.scrub(F.col("text")).alias("text"))
+    """What stands outside numbers is compared whole, numbers by how many there are and by their length."""
+    t = table(spark, sf_dir, "documents").select("doc_id", extract.scrub(F.col("text")).alias("t"))
+    number = r"\+[0-9][0-9 ().-]{8,}[0-9]"
+    return t.select("doc_id", F.md5(F.regexp_replace("t", number, "+")).alias("rest"), F.size(F.regexp_extract_all("t", F.lit(number), F.lit(0))).alias("n_numbers"), F.length("t").alias("chars"))
+
+
+SOCIALS = [
+    ("https://in.LinkedIn.com/company/Acme/about", "linkedin", "company/acme"), ("https://api.whatsapp.com/send?phone=+447700", "whatsapp", "447700"), ("http://www.instagram.com/@Shop/", "instagram", "shop"),
+    ("https://facebook.com/sharer/x", "facebook", None), ("https://wa.me/919876543210", "whatsapp", "919876543210"), ("https://twitter.com/Acme?lang=en", "x", "acme"), ("https://notfacebook.com/acme", None, None),
+    ("https://m.fb.com/acme.page", "facebook", "acme.page"), ("https://linkedin.com/feed", "linkedin", None), ("https://youtu.be/", "youtube", None), ("https://www.youtube.com/@Chan", "youtube", "chan"), ("mailto:a@b.org", None, None),
+]
 
 
-@query("nrm_social_profiles", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'whatsapp' WHEN 2 THEN 'instagram' ELSE 'facebook' END AS platform, CASE page_id % 4 WHEN 0 THEN 'company/acme' || page_id WHEN 1 THEN '4477' || page_id WHEN 2 THEN 'shop' || page_id END AS handle FROM pages")
+@query("nrm_social_profiles", f"SELECT page_id, {sql_of([p for _, p, _ in SOCIALS], 'page_id')} AS platform, {sql_of([h for _, _, h in SOCIALS], 'page_id')} AS handle FROM pages")
 def nrm_social_profiles(spark, sf_dir):
-    k = F.col("page_id")
-    url = (
-        F.when(k % 4 == 0, F.concat(F.lit("https://in.LinkedIn.com/company/Acme"), k, F.lit("/about")))
-        .when(k % 4 == 1, F.concat(F.lit("https://api.whatsapp.com/send?phone=+4477"), k))
-        .when(k % 4 == 2, F.concat(F.lit("http://www.instagram.com/@Shop"), k, F.lit("/")))
-        .otherwise("https://facebook.com/sharer/x")
-    )
+    """Twelve addresses with what a reader sees in them (NRM15, EXT4)."""
+    url = of([u for u, _, _ in SOCIALS], F.col("page_id"))
     return table(spark, sf_dir, "pages").select("page_id", TX.social_platform(url).alias("platform"), TX.social_handle(url).alias("handle"))
 
 

@@ -231,9 +231,9 @@ def narrow(candidates: DataFrame, has_website=None, contact_any_of=None, social_
     return df
 
 
-def search_results(results: DataFrame, listings: list[str]) -> DataFrame:
-    """One candidate for each host of a result page that is no directory, at its best position."""
-    rows = results.withColumn("host", N.host_of(F.col("link"))).where((F.col("host") != "") & ~F.col("host").isin(listings))
+def search_results(results: DataFrame, listings: DataFrame) -> DataFrame:
+    """One candidate for each host of a result page that is no directory (``listings``: host), at its best position."""
+    rows = results.withColumn("host", N.host_of(F.col("link"))).where(F.col("host") != "").join(listings.select("host").distinct(), "host", "left_anti")
     return rows.groupBy("query", "host").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("position")).withColumn("name", F.col("host"))
 
 
@@ -248,12 +248,64 @@ def providing(sources: DataFrame, field: str, production: bool = True) -> DataFr
     return df.orderBy("cost_micros", "key")
 
 
-def find_areas(names: DataFrame, areas: DataFrame) -> DataFrame:
-    """(name, country, slug, kind): each name's area by slug, name or alias, cities first, then the most people."""
-    spelled = areas.select("country", "slug", "kind", "population", F.explode(F.array_distinct(F.concat(F.array("slug", N.slugify(F.col("name"))), F.transform("aliases", N.slugify)))).alias("_slug"))
+def find_areas(names: DataFrame, areas: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(name, country, slug, kind, area): each name's area by slug, name or alias, cities first, then the most people.
+
+    ``area`` is the area's own name; ``kinds`` narrows the areas, to states for example. Names of no area are left out.
+    """
+    if kinds:
+        areas = areas.where(F.col("kind").isin(kinds))
+    spelled = areas.select("country", "slug", "kind", "population", F.col("name").alias("area"), F.explode(F.array_distinct(F.concat(F.array("slug", N.slugify(F.col("name"))), F.transform("aliases", N.slugify)))).alias("_slug"))
     joined = names.withColumn("_slug", N.slugify(N.lookup_name(F.col("name")))).join(spelled, ["country", "_slug"])
-    best = F.max_by(F.struct("slug", "kind"), F.struct((F.col("kind") == "city").cast("int"), F.coalesce("population", F.lit(0)), "slug"))
-    return joined.groupBy("name", "country").agg(best.alias("a")).select("name", "country", "a.slug", "a.kind")
+    best = F.max_by(F.struct("slug", "kind", "area"), F.struct((F.col("kind") == "city").cast("int"), F.coalesce("population", F.lit(0)), "slug"))
+    return joined.groupBy("name", "country").agg(best.alias("a")).select("name", "country", "a.slug", "a.kind", "a.area")
+
+
+def canonical_cities(candidates: DataFrame, areas: DataFrame) -> DataFrame:
+    """``candidates`` (city, country) with each city as the areas spell it, else without administrative suffixes (NRM9).
+
+    Only distinct spellings meet the areas. Candidates without a city keep none.
+    """
+    wanted = candidates.where(F.col("city").isNotNull()).select(F.col("city").alias("name"), "country").distinct()
+    found = find_areas(wanted, areas).where("kind = 'city'").select(F.col("name").alias("city"), "country", F.col("area").alias("_area"))
+    joined = candidates.join(found, ["city", "country"], "left")
+    return joined.withColumn("city", F.coalesce("_area", N.lookup_name(F.col("city")))).select(*candidates.columns)
+
+
+def project_states(best: DataFrame, areas: DataFrame) -> DataFrame:
+    """(entity_id, state) of (entity_id, state, country): the states that the areas know, by their own name (UPS9)."""
+    wanted = best.where(F.trim("state") != "").select(F.col("state").alias("name"), "country").distinct()
+    found = find_areas(wanted, areas, ["state"]).select(F.col("name").alias("state"), "country", "area")
+    return best.join(found, ["state", "country"]).select("entity_id", F.col("area").alias("state"))
+
+
+def prune_absent(rows: DataFrame, seed: DataFrame, key: str = "slug") -> DataFrame:
+    """The rows that the seed still has (SRC20)."""
+    return rows.join(seed.select(key).distinct(), key, "left_semi")
+
+
+#: The radius in km that stands in for a boundary, by population, and how wide a city's boundary may be.
+RADII, LEAST_RADIUS, MAX_CITY_SPAN = [(5_000_000, 25), (1_000_000, 15)], 10, 1.5
+
+
+def seed_areas(hits: DataFrame) -> DataFrame:
+    """(name, slug, min_lat, min_lon, max_lat, max_lon, bbox_source, population) of geocoder answers (SRC21).
+
+    ``hits``: kind, name, osm_type, lat, lon, box (south, north, west, east), population as printed. A city's boundary
+    wider than MAX_CITY_SPAN, and a point, become a box around the point, by population.
+    """
+    people = F.nullif(F.regexp_replace("population", "[^0-9]", ""), F.lit("")).try_cast("long")
+    people = F.when(people > 0, people)
+    km = F.lit(LEAST_RADIUS)
+    for least, radius in reversed(RADII):
+        km = F.when(people >= least, radius).otherwise(km)
+    south, north, west, east = (F.col("box")[i] for i in range(4))
+    boundary = (F.col("osm_type") != "node") & ((F.col("kind") != "city") | (F.greatest(north - south, east - west) <= MAX_CITY_SPAN))
+    around = geo.radius_box(F.col("lat"), F.col("lon"), km.cast("double"))
+    box = F.when(boundary, F.struct(south.alias("min_lat"), west.alias("min_lon"), north.alias("max_lat"), east.alias("max_lon"))).otherwise(around)
+    rounded = [F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]
+    rows = hits.select("name", N.slugify(F.col("name")).alias("slug"), box.alias("b"), F.when(boundary, "boundary").otherwise("radius").alias("bbox_source"), people.alias("population"))
+    return rows.select("name", "slug", *rounded, "bbox_source", "population")
 
 
 def link_parents(rows: DataFrame, parent_slug: str = "parent_slug") -> DataFrame:

@@ -6,16 +6,18 @@ files (or any Spark source), keep their offsets in a checkpoint, and run to the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import money
-from tessera.shipping import ship
+from tessera.shipping import map_in_arrow, ship
 
 
 def read_events(spark: SparkSession, path: str, schema, kind: str = "parquet", **options) -> DataFrame:
@@ -48,14 +50,40 @@ def once(events: DataFrame, key: str, memory: str | None = None) -> DataFrame:
     return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def in_turn(rows: DataFrame, key: str, inputs: list[str], added: dict[str, T.DataType], fresh: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple]]) -> DataFrame:
+    """``rows`` with the columns ``added``, each key's rows replayed by ts and event_id with a carried state.
+
+    ``step(state, values of inputs)`` gives the next state and the added values. Rows pass in batches, sorted within
+    their partition, and only the current key's state is held, so a key may have any number of rows.
+    """
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in added.items())])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for b in batches:
+            out = []
+            for k, *values in zip(b.column(key).to_pylist(), *(b.column(c).to_pylist() for c in inputs)):
+                if k != now:
+                    now, state = k, fresh()
+                state, result = step(state, tuple(values))
+                out.append(result)
+            made = [pa.array([r[i] for r in out], kinds[i]) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
+
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t.simpleString().replace("bigint", "long")] for t in added.values()]
+    return map_in_arrow(rows.repartition(key).sortWithinPartitions(key, "ts", "event_id"), replay, schema)
+
+
 def sliding_counter(events: DataFrame, key: str, limit: int) -> DataFrame:
-    """Per key and minute: this minute's count plus the part of the last one that still weighs at its half, and
-    whether that is over the limit."""
-    minute = events.groupBy(key, F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
-    w = W.partitionBy(key).orderBy("minute")
-    before = F.when(F.lag("minute").over(w) == F.col("minute") - F.expr("INTERVAL 1 MINUTE"), F.lag("n").over(w)).otherwise(0)
-    out = minute.withColumn("weighted", F.col("n") + F.floor(before * 0.5).cast("long"))
-    return out.withColumn("limited", F.col("weighted") > limit)
+    """Adds used and limited to every call: its number within its key's minute, plus the part of the minute before
+    that still weighs, which is the part of this minute that is yet to come."""
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    left = 60_000_000 - F.pmod(F.unix_micros("ts"), F.lit(60_000_000))
+    now = F.row_number().over(W.partitionBy(key, "_minute").orderBy("ts", "event_id"))
+    before = F.count("*").over(W.partitionBy(key).orderBy("_minute").rangeBetween(-1, -1))
+    used = now + F.expr("div(_before * _left, 60000000)")
+    rows = events.withColumn("_minute", minute).withColumn("_before", before).withColumn("_left", left)
+    return rows.withColumn("used", used.cast("long")).withColumn("limited", F.col("used") > limit).drop("_minute", "_before", "_left")
 
 
 def monthly_allowance(events: DataFrame, key: str, allowance: int) -> DataFrame:
@@ -66,9 +94,19 @@ def monthly_allowance(events: DataFrame, key: str, allowance: int) -> DataFrame:
 
 
 def within_budget(events: DataFrame, key: str, cost: Column, cap: int) -> DataFrame:
-    """Adds spent and accepted: a call is accepted while the sum of costs up to it stays within the cap."""
-    w = W.partitionBy(key).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("spent", F.sum(cost).over(w)).withColumn("accepted", F.col("spent") <= cap)
+    """Adds spent and accepted: a call is accepted if its cost still fits under the cap, else its claim is given back.
+
+    A negative cost releases what was claimed before. ``spent`` is the total after the call.
+    """
+
+    def step(spent: int, values: tuple) -> tuple[int, tuple]:
+        (micros,) = values
+        accepted = micros <= 0 or spent + micros <= cap
+        spent += micros if accepted else 0
+        return spent, (spent, accepted)
+
+    rows = events.withColumn("_cost", F.coalesce(cost, F.lit(0)).cast("long"))
+    return in_turn(rows, key, ["_cost"], {"spent": T.LongType(), "accepted": T.BooleanType()}, lambda: 0, step).drop("_cost")
 
 
 def host_slots(requests: DataFrame, host: str, cooldown: int) -> DataFrame:
@@ -85,47 +123,42 @@ def host_slots(requests: DataFrame, host: str, cooldown: int) -> DataFrame:
     return rows.withColumn("due_at", F.timestamp_micros(due.cast("long"))).drop("_at", "_base")
 
 
-BUCKET = "key string, ts timestamp, tokens double, allowed boolean, wait_ms long"
+BUCKET = "key string, event_id long, ts timestamp, tokens double, allowed boolean, wait_ms long"
 
 
 def token_bucket(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame:
-    """(key, ts, tokens, allowed, wait_ms): a refilling bucket for each key, one token for each event.
+    """(key, event_id, ts, tokens, allowed, wait_ms): a refilling bucket for each key, one token for each event.
 
-    A key's state is its tokens and the time of its last event; each trigger's rows of a key are replayed by time.
-    On a table the same code runs as one batch of state per key.
+    A key's state is its tokens and the time of its last event. On a stream, each trigger's rows of a key are replayed
+    by time; on a table, rows pass in batches of sorted partitions.
     """
 
-    def replay(rows: pd.DataFrame, tokens: float, last: float | None) -> tuple[pd.DataFrame, float, float | None]:
-        rows = rows.sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for ts in rows["ts"]:
-            now = ts.timestamp()
-            tokens = burst if last is None else min(burst, tokens + max(0.0, now - last) * rate)
-            allowed = tokens >= 1
-            tokens -= allowed
-            out.append((ts, tokens, allowed, 0 if allowed else int(round((1 - tokens) / rate * 1000))))
-            last = now
-        return pd.DataFrame(out, columns=["ts", "tokens", "allowed", "wait_ms"]), tokens, last
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        (tokens, last), (now,) = state, values
+        tokens = burst if last is None else min(burst, tokens + max(0, now - last) / 1_000_000 * rate)
+        allowed = tokens >= 1
+        tokens -= allowed
+        return (tokens, now), (tokens, allowed, 0 if allowed else int((1 - tokens) / rate * 1000 + 0.5))
 
     def stateful(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (burst, None)
+        now = state.get if state.exists else (burst, None)
         frames = list(frames)
         if frames:
-            out, tokens, last = replay(pd.concat(frames), tokens, last)
-            state.update((float(tokens), float(last)))
-            out.insert(0, "key", str(k[0]))
-            yield out
-
-    def grouped(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = replay(rows, burst, None)
-        out.insert(0, "key", str(k[0]))
-        return out
+            rows = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
+            out = []
+            for at in rows["us"]:
+                now, result = step(now, (int(at),))
+                out.append(result)
+            state.update((float(now[0]), int(now[1])))
+            made = pd.DataFrame(out, columns=["tokens", "allowed", "wait_ms"])
+            yield pd.concat([pd.DataFrame({"key": str(k[0]), "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy()}), made], axis=1)
 
     ship(events.sparkSession)
-    slim = events.select(F.col(key).alias("_k"), "ts", "event_id")
+    slim = events.select(F.col(key).alias("_k"), "ts", "event_id", F.unix_micros("ts").alias("us"))
     if events.isStreaming:
-        return slim.groupBy("_k").applyInPandasWithState(stateful, BUCKET, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
-    return slim.groupBy("_k").applyInPandas(grouped, BUCKET)
+        return slim.groupBy("_k").applyInPandasWithState(stateful, BUCKET, "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
+    out = in_turn(slim, "_k", ["us"], {"tokens": T.DoubleType(), "allowed": T.BooleanType(), "wait_ms": T.LongType()}, lambda: (burst, None), step)
+    return out.select(F.col("_k").cast("string").alias("key"), "event_id", "ts", "tokens", "allowed", "wait_ms")
 
 
 #: What went wrong, and whether trying again helps.
