@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import bind
+
 # Fixed values -----------------------------------------------------------------------------------------------
 
 #: What a company is registered as, after punctuation became spaces.
@@ -48,11 +50,23 @@ TRACKING_PARAMETERS = r"(?i)^(utm_[a-z_]+|gclid|fbclid|msclkid|mc_[a-z]+|ref|sou
 VISUAL_SEPARATORS = " ·•‧‐‑‒–—―"
 MAX_EMAIL = 254
 
-# Top-level domains are a parameter; without one, every word of letters counts that is no file's or inner network's.
-NOT_TLDS = [
-    "png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "ico", "bmp", "css", "js", "html", "htm", "php", "asp", "aspx", "jsp",
-    "pdf", "json", "xml", "txt", "csv", "mp3", "mp4", "woff", "woff2", "ttf", "example", "test", "invalid", "localhost", "local",
-    "internal", "lan", "home", "corp",
+# Top-level domains are a parameter. Without one, two letters count, and these common generic names.
+GENERIC_TLDS = [
+    "academy", "accountants", "africa", "agency", "app", "architect", "art", "asia", "associates", "attorney", "bank", "bar", "beauty",
+    "best", "bike", "bio", "biz", "blog", "boutique", "broker", "build", "business", "cafe", "camp", "capital", "care", "careers",
+    "cars", "casa", "catering", "center", "city", "cleaning", "clinic", "clothing", "cloud", "club", "coach", "codes", "coffee", "com",
+    "community", "company", "computer", "construction", "consulting", "coop", "dance", "dental", "dentist", "design", "dev", "digital",
+    "direct", "directory", "doctor", "edu", "education", "email", "energy", "engineer", "engineering", "enterprises", "equipment",
+    "estate", "events", "exchange", "expert", "express", "family", "fan", "farm", "fashion", "film", "finance", "financial", "fit",
+    "fitness", "foundation", "fun", "fund", "furniture", "gallery", "games", "garden", "gift", "gifts", "global", "gmbh", "gov",
+    "graphics", "green", "group", "guide", "guru", "hair", "health", "healthcare", "help", "holdings", "holiday", "homes", "hospital",
+    "host", "house", "inc", "industries", "info", "insure", "int", "international", "jewelry", "jobs", "kitchen", "land", "law",
+    "lawyer", "legal", "life", "limited", "link", "live", "loan", "london", "love", "ltd", "management", "market", "marketing",
+    "media", "medical", "mil", "mobi", "money", "museum", "name", "net", "network", "news", "ngo", "ong", "online", "org", "partners",
+    "photo", "photography", "plus", "press", "pro", "properties", "property", "pub", "realty", "rent", "rentals", "repair", "report",
+    "restaurant", "run", "sale", "salon", "school", "services", "shop", "site", "social", "software", "solutions", "space", "store",
+    "studio", "support", "surgery", "systems", "tax", "team", "tech", "technology", "tel", "today", "tools", "top", "trade",
+    "training", "travel", "university", "vet", "video", "vip", "watch", "website", "wiki", "work", "works", "world", "xyz",
 ]
 
 #: Numbering rules by region: country code, trunk prefix, national number, mobile prefix (null: cannot be told).
@@ -185,7 +199,7 @@ def is_platform_host(url: Column) -> Column:
 
 def has_real_tld(domain: Column, tlds: list[str] | None = None) -> Column:
     tld = F.lower(F.regexp_extract(domain, r"\.([^.]+)\.?$", 1))
-    return tld.isin(tlds) if tlds else (F.regexp_like(tld, F.lit("^(?:[a-z]{2,24}|xn--[a-z0-9-]+)$")) & ~tld.isin(NOT_TLDS))
+    return tld.isin(tlds) if tlds else (tld.isin(GENERIC_TLDS) | F.regexp_like(tld, F.lit("^(?:[a-z]{2}|xn--[a-z0-9-]+)$")))
 
 
 def email(address: Column, tlds: list[str] | None = None) -> Column:
@@ -249,11 +263,12 @@ def phone_e164(raw: Column, region: Column) -> Column:
 
 def phone_type(e164: Column) -> Column:
     """mobile, fixed_line, or fixed_line_or_mobile where the numbering plan does not tell them apart."""
-    like = lambda rules: F.regexp_like(e164, F.lit(f"^\\+(?:{'|'.join(dict.fromkeys(rules))})$"))
-    mobile = like(f"{cc}(?={own})(?:{national})" for cc, _, national, own in PHONE_RULES.values() if own)
-    either = like(f"{cc}(?:{national})" for cc, _, national, own in PHONE_RULES.values() if not own)
-    known = like(f"{cc}(?:{national})" for cc, _, national, _ in PHONE_RULES.values())
-    return F.when(mobile, "mobile").when(either, "fixed_line_or_mobile").when(known, "fixed_line").when(e164.isNotNull(), "unknown")
+    pattern = lambda rules: f"^\\+(?:{'|'.join(dict.fromkeys(rules))})$"
+    mobile = pattern(f"{cc}(?={own})(?:{national})" for cc, _, national, own in PHONE_RULES.values() if own)
+    either = pattern(f"{cc}(?:{national})" for cc, _, national, own in PHONE_RULES.values() if not own)
+    known = pattern(f"{cc}(?:{national})" for cc, _, national, _ in PHONE_RULES.values())
+    kind = lambda x: F.when(x.rlike(mobile), "mobile").when(x.rlike(either), "fixed_line_or_mobile").when(x.rlike(known), "fixed_line").when(x.isNotNull(), "unknown")
+    return bind(e164, kind)
 
 
 def looks_like_phone(c: Column) -> Column:

@@ -31,7 +31,8 @@ def wide(values: DataFrame, fields: list[str] | None = None, preset: str = "basi
     columns where the caller knows them. The preset ``sources`` adds each field's source, url and time.
     """
     fields = fields or fields_of(values)
-    cell = F.struct(-F.unix_micros(F.col("observed_at").cast("timestamp")), "value", "source", "source_url", "observed_at")
+    newest = F.coalesce(-F.unix_micros(F.col("observed_at").try_cast("timestamp")), F.lit(2**62))  # values without a time come last
+    cell = F.struct(newest.alias("newest"), "value", "source", "source_url", "observed_at")
     best = lambda f: F.min(F.when(F.col("field") == f, cell))
     sources = F.array_join(F.array_sort(F.collect_set(F.when(F.col("field").isin(fields), F.col("source")))), " | ")
     rows = values.groupBy("lead_id").agg(sources.alias("sources"), *(best(f).alias(f"_{i}") for i, f in enumerate(fields)))

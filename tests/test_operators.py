@@ -1,12 +1,14 @@
 """Operators on small cases: bounds, nulls, ties, empty tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import normalize as N
 from tessera.functions import text as TX
-from tessera.operators import export, extract, graph, guards, ranking, reports
+from tessera.operators import export, extract, graph, guards, matching, ranking, reports
 from tessera.plans import research
 from tessera.sources import places
 from tessera.streaming import events as S
@@ -264,3 +266,33 @@ def test_plans(spark):
     p = spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_retailprice lat", "p_retailprice lon", "p_partkey id")
     assert "Exchange" not in places.search(p, box=(0, 0, 1, 1))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in ranking.keyset_page(v.select("id"), "id", 5)[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_robots_groups(spark):
+    text = "Disallow: /early\nUser-agent: a\n\nUser-agent: Tess\n# comment\nDisallow: /x\nAllow: /x/y$\nUser-agent: *\nDisallow: /\nUser-agent: tess\nCrawl-delay: 1.5\nDisallow:"
+    ask = lambda agent, path, status=200: one(spark, lambda c: guards.robots_decision(F.lit(status), c, agent, F.lit(path)), text)
+    got = [tuple(ask(*x)) for x in (("tessera", "/x/y"), ("tessera", "/x/y/z"), ("tessera", "/early"), ("b", "/z"), ("b", "/z", 404), ("b", "/z", 500))]
+    assert got == [
+        (True, "robots_allow", 1.5), (False, "robots_disallow", 1.5), (True, "robots_allow", 1.5), (False, "robots_disallow", None), (True, "robots_absent", None), (False, "robots_unavailable", None),
+    ]
+
+
+def test_refused_calls_give_their_claim_back(spark):
+    rows = [("a", i, t, c) for i, (t, c) in enumerate([(1, 50), (2, 500), (3, 10), (4, -30), (5, 70), (6, None)])] + [("b", 9, 1, 101), (None, 10, 1, 5)]
+    df = spark.createDataFrame(rows, "k string, event_id long, ts long, micros long")
+    got = {r["event_id"]: (r["spent"], r["accepted"]) for r in S.within_budget(df, "k", F.col("micros"), 100).collect()}
+    assert got == {0: (50, True), 1: (50, False), 2: (60, True), 3: (30, True), 4: (100, True), 5: (100, True), 9: (0, False), 10: (5, True)}
+
+
+def test_names_of_repeated_short_words_stay_small(spark):
+    name = "aa " * 24 + "b"
+    assert one(spark, lambda c: matching.domain_match(c, F.lit("https://" + "aa" * 24 + "b.com/")), name) == 1.0
+    assert one(spark, lambda c: matching.domain_match(c, F.lit("https://" + "aa" * 24 + "c.com/")), name) == 0.0
+
+
+def test_scrub_keeps_shapes(spark):
+    text = "call +44 (20) 7946-0958 or a@b.org, again +44 (20) 7946-0958 or +1 212 555 0100"
+    out = one(spark, extract.scrub, text)
+    assert re.sub("[0-9]", "0", out.split(" or ")[0]) == "call +00 (00) 0000-0000" and out.count("@example.org") == 1
+    numbers = re.findall(r"\+[0-9][0-9 ().-]{8,}[0-9]", out)
+    assert numbers[0] == numbers[1] != numbers[2] and "7946" not in out and len(out) == len(text) - len("a@b.org") + len("user-12345678@example.org")
