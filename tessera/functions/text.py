@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
+from tessera.functions.binding import bind
 
 # Fixed values -----------------------------------------------------------------------------------------------
 
@@ -14,11 +15,13 @@ REDACTIONS = [
     (r"(?s)\[parameters: .*?\](?=\s*(?:\(|\[|$))", "[parameters: [redacted]]"),
     (r"(\bKey \([^)]*\)=\()[^)]*\)", "$1[redacted])"),
     (r"(https?://[^\s?#'\"]+)[?#][^\s'\"]*", "$1?[redacted]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
+    (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
     (r"(?i)(bearer|token|key|secret|password)([=: ]+)(?!\()[^\s,;'\"&]+", "$1$2[redacted]"),
     (r"(?i)(\bcode=)[^\s,;'\"&]+", "$1[redacted]"),
 ]
 MAX_ERROR_TEXT = 500
+#: What a text must hold before a redaction is tried, by its place in the list.
+REDACTION_SIGNS = {0: "[parameters: ", 1: "Key (", 2: "://", 3: "@"}
 #: Page roles in the order in which they are tried.
 PAGE_ROLES = [
     ("contact", r"(?i)\b(contact|contacts|contact-us|contactus|reach-us|enquiry|enquire|sampark)\b"),
@@ -69,10 +72,16 @@ WEAK_MARKERS = [
 HEAD_CHARS, TAIL_CHARS, SMALL_BODY = 32 * 1024, 16 * 1024, 8 * 1024
 
 
+def _redacted(c: Column, pattern: str, with_: str, sign: str | None) -> Column:
+    if sign is None:
+        return F.regexp_replace(c, pattern, with_)
+    return bind(c, lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, with_)).otherwise(x))
+
+
 def redact(c: Column) -> Column:
     """Error text without parameters, keys, queries, addresses and credentials, cut to MAX_ERROR_TEXT."""
-    for pattern, with_ in REDACTIONS:
-        c = F.regexp_replace(c, pattern, with_)
+    for i, (pattern, with_) in enumerate(REDACTIONS):
+        c = _redacted(c, pattern, with_, REDACTION_SIGNS.get(i))
     return F.substring(c, 1, MAX_ERROR_TEXT)
 
 
