@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of the operators that SQL can express whole.
 
 The other queries rest on classifiers, tokenizers, fingerprints, automata, alignments or mined rules; their tests hold
-them against brute force.
+them against brute force. What fixed rules decide in three of them is held against SQL by queries of its own.
 """
 
 from __future__ import annotations
@@ -43,5 +43,31 @@ FROM a
 """
 
 
+LICENSES = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' AND ws[i + 1] = 'by') AS a, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS b,
+  list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved') AS c FROM w)
+SELECT doc_id, len(ws) AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(list_concat(a, b, c)) - 1 AS first_word, list_max(list_concat(a, b, c)) - 1 AS last_word,
+  array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p
+"""
+
+PERSONAL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(y AS HUGEINT), 999) > 255)) = 0)) AS n_ip,
+  list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 14 AND 19) AS cards,
+  len(list_filter(list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 10 AND 15)) AS n_phone FROM d)
+SELECT doc_id, n_email, n_ip, len(list_filter(cards, lambda c: list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN c[length(c) - i + 1]::INT ELSE c[length(c) - i + 1]::INT * 2 // 10 + c[length(c) - i + 1]::INT * 2 % 10 END)) % 10 = 0)) AS n_card, n_phone FROM m
+"""
+
+URLS = r"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT p.*, v.* FROM p LEFT JOIN (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS v(verdict, h, q)
+  ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q))
+SELECT page_id, host, path, h || q AS rule, verdict FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": CHAT, "op9_quality_rules": QUALITY}
+    return {"op7_chat_formatting": CHAT, "op9_quality_rules": QUALITY, "base_licenses": LICENSES, "base_personal_data": PERSONAL, "base_url_rules": URLS}

@@ -114,9 +114,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2's columns that the base phrases alone decide: what SQL can express of it."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4's columns that the fixed patterns alone decide."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 without the verdicts that the mined rules give."""
+    out = op5_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_license_scan, op3_toxicity, op4_pii, op5_url_filter,
         op6_token_counts, op7_chat_formatting, op8_decontamination, op9_quality_rules, op10_simhash,
+        base_licenses, base_personal_data, base_url_rules,
     )
     return {f.__name__: f for f in found}
