@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE_CLASS, let, unused
 
 SAMPLE_ROWS = 1_000
+FEW = 16  # repeated windows that are looked up one by one
 TIMES = 4  # how often a rule is evaluated on each row of the sample
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -59,10 +60,14 @@ def repeated_words(words: Column) -> Column:
 
 def _union(hashes: Column) -> Column:
     """Words covered by the windows whose hash occurs again."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     n = F.size(hashes)
-    twins = let(ordered, lambda s: F.zip_with(F.slice(s, 1, n - 1), F.slice(s, 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    told = lambda x: F.filter(x, lambda y: y.isNotNull())
+    again = let(F.sort_array(hashes), lambda s: F.array_distinct(told(F.zip_with(F.slice(s, 1, n - 1), F.slice(s, 2, n), lambda a, b: F.when(a == b, a)))))
+    few = lambda d: told(F.transform(hashes, lambda h, i: F.when(F.array_contains(d, h), i)))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twins = let(ordered, lambda s: told(F.zip_with(F.slice(s, 1, n - 1), F.slice(s, 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))))
+    many = F.sort_array(F.array_distinct(F.flatten(twins)))
+    starts = let(again, lambda d: F.when(F.size(d) <= FEW, few(d)).otherwise(many))
     return let(starts, lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, n), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda s, x: s + x))
 
 
