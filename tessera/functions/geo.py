@@ -32,6 +32,7 @@ def tiles_of_box(box: tuple[float, float, float, float], size: float = TILE_DEGR
 
 
 def width_km(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column) -> Column:
+    """Survey: GEO3."""
     return (max_lon - min_lon) * KM_PER_DEGREE * F.cos(F.radians((min_lat + max_lat) / 2))
 
 
@@ -43,6 +44,8 @@ def tile_grid(boxes: DataFrame, max_km: float = TILE_KM) -> DataFrame:
     """Each box (min_lat, min_lon, max_lat, max_lon) cut into rows and columns no longer than ``max_km``.
 
     Adds row, column and the tile's own box as t_min_lat, t_min_lon, t_max_lat, t_max_lon.
+
+    Survey: GEO1.
     """
     c = F.col
     rows = F.greatest(F.lit(1), F.ceil(height_km(c("min_lat"), c("max_lat")) / max_km)).cast("int")
@@ -58,7 +61,7 @@ def tile_grid(boxes: DataFrame, max_km: float = TILE_KM) -> DataFrame:
 
 
 def quarters(boxes: DataFrame) -> DataFrame:
-    """Each box cut in four, or left whole where a side would be shorter than MIN_SPAN."""
+    """Each box cut in four, or left whole where a side would be shorter than MIN_SPAN. Survey: SRC14, GEO2."""
     c = F.col
     lat, lon = (c("min_lat") + c("max_lat")) / 2, (c("min_lon") + c("max_lon")) / 2
     box = lambda a, b, x, y: F.struct(a.alias("min_lat"), b.alias("min_lon"), x.alias("max_lat"), y.alias("max_lon"))
@@ -70,11 +73,12 @@ def quarters(boxes: DataFrame) -> DataFrame:
 
 
 def radius_box(lat: Column, lon: Column, km: Column) -> Column:
-    """The box around a point, as a struct."""
+    """The box around a point, as a struct. Survey: GEO4."""
     d_lat, d_lon = km / KM_PER_DEGREE, km / (KM_PER_DEGREE * F.cos(F.radians(lat)))
     return F.struct((lat - d_lat).alias("min_lat"), (lon - d_lon).alias("min_lon"), (lat + d_lat).alias("max_lat"), (lon + d_lon).alias("max_lon"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Survey: GEO5."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * 6371.0088 * F.asin(F.sqrt(h))

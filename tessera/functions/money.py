@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def backoff_seconds(attempt: Column, base: float = 2.0, most: float = 300.0) -> Column:
-    """min(most, base * 2 ** (attempt - 1)); callers add their own jitter."""
+    """min(most, base * 2 ** (attempt - 1)); callers add their own jitter. Survey: MTH1."""
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))
 
 
 def token_cost_micros(counts: dict[str, Column], prices: dict[str, float]) -> Column:
-    """Micros for tokens at micros per million, rounded up once over the sum."""
+    """Micros for tokens at micros per million, rounded up once over the sum. Survey: MTH2."""
     total = F.lit(0.0)
     for kind, n in counts.items():
         total = total + F.coalesce(n, F.lit(0)) * prices[kind]
@@ -20,13 +20,13 @@ def token_cost_micros(counts: dict[str, Column], prices: dict[str, float]) -> Co
 
 
 def reserve_estimate(rate: Column, max_results: Column, max_credits: Column) -> Column:
-    """Credits to reserve and whether the cap cut them."""
+    """Credits to reserve and whether the cap cut them. Survey: AGG10."""
     want = rate * max_results
     return F.struct(F.least(want, max_credits).alias("credits"), (want > max_credits).alias("capped"))
 
 
 def stable_key(*parts: Column) -> Column:
-    """A key of its parts in order; null and empty parts differ."""
+    """A key of its parts in order; null and empty parts differ. Survey: JSN2."""
     return F.sha2(F.array_join(F.array(*(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), "\x1f"), 256)
 
 

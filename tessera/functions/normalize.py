@@ -145,7 +145,7 @@ def ascii_fold(c: Column) -> Column:
 
 
 def matching_key(name: Column) -> Column:
-    """The key that names are blocked on: folded, punctuation to spaces, legal suffixes off unless nothing is left."""
+    """The key that names are blocked on: folded, punctuation to spaces, legal suffixes off unless nothing is left. Survey: NRM1."""
     spaced = F.trim(F.regexp_replace(ascii_fold(name), r"[^\p{L}\p{N}]+", " "))
     suffixes = "|".join(sorted(LEGAL_SUFFIXES, key=lambda s: (-len(s), s)))
     bare = F.trim(F.regexp_replace(spaced, rf"(?:\s+(?:{suffixes}))+$", ""))
@@ -153,11 +153,12 @@ def matching_key(name: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
+    """Survey: NRM10."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
 
 
 def host_of(url: Column) -> Column:
-    """Host without user, port and ``www.``; empty where there is none."""
+    """Host without user, port and ``www.``; empty where there is none. Survey: NRM4."""
     rest = F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "")
     where = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     host = F.regexp_replace(F.regexp_replace(where, r"^.*@", ""), r":.*$", "")
@@ -175,7 +176,7 @@ def _suffix_labels(host: Column) -> Column:
 
 
 def site_domain(url: Column) -> Column:
-    """The registered name with its public suffix; null where there is none."""
+    """The registered name with its public suffix; null where there is none. Survey: NRM5."""
     host = host_of(url)
     n = _suffix_labels(host)
     short = F.size(F.split(host, r"\.")) <= n
@@ -193,17 +194,18 @@ def registrable_stem(url: Column) -> Column:
 
 
 def is_platform_host(url: Column) -> Column:
-    """Whether any label of the host is a platform's."""
+    """Whether any label of the host is a platform's. Survey: NRM6."""
     return F.arrays_overlap(F.split(host_of(url), r"\."), F.array(*map(F.lit, PLATFORM_HOSTS)))
 
 
 def has_real_tld(domain: Column, tlds: list[str] | None = None) -> Column:
+    """Survey: NRM7."""
     tld = F.lower(F.regexp_extract(domain, r"\.([^.]+)\.?$", 1))
     return tld.isin(tlds) if tlds else (tld.isin(GENERIC_TLDS) | F.regexp_like(tld, F.lit("^(?:[a-z]{2}|xn--[a-z0-9-]+)$")))
 
 
 def email(address: Column, tlds: list[str] | None = None) -> Column:
-    """The one spelling of a usable address, or null."""
+    """The one spelling of a usable address, or null. Survey: NRM3."""
     raw = F.trim(F.regexp_replace(F.trim(address), r"^<+|>+$", ""))
     local = F.trim(F.regexp_extract(raw, r"^(.*)@[^@]*$", 1))
     domain = F.regexp_replace(F.trim(F.regexp_extract(raw, r"@([^@]*)$", 1)), r"^\.+|\.+$", "")
@@ -220,7 +222,7 @@ def is_role_email(address: Column) -> Column:
 
 
 def lookup_name(city: Column) -> Column:
-    """A city's name without repeated administrative suffixes, unless nothing is left."""
+    """A city's name without repeated administrative suffixes, unless nothing is left. Survey: NRM8."""
     whole = F.nullif(collapse(city), F.lit(""))
     words = sorted((r"[\s-]+".join(s.replace("-", " ").split()) for s in ADMIN_SUFFIXES), key=lambda s: (-len(s), s))
     bare = F.regexp_replace(F.regexp_replace(whole, rf"(?i)(?:[\s,-]+(?:{'|'.join(words)}))+$", ""), r"^[ ,-]+|[ ,-]+$", "")
@@ -228,13 +230,13 @@ def lookup_name(city: Column) -> Column:
 
 
 def country(c: Column) -> Column:
-    """ISO country code of two letters, or null."""
+    """ISO country code of two letters, or null. Survey: NRM12."""
     code = F.upper(F.trim(c))
     return F.when(F.regexp_like(code, F.lit("^[A-Z]{2}$")), code)
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, tracking parameters or trailing slash."""
+    """Scheme and host in lower case, no fragment, tracking parameters or trailing slash. Survey: NRM13."""
     bare = F.regexp_replace(url, r"#.*$", "")
     head = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), r"/+$", "")
@@ -244,11 +246,12 @@ def canonical_url(url: Column) -> Column:
 
 
 def homepage_of(url: Column) -> Column:
+    """Survey: NRM18."""
     return F.nullif(F.regexp_extract(F.lower(url), r"^(https?://[^/?#]+)", 1), F.lit(""))
 
 
 def phone_e164(raw: Column, region: Column) -> Column:
-    """``+`` and digits of a valid number, or null; without ``+`` the region's rules read it."""
+    """``+`` and digits of a valid number, or null; without ``+`` the region's rules read it. Survey: NRM2."""
     spaced = F.translate(raw, VISUAL_SEPARATORS, " " * len(VISUAL_SEPARATORS))
     digits = F.regexp_replace(spaced, r"[^0-9]", "")
     codes = F.create_map(*(F.lit(x) for code, rule in PHONE_RULES.items() for x in (code, rule[0])))
@@ -272,6 +275,7 @@ def phone_type(e164: Column) -> Column:
 
 
 def looks_like_phone(c: Column) -> Column:
+    """Survey: FLT13."""
     n = F.length(F.regexp_replace(c, "[^0-9]", ""))
     return F.coalesce(n.between(7, 15) & F.regexp_like(c, F.lit(r"^[0-9+()\- ./x,]*$")), F.lit(False))
 
@@ -281,6 +285,7 @@ def looks_like_email(c: Column) -> Column:
 
 
 def looks_like_url(c: Column) -> Column:
+    """Survey: FLT14."""
     low = F.lower(F.trim(c))
     web = F.regexp_like(low, F.lit("^https?://"))
     bare = F.contains(low, F.lit(".")) & ~F.contains(low, F.lit(" ")) & ~F.regexp_like(low, F.lit(r"^[0-9.]*$"))
@@ -288,7 +293,7 @@ def looks_like_url(c: Column) -> Column:
 
 
 def one_line(*parts: Column) -> Column:
-    """An address on one line: the parts that say something, comma-joined."""
+    """An address on one line: the parts that say something, comma-joined. Survey: NRM21."""
     return F.nullif(F.array_join(F.filter(F.array(*map(collapse, parts)), lambda p: p != ""), ", "), F.lit(""))
 
 

@@ -79,7 +79,7 @@ def _redacted(c: Column, pattern: str, with_: str, sign: str | None) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Error text without parameters, keys, queries, addresses and credentials, cut to MAX_ERROR_TEXT."""
+    """Error text without parameters, keys, queries, addresses and credentials, cut to MAX_ERROR_TEXT. Survey: JSN7."""
     for i, (pattern, with_) in enumerate(REDACTIONS):
         c = _redacted(c, pattern, with_, REDACTION_SIGNS.get(i))
     return F.substring(c, 1, MAX_ERROR_TEXT)
@@ -94,7 +94,7 @@ def csv_cell(c: Column) -> Column:
 
 
 def display(c: Column, digits: int = 4) -> Column:
-    """A number with grouped thousands."""
+    """A number with grouped thousands. Survey: JSN8."""
     return F.format_number(c, digits)
 
 
@@ -103,7 +103,7 @@ def url_path(url: Column) -> Column:
 
 
 def page_role(url: Column, anchor: Column | None = None) -> Column:
-    """The role that the anchor text names, else the path; null for none."""
+    """The role that the anchor text names, else the path; null for none. Survey: NRM14."""
     out = F.lit(None).cast("string")
     path = url_path(url)
     for role, pattern in reversed(PAGE_ROLES):
@@ -126,13 +126,14 @@ def same_site(url: Column, site: Column) -> Column:
 
 
 def is_crawlable(url: Column, site: Column) -> Column:
-    """An http(s) page of the same site that is neither a file nor plumbing."""
+    """An http(s) page of the same site that is neither a file nor plumbing. Survey: FLT18."""
     path = url_path(url)
     skip = F.regexp_like(path, F.lit(SKIP_SUFFIX)) | F.regexp_like(path, F.lit(SKIP_PATH))
     return F.coalesce(F.regexp_like(url, F.lit("(?i)^https?://")) & same_site(url, site) & ~skip, F.lit(False))
 
 
 def social_platform(url: Column) -> Column:
+    """Survey: EXT4."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1)), ":.*$", "")
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SOCIAL_HOSTS):
@@ -141,7 +142,7 @@ def social_platform(url: Column) -> Column:
 
 
 def social_handle(url: Column) -> Column:
-    """The profile's handle on its platform, or null where the url names none."""
+    """The profile's handle on its platform, or null where the url names none. Survey: NRM15."""
     platform, path = social_platform(url), url_path(url)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     first, second = F.lower(F.get(parts, F.lit(0))), F.lower(F.get(parts, F.lit(1)))
@@ -156,7 +157,7 @@ def social_handle(url: Column) -> Column:
 
 
 def emails_in(text: Column) -> Column:
-    """Distinct usable addresses of a text, also those written with (at) and (dot), in no order."""
+    """Distinct usable addresses of a text, also those written with (at) and (dot), in no order. Survey: DED2, EXT2."""
     at = r"\s*(?:@|\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\})\s*"
     dot = r"\s*(?:\.|\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\})\s*"
     pattern = rf"(?i)[a-z0-9!#$%&'*+/=?^_`|~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`|~-]+)*{at}(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?{dot})+[a-z]{{2,24}}"
@@ -166,14 +167,14 @@ def emails_in(text: Column) -> Column:
 
 
 def phones_in(text: Column, region: str) -> Column:
-    """Distinct valid numbers of a text in E.164, in no order; lines about tax or orders are left out."""
+    """Distinct valid numbers of a text in E.164, in no order; lines about tax or orders are left out. Survey: EXT3."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.regexp_like(x, F.lit("[0-9]{2}")) & ~F.regexp_like(x, F.lit(NOT_A_PHONE_LINE)))
     raw = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(PHONE_CANDIDATE), F.lit(0))))
     return F.array_distinct(F.array_compact(F.transform(raw, lambda x: N.phone_e164(x, F.lit(region)))))
 
 
 def reduce_page(html: Column) -> Column:
-    """HTML without scripts (JSON-LD stays), comments, styles and embedded data."""
+    """HTML without scripts (JSON-LD stays), comments, styles and embedded data. Survey: EXT10."""
     out = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
     out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
     out = F.regexp_replace(out, r"(?is)<script\b(?![^>]*application/ld\+json)[^>]*>.*?</script\s*>", "")
@@ -190,11 +191,12 @@ def text_of(html: Column) -> Column:
 
 
 def sitemap_urls(xml: Column, most: int = 2000) -> Column:
+    """Survey: SRC22."""
     return F.slice(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), 1, most)
 
 
 def restriction_reason(status: Column, headers: Column, body: Column, weak: bool = True) -> Column:
-    """Why a response counts as kept from us, or null. ``headers``: array of names, lower-cased."""
+    """Why a response counts as kept from us, or null. ``headers``: array of names, lower-cased. Survey: FLT20."""
     window = F.when(F.length(body) <= HEAD_CHARS + TAIL_CHARS, body).otherwise(F.concat(F.substring(body, 1, HEAD_CHARS), F.lit("\n"), F.right(body, F.lit(TAIL_CHARS))))
     out = F.lit(None).cast("string")
     if weak:
@@ -212,25 +214,25 @@ def restriction_reason(status: Column, headers: Column, body: Column, weak: bool
 
 
 def provenance_kind(method: Column, derivation: Column, model: Column) -> Column:
-    """user, ai, derived or found."""
+    """user, ai, derived or found. Survey: JSN5."""
     return F.when(method == "user", "user").when(model.isNotNull(), "ai").when(derivation.isNotNull(), "derived").otherwise("found")
 
 
 def retry_after(header: Column, now: Column, most: int = 3600) -> Column:
-    """Seconds to wait by a Retry-After header, a number or an HTTP date, between 0 and ``most``."""
+    """Seconds to wait by a Retry-After header, a number or an HTTP date, between 0 and ``most``. Survey: DAT2."""
     at = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(F.trim(header).try_cast("double"), (F.unix_micros(at) - F.unix_micros(now)) / 1e6)
     return F.when(seconds.isNotNull(), F.least(F.greatest(seconds, F.lit(0.0)), F.lit(float(most))))
 
 
 def is_own_site(url: Column, listings: list[str]) -> Column:
-    """Whether a url is a business's own host: no listing's, no platform's, and no host below its registered name."""
+    """Whether a url is a business's own host: no listing's, no platform's, and no host below its registered name. Survey: FLT22, PLN8."""
     host = N.host_of(url)
     return F.coalesce((host == N.site_domain(url)) & ~N.is_platform_host(url) & ~N.registrable_stem(url).isin(listings), F.lit(False))
 
 
 def decode_entities(c: Column) -> Column:
-    """Common entities and percent escapes of addresses decoded, fancy dashes made plain."""
+    """Common entities and percent escapes of addresses decoded, fancy dashes made plain. Survey: NRM16."""
     for entity, plain in (("&#64;", "@"), ("&commat;", "@"), ("&#46;", "."), ("&period;", "."), ("&nbsp;", " "), ("&amp;", "&"), ("%40", "@"), ("%2E", "."), ("%2e", "."), ("%20", " ")):
         c = F.replace(c, F.lit(entity), F.lit(plain))
     return F.translate(c, "\u2010\u2011\u2012\u2013\u2014\u2015", "------")

@@ -29,6 +29,8 @@ def wide(values: DataFrame, fields: list[str] | None = None, preset: str = "basi
 
     Of several values of a field the newest counts, then the smallest. One pass and one shuffle; ``fields`` names the
     columns where the caller knows them. The preset ``sources`` adds each field's source, url and time.
+
+    Survey: SNK5.
     """
     fields = fields or fields_of(values)
     newest = F.coalesce(-F.unix_micros(F.col("observed_at").try_cast("timestamp")), F.lit(2**62))  # values without a time come last
@@ -45,7 +47,7 @@ def wide(values: DataFrame, fields: list[str] | None = None, preset: str = "basi
 
 
 def csv_lines(table: DataFrame) -> DataFrame:
-    """(line): each row as one CSV line, cells guarded and quoted."""
+    """(line): each row as one CSV line, cells guarded and quoted. Survey: SNK4."""
     cells = [TX.csv_cell(F.col(f"`{c}`")) for c in table.columns]
     return table.select(F.concat(F.concat_ws(",", *cells), F.lit(CRLF)).alias("line"))
 
@@ -59,17 +61,18 @@ def header_line(fields: list[str], preset: str = "basic") -> str:
 
 
 def notice_lines(values: DataFrame, obligations: DataFrame) -> DataFrame:
-    """(source, notice) of the sources present, in the obligations' order."""
+    """(source, notice) of the sources present, in the obligations' order. Survey: SNK6."""
     present = values.select("source").distinct()
     return obligations.join(present, "source", "left_semi").orderBy("ordinal").select("source", "notice")
 
 
 def filename(job_id: Column, day: Column) -> Column:
+    """Survey: SNK8."""
     return F.concat(F.lit("leads-"), F.substring(job_id, 1, 8), F.lit("-"), F.date_format(day, "yyyy-MM-dd"), F.lit(".csv"))
 
 
 def storage_key(url_hash: Column, fetched_at: Column) -> Column:
-    """Where a fetched body is kept."""
+    """Where a fetched body is kept. Survey: SNK2."""
     return F.concat(F.lit("raw/"), F.date_format(fetched_at, "yyyy/MM/"), url_hash, F.lit("/"), F.date_format(fetched_at, "yyyyMMdd'T'HHmmss'Z'"), F.lit(".html.gz"))
 
 
@@ -84,12 +87,12 @@ def read_snapshot(spark, root: str) -> DataFrame:
 
 
 def grouped_for_display(values: DataFrame, groups: DataFrame, other: str = "Other") -> DataFrame:
-    """Adds heading and order: fields under their headings, unknown ones last."""
+    """Adds heading and order: fields under their headings, unknown ones last. Survey: FLT29."""
     joined = values.join(groups.select("field", "heading", "ordinal"), "field", "left")
     return joined.withColumn("heading", F.coalesce("heading", F.lit(other))).withColumn("ordinal", F.coalesce("ordinal", F.lit(2**31 - 1)))
 
 
 def page_of_leads(leads: DataFrame, companies: DataFrame, locations: DataFrame) -> DataFrame:
-    """One row for each lead with its company and the oldest of its locations."""
+    """One row for each lead with its company and the oldest of its locations. Survey: JN3, WIN2."""
     oldest = ranking.first_per_key(locations, ["company_id"], [F.asc("location_id")])
     return leads.join(companies, "company_id").join(oldest, "company_id", "left")

@@ -84,7 +84,7 @@ def _flatten(node) -> Iterator[dict]:
 
 
 def parse(text: str | None, url: str | None) -> tuple[list[dict], list[dict]]:
-    """Links and structured nodes of one page; a broken block leaves the others alone."""
+    """Links and structured nodes of one page; a broken block leaves the others alone. Survey: EXT5."""
     page = _Page()
     page.feed(text or "")
     base = urljoin(url or "", page.base) if page.base else url or ""
@@ -120,12 +120,12 @@ def with_page_parts(pages: DataFrame) -> DataFrame:
 
 
 def links(parts: DataFrame) -> DataFrame:
-    """(page_id, url, pos, link, anchor, href) of every link."""
+    """(page_id, url, pos, link, anchor, href) of every link. Survey: EXT1."""
     return parts.select("page_id", "url", F.posexplode("links").alias("pos", "l")).select("page_id", "url", "pos", F.col("l.url").alias("link"), "l.anchor", "l.href")
 
 
 def choose_pages(link_rows: DataFrame, budget: Column) -> DataFrame:
-    """(url, role, link) of the pages to read of each site: the first crawlable link of each role, in role order."""
+    """(url, role, link) of the pages to read of each site: the first crawlable link of each role, in role order. Survey: WIN7, DED4, EXT9."""
     rows = link_rows.withColumn("link", N.canonical_url(F.col("link"))).withColumn("role", TX.page_role(F.col("link"), F.col("anchor")))
     rows = rows.where(F.col("role").isNotNull() & TX.is_crawlable(F.col("link"), F.col("url")) & (F.col("link") != N.canonical_url(F.col("url"))))
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("url", "role").orderBy("pos"))).where("_n = 1")
@@ -134,7 +134,7 @@ def choose_pages(link_rows: DataFrame, budget: Column) -> DataFrame:
 
 
 def business_nodes(parts: DataFrame) -> DataFrame:
-    """(page_id, url, node): the best structured node of each page by type, the first on a tie."""
+    """(page_id, url, node): the best structured node of each page by type, the first on a tie. Survey: WIN6, EXT6."""
     rows = parts.select("page_id", "url", F.posexplode("nodes").alias("pos", "n"))
     kind = F.get_json_object("n.json", "$['@type']")
     rank = F.array_position(F.array(*map(F.lit, BUSINESS_TYPES)), kind)
@@ -146,6 +146,8 @@ def page_values(pages: DataFrame, region: str) -> DataFrame:
     """(page_id, url, field, value, confidence, pos): the best evidence for each field of each page.
 
     Structured data beats links, links beat text; an unusable value never stands in the way of a usable one.
+
+    Survey: DED5, DED6, EXT7.
     """
     parts = with_page_parts(pages)
     node = business_nodes(parts)
@@ -178,7 +180,7 @@ def page_values(pages: DataFrame, region: str) -> DataFrame:
 
 
 def merge_pages(values: DataFrame, site: Column) -> DataFrame:
-    """(site, field, value, confidence, page_id): the best evidence over a site's pages, earlier pages on ties."""
+    """(site, field, value, confidence, page_id): the best evidence over a site's pages, earlier pages on ties. Survey: WIN5, EXT8."""
     best = F.row_number().over(W.partitionBy("site", "field").orderBy(F.desc("confidence"), "page_id"))
     return values.withColumn("site", site).withColumn("_n", best).where("_n = 1").select("site", "field", "value", "confidence", "page_id")
 
@@ -197,6 +199,8 @@ def scrub(text: Column) -> Column:
     """Addresses and numbers replaced by made-up ones, the same for the same value; a number keeps its shape.
 
     A number's digits but for its first become those of a hash of it, with 555 in front; separators stay where they are.
+
+    Survey: EXT11.
     """
     address = lambda m: F.concat(F.lit("user-"), F.substring(F.sha2(m, 256), 1, 8), F.lit("@example.org"))
 

@@ -26,11 +26,12 @@ METADATA_HOSTS = ["169.254.169.254", "metadata.google.internal", "100.100.100.20
 
 
 def tenant_rows(df: DataFrame, org_id: str | None) -> DataFrame:
-    """Rows of the current tenant; without a tenant, none."""
+    """Rows of the current tenant; without a tenant, none. Survey: FLT25."""
     return df.where(F.lit(False)) if org_id is None else df.where(F.col("org_id") == org_id)
 
 
 def allowed(role: Column, permission: Column) -> Column:
+    """Survey: FLT26."""
     grants = F.create_map(*(x for r, ps in ROLES.items() for x in (F.lit(r), F.array(*map(F.lit, ps)))))
     return F.coalesce(F.array_contains(F.element_at(grants, role), permission), F.lit(False))
 
@@ -58,7 +59,7 @@ def _rejection(url: str | None) -> str | None:
 
 
 def with_url_rejection(df: DataFrame, url: Column, out: str = "reason") -> DataFrame:
-    """Adds why a url may not be fetched, or null."""
+    """Adds why a url may not be fetched, or null. Survey: FLT19."""
 
     @F.pandas_udf(T.StringType())
     def rejection(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in ``order``, which should end in a unique column."""
+    """One row for each key: the first in ``order``, which should end in a unique column. Survey: WIN4, DED1."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -20,7 +20,7 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
 
 
 def best_values(values: DataFrame) -> DataFrame:
-    """The value with the highest confidence, then the newest, then the smallest id, for each entity and field."""
+    """The value with the highest confidence, then the newest, then the smallest id, for each entity and field. Survey: WIN1."""
     return first_per_key(values, ["entity_id", "field"], [F.desc("confidence"), F.desc("observed_at"), F.asc("id")])
 
 
@@ -28,6 +28,8 @@ def best_map(values: DataFrame) -> DataFrame:
     """(entity_id, best): a map from field to best value, in the order of ``best_values``.
 
     Both levels aggregate within the tasks before they shuffle, so an entity of very many values is no hot spot.
+
+    Survey: UPS9.
     """
     # the smallest struct is the best row: confidence and time with their sign turned, then the id
     order = F.struct(-F.col("confidence"), -F.unix_micros(F.col("observed_at").cast("timestamp")), "id")
@@ -39,17 +41,20 @@ def with_current(values: DataFrame, keys: list[str] = ("entity_id", "field")) ->
     """Sets is_current on the last written row of each key: the one with the highest batch, then ordinal.
 
     ``keys`` may add source_id, so that each source keeps a current value of its own.
+
+    Survey: JN11, WIN3, UPS5.
     """
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch"), F.desc("ordinal")))
     return values.withColumn("is_current", rank == 1)
 
 
 def running_balance(ledger: DataFrame, key: str, order: list[str], delta: str = "delta") -> DataFrame:
-    """Adds balance_after: the sum of deltas of a key up to each row."""
+    """Adds balance_after: the sum of deltas of a key up to each row. Survey: AGG7, WIN9."""
     return ledger.withColumn("balance_after", F.sum(delta).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def offset_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Survey: SRT1."""
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -57,6 +62,8 @@ def keyset_page(df: DataFrame, key: str, limit: int, after=None, descending: boo
     """The page after a cursor, and the next cursor as an aggregate over it.
 
     The page holds one row more than ``limit`` (clamped to 1..most) where another page follows; that row is not shown.
+
+    Survey: FLT23, SRT2, SRT3.
     """
     limit = max(1, min(limit, most))
     if after is not None:
@@ -68,7 +75,7 @@ def keyset_page(df: DataFrame, key: str, limit: int, after=None, descending: boo
 
 
 def split_budget(rows: DataFrame, order: list[str], budget: Column, key: list[str] = ()) -> DataFrame:
-    """Adds share: the budget split evenly over a key's rows, the remainder to the first ones."""
+    """Adds share: the budget split evenly over a key's rows, the remainder to the first ones. Survey: SRT6."""
     n = F.count("*").over(W.partitionBy(*key))
     at = F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1
     return rows.withColumn("share", (F.floor(budget / n) + F.when(at < budget % n, 1).otherwise(0)).cast("long"))
@@ -81,16 +88,16 @@ def affordable_prefix(rows: DataFrame, order: list[str], credits: int, floor: in
 
 
 def capped_by_headroom(rows: DataFrame, key: str, order: list[str], wanted: str, limit: Column) -> DataFrame:
-    """Adds granted: what each row may take of its key's limit after the rows before it."""
+    """Adds granted: what each row may take of its key's limit after the rows before it. Survey: PLN7."""
     before = F.coalesce(F.sum(wanted).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(wanted), limit - before)))
 
 
 def depth_pages(pages: DataFrame, site: str, order: list[Column], budget: Column) -> DataFrame:
-    """The first pages of each site within its depth's budget."""
+    """The first pages of each site within its depth's budget. Survey: SRT8."""
     return pages.withColumn("_at", F.row_number().over(W.partitionBy(site).orderBy(*order))).where(F.col("_at") <= budget).drop("_at")
 
 
 def linked_first(values: DataFrame, key: list[str]) -> DataFrame:
-    """Adds preference: values from links first, then by position."""
+    """Adds preference: values from links first, then by position. Survey: SRT7."""
     return values.withColumn("preference", F.row_number().over(W.partitionBy(*key).orderBy((~F.col("from_link")).cast("int"), "pos")))

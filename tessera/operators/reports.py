@@ -15,6 +15,8 @@ def health_by_type(tasks: DataFrame, since: Column) -> DataFrame:
     """Tasks of each type since a time: counts by status, mean duration and last end.
 
     ``tasks``: type, status, attempts, error_class, started_at, finished_at, created_at.
+
+    Survey: AGG1.
     """
     recent = tasks.where(F.col("created_at") >= since)
     ms = F.unix_millis("finished_at") - F.unix_millis("started_at")
@@ -29,7 +31,7 @@ def health_by_type(tasks: DataFrame, since: Column) -> DataFrame:
 
 
 def usage_by_meter(events: DataFrame, since: Column) -> DataFrame:
-    """Events, units, credits, cost and tenants of each meter, dearest first."""
+    """Events, units, credits, cost and tenants of each meter, dearest first. Survey: AGG2."""
     return (
         events.where(F.col("created_at") >= since)
         .groupBy("meter")
@@ -39,7 +41,7 @@ def usage_by_meter(events: DataFrame, since: Column) -> DataFrame:
 
 
 def usage_rollup(events: DataFrame) -> DataFrame:
-    """Totals by tenant, meter and day, with the sums over each and all (level 0 is the finest)."""
+    """Totals by tenant, meter and day, with the sums over each and all (level 0 is the finest). Survey: AGG21."""
     day = events.withColumn("day", F.to_date("created_at"))
     return day.rollup("org_id", "meter", "day").agg(F.count("*").alias("events"), F.sum("cost_micros").alias("cost_micros"), F.grouping_id().alias("level"))
 
@@ -65,6 +67,8 @@ def crawl_health(tasks: DataFrame, documents: DataFrame, spend: DataFrame, leads
 
     ``tasks``: status, pages_read, values_found, started_at, finished_at. ``documents``: access_status, storage_key,
     content_hash, bytes. ``spend``: cost_micros.
+
+    Survey: JN17.
     """
     ms = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000
     state = lambda s: F.count_if(F.col("status") == s)
@@ -88,6 +92,8 @@ def lead_counts(leads: DataFrame, channels: DataFrame, now: Column) -> DataFrame
     """Leads in all, today, in 7 and 30 days, and how many have each contact channel.
 
     ``channels``: company_id and one boolean column for each channel, one row for each company.
+
+    Survey: AGG4, DAT1.
     """
     names = [c for c in channels.columns if c != "company_id"]
     joined = leads.join(channels, "company_id", "left")
@@ -99,12 +105,12 @@ def lead_counts(leads: DataFrame, channels: DataFrame, now: Column) -> DataFrame
 
 
 def channel_marks(values: DataFrame, channels: list[str]) -> DataFrame:
-    """(company_id, one boolean for each channel) in one pass over current values."""
+    """(company_id, one boolean for each channel) in one pass over current values. Survey: JN8."""
     return values.where("is_current").groupBy(F.col("entity_id").alias("company_id")).agg(*(F.bool_or(F.col("field") == c).alias(c) for c in channels))
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:
-    """Jobs by state on the dashboard; a cancelled one counts as failed."""
+    """Jobs by state on the dashboard; a cancelled one counts as failed. Survey: AGG5."""
     state = lambda *s: F.count_if(F.col("status").isin(*s))
     return jobs.agg(
         F.count("*").alias("total"), state("queued").alias("queued"), state("running").alias("running"), state("completed").alias("completed"),
@@ -113,11 +119,12 @@ def job_counts(jobs: DataFrame) -> DataFrame:
 
 
 def credits_spent(ledger: DataFrame, since: Column) -> DataFrame:
+    """Survey: AGG6."""
     return ledger.where((F.col("reason") == "consume") & (F.col("created_at") >= since)).groupBy("org_id").agg(F.coalesce(-F.sum("delta"), F.lit(0)).alias("spent"))
 
 
 def reserved_for(ledger: DataFrame) -> DataFrame:
-    """Credits still reserved for each job."""
+    """Credits still reserved for each job. Survey: AGG8."""
     held = F.col("reason").isin("reserve", "release")
     return ledger.where(held).groupBy("org_id", F.col("ref_id").alias("job_id")).agg((-F.sum("delta")).alias("reserved"))
 
@@ -126,6 +133,8 @@ def settle(jobs: DataFrame, ledger: DataFrame, usage: DataFrame) -> DataFrame:
     """(job_id, org_id, reserved, used, delta, released, balance_effect) of all jobs at once.
 
     used is the usage within the reservation; delta what was not booked before; a reservation is released once.
+
+    Survey: AGG9.
     """
     entries = ledger.where(F.col("ref_type") == "job").groupBy(F.col("ref_id").alias("job_id")).agg(
         F.coalesce(F.sum(F.when(F.col("reason") == "reserve", -F.col("delta"))), F.lit(0)).alias("reserved"),
@@ -141,13 +150,13 @@ def settle(jobs: DataFrame, ledger: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def counters(progress: DataFrame, names: list[str]) -> DataFrame:
-    """(job_id, counters): sums of a closed set of named counters, as a map."""
+    """(job_id, counters): sums of a closed set of named counters, as a map. Survey: AGG13."""
     sums = progress.where(F.col("counter").isin(names)).groupBy("job_id", "counter").agg(F.sum("n").alias("n"))
     return sums.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", "n")))).alias("counters"))
 
 
 def delivered(links: DataFrame) -> DataFrame:
-    """Leads of each job, and those that were new: one lead, one charge."""
+    """Leads of each job, and those that were new: one lead, one charge. Survey: AGG12."""
     return links.groupBy("job_id").agg(F.countDistinct("lead_id").alias("found"), F.countDistinct(F.when(F.col("is_new"), F.col("lead_id"))).alias("new"))
 
 
@@ -155,6 +164,8 @@ def recall_by_field(labels: DataFrame) -> DataFrame:
     """Found, missed, wrong and other values of each field, and recall; null where nothing was expected.
 
     ``labels``: field, expected, extracted.
+
+    Survey: AGG18.
     """
     e, x = F.col("expected"), F.col("extracted")
     counts = labels.groupBy("field").agg(
@@ -165,7 +176,7 @@ def recall_by_field(labels: DataFrame) -> DataFrame:
 
 
 def eval_report(cases: DataFrame) -> DataFrame:
-    """Pass rate, field accuracy and cost for a thousand of each task's cases."""
+    """Pass rate, field accuracy and cost for a thousand of each task's cases. Survey: AGG17."""
     return cases.groupBy("task").agg(
         F.count("*").alias("cases"), F.avg(F.col("passed").cast("double")).alias("pass_rate"),
         F.try_divide(F.sum("fields_right"), F.sum("fields")).alias("field_accuracy"), F.try_divide(F.sum("cost_micros") * 1000, F.count("*")).alias("cost_micros_per_1k"),
@@ -173,19 +184,21 @@ def eval_report(cases: DataFrame) -> DataFrame:
 
 
 def sources_of(values: DataFrame, key: str) -> DataFrame:
+    """Survey: AGG16."""
     return values.groupBy(key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def members_by_org(members: DataFrame) -> DataFrame:
+    """Survey: AGG14."""
     return members.groupBy("org_id").agg(F.countDistinct("user_id").alias("members"), F.count_if(F.col("role") == "owner").alias("owners"))
 
 
 def due_jobs(jobs: DataFrame, settled: DataFrame, states: list[str], limit: int) -> DataFrame:
-    """(at, job_id, org_id): finished jobs that are not settled yet, the oldest first, up to a batch's limit."""
+    """(at, job_id, org_id): finished jobs that are not settled yet, the oldest first, up to a batch's limit. Survey: AGG20, STR16."""
     open_ = jobs.where(F.col("status").isin(states)).join(settled.select("job_id").distinct(), "job_id", "left_anti")
     return open_.orderBy("created_at", "job_id").limit(limit).select("job_id", "org_id", "created_at")
 
 
 def workspace_members(memberships: DataFrame, users: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Members with their addresses, and names where they gave any."""
+    """Members with their addresses, and names where they gave any. Survey: JN16."""
     return memberships.join(users, "user_id").join(profiles, "user_id", "left")

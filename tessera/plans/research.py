@@ -28,6 +28,8 @@ def parse_specs(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON requests by a declared schema, with defaults and the problems that make one invalid.
 
     Swapped employee bounds are put right, depth defaults to standard, the result cap to MAX_RESULTS.
+
+    Survey: JSN3, JSN4.
     """
     spec = F.from_json(column, SPEC, {"mode": "PERMISSIVE"})
     df = lines.withColumn("spec", spec).select(*lines.columns, "spec.*")
@@ -46,7 +48,7 @@ def parse_specs(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def feasibility(specs: DataFrame) -> DataFrame:
-    """(id, ordinal, filter, mode) of the filters that each request uses."""
+    """(id, ordinal, filter, mode) of the filters that each request uses. Survey: FLT16."""
     used = {
         "industry": F.size("industries") > 0, "location": F.col("country").isNotNull() | (F.size("cities") > 0) | (F.size("states") > 0), "has_website": F.col("has_website").isNotNull(),
         "contact": F.size("contact_any_of") > 0, "min_confidence": F.col("min_confidence").isNotNull(), "social": F.size("social") > 0,
@@ -60,6 +62,8 @@ def searches(specs: DataFrame, areas: DataFrame, queries: DataFrame, localities:
     """(id, at, area, query, locality): areas times queries, then cities times their localities, up to the cap.
 
     ``areas`` and ``queries`` carry the request's id and a position; ``localities`` an area's slug.
+
+    Survey: PLN3.
     """
     order = lambda round_, local: F.struct(round_.alias("round"), "area_pos", "query_pos", local.alias("local")).alias("order")
     wide = areas.join(queries, "id").select("id", "area", "query", F.lit(None).cast("string").alias("locality"), order(F.lit(0), F.lit(0)))
@@ -70,7 +74,7 @@ def searches(specs: DataFrame, areas: DataFrame, queries: DataFrame, localities:
 
 
 def funded_tasks(rows: DataFrame, specs: DataFrame, share: float, floor: int) -> DataFrame:
-    """Tasks with a credit budget: the searches that the share of the credits can pay at the floor, split evenly."""
+    """Tasks with a credit budget: the searches that the share of the credits can pay at the floor, split evenly. Survey: PLN1, PLN4, PLN5."""
     pot = F.floor(F.greatest("max_credits", F.lit(0)) * min(share, 1.0)).cast("long")
     joined = rows.join(specs.select("id", pot.alias("pot")), "id").where(F.col("at") <= F.floor(F.col("pot") / floor))
     out = ranking.split_budget(joined, ["at"], F.col("pot"), ["id"]).where(F.col("share") >= floor)
@@ -79,7 +83,7 @@ def funded_tasks(rows: DataFrame, specs: DataFrame, share: float, floor: int) ->
 
 
 def charge(delivered: DataFrame, rates: DataFrame) -> DataFrame:
-    """Credits of new leads: the source's rate, else the depth's. A rate of zero is a rate."""
+    """Credits of new leads: the source's rate, else the depth's. A rate of zero is a rate. Survey: PLN9."""
     by_source = rates.where("scope = 'source'").select(F.col("key").alias("source"), F.col("credits_per_unit").alias("a"))
     by_depth = rates.where("scope = 'depth'").select(F.col("key").alias("depth"), F.col("credits_per_unit").alias("b"))
     joined = delivered.join(by_source, "source", "left").join(by_depth, "depth", "left")
@@ -87,7 +91,7 @@ def charge(delivered: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def capabilities(sources: DataFrame, fields: DataFrame) -> DataFrame:
-    """(field, sources): usable sources of each wanted field, cheapest first; none means it cannot be satisfied."""
+    """(field, sources): usable sources of each wanted field, cheapest first; none means it cannot be satisfied. Survey: AGG19, PLN6."""
     usable = sources.where(F.col("enabled") & ((F.col("tos_class") != "red") | F.col("legal_approved")))
     offers = usable.select(F.explode("fields_provided").alias("field"), "cost_micros", "key")
     have = offers.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("cost_micros", "key"))), lambda x: x["key"]).alias("sources"))

@@ -192,6 +192,7 @@ def jn_exists_marks(spark, sf_dir):
 
 @query("jn_values_per_source", "SELECT s_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'F' GROUP BY s_name")
 def jn_values_per_source(spark, sf_dir):
+    """Survey: JN4, JN7, JN15."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     per = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("n"))
@@ -201,7 +202,7 @@ def jn_values_per_source(spark, sf_dir):
 
 @query("jn_recent_runs", "SELECT c_custkey, count(o_orderkey) AS links, count(o_orderkey) FILTER (o_orderstatus = 'O') AS new_links FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def jn_recent_runs(spark, sf_dir):
-    """Counts are taken before the left join, so that no link multiplies a run."""
+    """Counts are taken before the left join, so that no link multiplies a run. Survey: JN5, JN6, JN14."""
     links = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("links"), F.count_if(F.col("o_orderstatus") == "O").alias("new_links"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(links, "c_custkey", "left").fillna(0, ["links", "new_links"])
 
@@ -217,6 +218,7 @@ def jn_parent_slug(spark, sf_dir):
 
 @query("jn_unknown_slugs", "SELECT DISTINCT c_mktsegment AS slug FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 def jn_unknown_slugs(spark, sf_dir):
+    """Survey: FLT27."""
     asked = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("slug")).distinct()
     known = spark.sql("SELECT * FROM VALUES ('BUILDING'), ('MACHINERY') AS t(slug)")
     return asked.join(known, "slug", "left_anti")

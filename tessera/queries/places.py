@@ -97,6 +97,7 @@ def src_category_counts_explode(spark, sf_dir):
 
 @query("src_top_categories", "SELECT category, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS category FROM part) GROUP BY category ORDER BY n DESC, category LIMIT 10")
 def src_top_categories(spark, sf_dir):
+    """Survey: SRT4."""
     return places.category_counts(part_places(spark, sf_dir)).limit(10)
 
 

@@ -266,6 +266,7 @@ def json_task_key(spark, sf_dir):
 
 @query("json_extract_cast", "SELECT event_type, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
 def json_extract_cast(spark, sf_dir):
+    """Survey: JSN1."""
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.variant_get(F.parse_json("props"), "$.k", "bigint")).alias("total"))
 
 

@@ -49,19 +49,19 @@ def first_present(values: Column) -> Column:
 
 
 def is_business(categories: Column, status: Column) -> Column:
-    """Whether no level of the category is infrastructure and the place is not closed."""
+    """Whether no level of the category is infrastructure and the place is not closed. Survey: FLT10."""
     denied = F.arrays_overlap(categories, F.array(*map(F.lit, NOT_A_BUSINESS)))
     return (F.size(categories) > 0) & ~F.coalesce(denied, F.lit(False)) & ~F.coalesce(F.lower(status).isin(CLOSED_STATUSES), F.lit(False))
 
 
 def scan_release(release: DataFrame, box: tuple[float, float, float, float], min_confidence: float = 0.0) -> DataFrame:
-    """Named rows whose box's lower corner lies in ``box``, sure enough: filters on nested numbers reach the scan."""
+    """Named rows whose box's lower corner lies in ``box``, sure enough: filters on nested numbers reach the scan. Survey: SRC1."""
     near = F.col("bbox.ymin").between(box[0], box[2]) & F.col("bbox.xmin").between(box[1], box[3])
     return release.where(near & F.col("names.primary").isNotNull() & (F.coalesce("confidence", F.lit(0.0)) >= min_confidence))
 
 
 def release_places(rows: DataFrame, source: str) -> DataFrame:
-    """Rows of a bulk release as places; implausible contacts become null, other refusals are left to the caller."""
+    """Rows of a bulk release as places; implausible contacts become null, other refusals are left to the caller. Survey: SRC2."""
     leaf = F.coalesce("taxonomy.primary", "basic_category")
     levels = F.array_distinct(F.filter("taxonomy.hierarchy", lambda x: x.isNotNull() & (x != "")))
     categories = F.when(F.size(levels) > 0, levels).otherwise(F.array_compact(F.array(leaf)))
@@ -77,7 +77,7 @@ def release_places(rows: DataFrame, source: str) -> DataFrame:
 
 
 def refusal_report(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """One row of counts: read, not a business, implausible contacts, and contacts kept."""
+    """One row of counts: read, not a business, implausible contacts, and contacts kept. Survey: SRC3."""
     raw = rows.agg(F.count("*").alias("rows_read"), *(F.count(first_present(F.col(c))).alias(f"given_{c}") for c in ("phones", "emails", "websites")))
     kept = places.agg(F.count_if(~is_business(F.col("categories"), F.col("operating_status"))).alias("not_a_business"), *(F.count(c).alias(f"with_{c}") for c in ("phone", "email", "website")))
     one = raw.crossJoin(kept)  # two single rows
@@ -85,21 +85,22 @@ def refusal_report(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def category_counts(rows: DataFrame, categories: str = "categories") -> DataFrame:
-    """(category, n) over all levels, commonest first."""
+    """(category, n) over all levels, commonest first. Survey: SRC4."""
     return rows.select(F.explode(categories).alias("category")).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
 
 
 def release_date(release: Column) -> Column:
+    """Survey: SRC5."""
     return F.try_to_date(F.substring_index(release, ".", 1), "yyyy-MM-dd")
 
 
 def tag(tags: Column, names: list[str]) -> Column:
-    """The first of several tags that says something."""
+    """The first of several tags that says something. Survey: FLT12."""
     return F.coalesce(*(F.nullif(F.trim(F.element_at(tags, n)), F.lit("")) for n in names))
 
 
 def element_category(tags: Column) -> Column:
-    """``key=value`` of the first primary key present; null if that value is denied."""
+    """``key=value`` of the first primary key present; null if that value is denied. Survey: FLT11."""
     out = F.lit(None).cast("string")
     for key in reversed(PRIMARY_KEYS):
         value = F.element_at(tags, key)
@@ -109,7 +110,7 @@ def element_category(tags: Column) -> Column:
 
 
 def centroid(nodes: Column) -> Column:
-    """Mean (lat, lon) of a way's valid nodes, its closing repeat left out; null without one."""
+    """Mean (lat, lon) of a way's valid nodes, its closing repeat left out; null without one. Survey: SRC7."""
     last = F.size(nodes)
     closed = (last > 1) & (F.element_at(nodes, 1)["ref"] == F.element_at(nodes, -1)["ref"])
     own = F.filter(F.when(closed, F.slice(nodes, F.lit(1), last - 1)).otherwise(nodes), lambda n: n["valid"])
@@ -118,7 +119,7 @@ def centroid(nodes: Column) -> Column:
 
 
 def element_places(elements: DataFrame) -> DataFrame:
-    """Named nodes and ways of a business category as places; relations are skipped."""
+    """Named nodes and ways of a business category as places; relations are skipped. Survey: SRC6, SRC8."""
     tags = F.col("tags")
     at = F.when(F.col("osm_type") == "n", F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"))).otherwise(centroid(F.col("nodes")))
     out = elements.where(F.col("osm_type").isin("n", "w")).withColumn("at", at).withColumn("name", tag(tags, NAME_TAGS)).withColumn("category", element_category(tags))
@@ -139,6 +140,8 @@ def build_index(places: DataFrame, path: str) -> None:
     """Writes places laid out by tile: the first of each (source, external_id), range-partitioned and sorted.
 
     ``ordinal`` orders the input. A box search then reads the row groups of its tiles only.
+
+    Survey: SNK1.
     """
     rank = F.row_number().over(W.partitionBy("source", "external_id").orderBy("ordinal"))
     rows = places.withColumn("_rank", rank).where("_rank = 1").drop("_rank").withColumn("tile", geo.tile_of(F.col("lat"), F.col("lon")))
@@ -152,7 +155,7 @@ def escape_like(text: str) -> str:
 def search(
     index: DataFrame, box=None, categories=None, source=None, name=None, contactable=None, has_website=None, any_of=None, tiles: bool = True
 ) -> DataFrame:
-    """Places that meet every filter given. Contact channels that an index does not hold narrow nothing."""
+    """Places that meet every filter given. Contact channels that an index does not hold narrow nothing. Survey: SRC11, FLT1, FLT2, FLT3, FLT4, FLT5, FLT6, FLT7, FLT8, FLT9, JN1, JN2."""
     df = index
     if box:
         if tiles and "tile" in df.columns:
@@ -183,6 +186,7 @@ PLACE_SCHEMA = """source string, external_id string, name string, category strin
 
 
 def by_id(index: DataFrame, source: str, external_id: str) -> DataFrame:
+    """Survey: SRC12."""
     return index.where((F.col("source") == source) & (F.col("external_id") == external_id))
 
 
@@ -198,7 +202,7 @@ def from_json(records: DataFrame) -> DataFrame:
 
 
 def health(index: DataFrame) -> DataFrame:
-    """State of an index: missing rows make it empty."""
+    """State of an index: missing rows make it empty. Survey: SRC13."""
     return index.agg(F.count("*").alias("places"), F.max("updated_at").alias("data_until")).withColumn("state", F.when(F.col("places") == 0, "empty").otherwise("ok"))
 
 
@@ -206,7 +210,7 @@ def health(index: DataFrame) -> DataFrame:
 
 
 def observations(places: DataFrame, observed_at: Column) -> DataFrame:
-    """(source, external_id, field, value, confidence, observed_at): places unpivoted; without a time, nothing."""
+    """(source, external_id, field, value, confidence, observed_at): places unpivoted; without a time, nothing. Survey: SRC15, SRC16, UPS4."""
     named = {"name": "name", "phone": "phone", "email": "email", "website": "website", "city": "city", "state": "region", "postal_code": "postcode", "country": "country", "address": "street", "category": "category"}
     cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value"), F.lit(CATEGORY_CONFIDENCE if f == "category" else VALUE_CONFIDENCE).alias("confidence")) for f, c in named.items()))
     rows = places.withColumn("observed_at", observed_at).where(F.col("observed_at").isNotNull())
@@ -214,7 +218,7 @@ def observations(places: DataFrame, observed_at: Column) -> DataFrame:
 
 
 def narrow(candidates: DataFrame, has_website=None, contact_any_of=None, social_all_of=None) -> DataFrame:
-    """Candidates (url, phone, values array of field and value) that meet the request's filters."""
+    """Candidates (url, phone, values array of field and value) that meet the request's filters. Survey: FLT15."""
     has = lambda field: F.exists("values", lambda v: (v["field"] == field) & (F.coalesce(v["value"], F.lit("")) != ""))
     df = candidates
     if has_website is not None:
@@ -232,7 +236,7 @@ def narrow(candidates: DataFrame, has_website=None, contact_any_of=None, social_
 
 
 def search_results(results: DataFrame, listings: DataFrame) -> DataFrame:
-    """One candidate for each host of a result page that is no directory (``listings``: host), at its best position."""
+    """One candidate for each host of a result page that is no directory (``listings``: host), at its best position. Survey: SRC17."""
     rows = results.withColumn("host", N.host_of(F.col("link"))).where(F.col("host") != "").join(listings.select("host").distinct(), "host", "left_anti")
     return rows.groupBy("query", "host").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("position")).withColumn("name", F.col("host"))
 
@@ -241,7 +245,7 @@ def search_results(results: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def providing(sources: DataFrame, field: str, production: bool = True) -> DataFrame:
-    """Enabled sources that can fill a field, cheapest first; in production red ones need legal approval."""
+    """Enabled sources that can fill a field, cheapest first; in production red ones need legal approval. Survey: SRC18."""
     df = sources.where(F.col("enabled") & F.array_contains("fields_provided", field))
     if production:
         df = df.where((F.col("tos_class") != "red") | F.col("legal_approved"))
@@ -252,6 +256,8 @@ def find_areas(names: DataFrame, areas: DataFrame, kinds: list[str] | None = Non
     """(name, country, slug, kind, area): each name's area by slug, name or alias, cities first, then the most people.
 
     ``area`` is the area's own name; ``kinds`` narrows the areas, to states for example. Names of no area are left out.
+
+    Survey: JN19, NRM11, PLN2.
     """
     if kinds:
         areas = areas.where(F.col("kind").isin(kinds))
@@ -309,12 +315,12 @@ def seed_areas(hits: DataFrame) -> DataFrame:
 
 
 def link_parents(rows: DataFrame, parent_slug: str = "parent_slug") -> DataFrame:
-    """Adds parent_id by looking each row's parent slug up in the same table."""
+    """Adds parent_id by looking each row's parent slug up in the same table. Survey: SRC20, JN18."""
     parents = rows.select(F.col("slug").alias(parent_slug), F.col("id").alias("parent_id"))
     return rows.join(parents, parent_slug, "left")
 
 
 def load(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
-    """A table in any file format that Spark reads; text formats need a schema, nothing is inferred."""
+    """A table in any file format that Spark reads; text formats need a schema, nothing is inferred. Survey: SRC10, SRC19."""
     reader = spark.read.format(kind).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)

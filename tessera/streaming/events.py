@@ -21,12 +21,12 @@ from tessera.shipping import map_in_arrow, ship
 
 
 def read_events(spark: SparkSession, path: str, schema, kind: str = "parquet", **options) -> DataFrame:
-    """A stream of the files in a folder."""
+    """A stream of the files in a folder. Survey: SRC23."""
     return spark.readStream.format(kind).schema(schema).options(**options).load(path)
 
 
 def tumbling(events: DataFrame, size: str, keys: list[str], late: str | None = None) -> DataFrame:
-    """Count and sum of values in windows of ``size``; with ``late``, rows later than that are dropped."""
+    """Count and sum of values in windows of ``size``; with ``late``, rows later than that are dropped. Survey: STR18."""
     df = events.withWatermark("ts", late) if late else events
     return df.groupBy(F.window("ts", size).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", F.col("total").cast("double").alias("total"))
 
@@ -43,7 +43,7 @@ def sessions(events: DataFrame, gap: str, key: str, late: str | None = None) ->
 
 
 def once(events: DataFrame, key: str, memory: str | None = None) -> DataFrame:
-    """The first event of each key: within the watermark on a stream, over all rows on a table."""
+    """The first event of each key: within the watermark on a stream, over all rows on a table. Survey: STR2, STR7."""
     if events.isStreaming:
         return events.withWatermark("ts", memory or "7 days").dropDuplicatesWithinWatermark([key])
     rank = F.row_number().over(W.partitionBy(key).orderBy("ts"))
@@ -76,7 +76,10 @@ def in_turn(rows: DataFrame, key: str, inputs: list[str], added: dict[str, T.Dat
 
 def sliding_counter(events: DataFrame, key: str, limit: int) -> DataFrame:
     """Adds used and limited to every call: its number within its key's minute, plus the part of the minute before
-    that still weighs, which is the part of this minute that is yet to come."""
+    that still weighs, which is the part of this minute that is yet to come.
+
+    Survey: STR9.
+    """
     minute = F.floor(F.unix_micros("ts") / 60_000_000)
     left = 60_000_000 - F.pmod(F.unix_micros("ts"), F.lit(60_000_000))
     now = F.row_number().over(W.partitionBy(key, "_minute").orderBy("ts", "event_id"))
@@ -87,7 +90,7 @@ def sliding_counter(events: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def monthly_allowance(events: DataFrame, key: str, allowance: int) -> DataFrame:
-    """Adds free: whether a call is within its key's allowance of the calendar month."""
+    """Adds free: whether a call is within its key's allowance of the calendar month. Survey: STR10."""
     month = F.date_trunc("month", "ts")
     rank = F.row_number().over(W.partitionBy(key, month).orderBy("ts", "event_id"))
     return events.withColumn("free", rank <= allowance)
@@ -97,6 +100,8 @@ def within_budget(events: DataFrame, key: str, cost: Column, cap: int) -> DataFr
     """Adds spent and accepted: a call is accepted if its cost still fits under the cap, else its claim is given back.
 
     A negative cost releases what was claimed before. ``spent`` is the total after the call.
+
+    Survey: STR11.
     """
 
     def step(spent: int, values: tuple) -> tuple[int, tuple]:
@@ -113,6 +118,8 @@ def host_slots(requests: DataFrame, host: str, cooldown: int) -> DataFrame:
     """Adds due_at: one request of each host at a time, ``cooldown`` seconds apart, none before it was made.
 
     due(i) = max(ts(i), due(i - 1) + cooldown) = max over j <= i of ts(j) + (i - j) * cooldown, a running maximum.
+
+    Survey: STR6.
     """
     w = W.partitionBy(host).orderBy("ts", "event_id")
     at = F.row_number().over(w) - 1
@@ -131,6 +138,8 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float) -> Data
 
     A key's state is its tokens and the time of its last event. On a stream, each trigger's rows of a key are replayed
     by time; on a table, rows pass in batches of sorted partitions.
+
+    Survey: STR8.
     """
 
     def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
@@ -166,7 +175,7 @@ ERROR_CLASSES = {"transient": True, "rate_limited": True, "restricted": False, "
 
 
 def routed(failures: DataFrame, most: int = 5) -> DataFrame:
-    """Adds route: retry, paused or dead, by error class and attempts."""
+    """Adds route: retry, paused or dead, by error class and attempts. Survey: STR4, STR5."""
     retryable = F.col("error_class").isin([k for k, v in ERROR_CLASSES.items() if v])
     return failures.withColumn("route", F.when(F.col("error_class") == "budget", "paused").when(retryable & (F.col("attempts") < most), "retry").otherwise("dead"))
 
@@ -175,28 +184,30 @@ def due_retries(failures: DataFrame, now: Column, base: float = 2.0, most: float
     """Failures to try again whose back-off has passed, with the time at which each fell due.
 
     Each trigger of a stream of failures, kept as a table, puts the due ones back on the job stream.
+
+    Survey: STR3.
     """
     due = F.timestamp_micros((F.unix_micros("failed_at") + F.round(money.backoff_seconds(F.col("attempts"), base, most) * 1_000_000)).cast("long"))
     return routed(failures).where("route = 'retry'").withColumn("due_at", due).where(F.col("due_at") <= now)
 
 
 def not_cancelled(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """Tasks whose job was not cancelled; a stream's rows against a table."""
+    """Tasks whose job was not cancelled; a stream's rows against a table. Survey: STR13."""
     return tasks.join(cancelled.select("job_id").distinct(), "job_id", "left_anti")
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
-    """The newest state of each job."""
+    """The newest state of each job. Survey: STR14."""
     return progress.groupBy("job_id").agg(F.max_by(F.struct("stage", "percent"), "ts").alias("p"), F.max("ts").alias("ts")).select("job_id", "p.stage", "p.percent", "ts")
 
 
 def fresh(cache: DataFrame, now: Column, ttl: str, version: int) -> DataFrame:
-    """Cached answers that are young enough and of this version."""
+    """Cached answers that are young enough and of this version. Survey: STR12."""
     return cache.where((F.col("version") == version) & (F.col("stored_at") > now - F.expr(f"INTERVAL {ttl}")))
 
 
 def drain(stream: DataFrame, checkpoint: str, sink, mode: str = "append"):
-    """Runs a stream over everything there is now; ``sink(batch, id)`` must bear repeats of a batch."""
+    """Runs a stream over everything there is now; ``sink(batch, id)`` must bear repeats of a batch. Survey: STR1."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
