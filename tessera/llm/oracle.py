@@ -69,5 +69,64 @@ SELECT page_id, host, path, h || q AS rule, verdict FROM f QUALIFY row_number()
 """
 
 
+def crc32(text: str) -> str:
+    """The CRC-32 of a string's UTF-8 bytes: each byte is mixed in, then eight shifts follow."""
+    steps = f"flatten(list_transform(range(0, length(hex({text})) // 2), lambda i: [CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+IMPORTANCE = rf"""
+WITH f AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), coalesce(text, '') FROM benchmark),
+d AS (SELECT side, doc_id, rid, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM f),
+w AS (SELECT side, rid, unnest(ws) AS w FROM d),
+k AS MATERIALIZED (SELECT w, {crc32("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM w)),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM w JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM n) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM n) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n),
+x AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN k USING (w) JOIN g USING (bucket) WHERE side = 'd' GROUP BY rid),
+r AS (SELECT doc_id, rid, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN x USING (rid) WHERE side = 'd'),
+o AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r LEFT JOIN o USING (rid)
+"""
+
+
+def vector_codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """SQL of op12 for vectors of parts * width components: rounds of assignment and floored means."""
+    distance = " + ".join(f"(v[{i}] - c[{i}]) * (v[{i}] - c[{i}])" for i in range(1, width + 1))
+    means = ", ".join(f"CAST(floor(sum(v[{i}]) / count(*)) AS BIGINT)" for i in range(1, width + 1))
+    with_ = [
+        f"""e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"v AS MATERIALIZED (SELECT vec_id, p, x[{width} * p + 1 : {width} * p + {width}] AS v FROM e, (SELECT unnest(range({parts})) AS p))",
+        f"s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e QUALIFY k < {entries})",
+        "c0 AS MATERIALIZED (SELECT p, k, v AS c FROM v JOIN s USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        with_.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min(({distance}) * {entries} + k) AS m FROM v JOIN c{r} USING (p) GROUP BY vec_id, p)")
+        if r < rounds:
+            moved = f"SELECT p, m % {entries} AS k, [{means}] AS moved FROM a{r} GROUP BY p, m % {entries}"
+            with_.append(f"c{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(moved, c) AS c FROM c{r} LEFT JOIN ({moved}) USING (p, k))")
+    return f"""WITH {", ".join(with_)},
+o AS (SELECT vec_id, string_agg(format('{{:02x}}', m % {entries}), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM o JOIN e USING (vec_id)"""
+
+
+LM = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {crc32("CAST(doc_id AS VARCHAR)")} % 10 = 0 AS held_out,
+             list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), '') AS ws FROM documents),
+w AS (SELECT rid, held_out, unnest(ws) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
+t AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base FROM w LEFT JOIN c USING (w), t GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 5) AS base_score FROM d JOIN s USING (rid), t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": CHAT, "op9_quality_rules": QUALITY, "base_licenses": LICENSES, "base_personal_data": PERSONAL, "base_url_rules": URLS}
+    return {
+        "op7_chat_formatting": CHAT, "op9_quality_rules": QUALITY, "op11_importance_resampling": IMPORTANCE, "op12_vector_codes": vector_codes(),
+        "base_licenses": LICENSES, "base_personal_data": PERSONAL, "base_url_rules": URLS, "base_lm_scores": LM,
+    }

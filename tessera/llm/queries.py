@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline: whole tables, production parameters."""
+"""The registered queries of the thirteen operators and of the pipeline: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, decontam, licenses, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from tessera.llm import chat, decontam, importance, language_model, licenses, packing, pii, quality, simhash, token_counts, toxicity, url_filter, vector_codes
 from tessera.llm.common import read
 
 #: Fixed values of the contract.
@@ -114,6 +114,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", language_model.held_out().alias("held_out"), "text")
+    model = language_model.train(docs.where("NOT held_out"))
+    return language_model.score(docs, model)
+
+
+def base_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13's columns that counts of words alone decide."""
+    return op13_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op2's columns that the base phrases alone decide: what SQL can express of it."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -134,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_license_scan, op3_toxicity, op4_pii, op5_url_filter,
         op6_token_counts, op7_chat_formatting, op8_decontamination, op9_quality_rules, op10_simhash,
-        base_licenses, base_personal_data, base_url_rules,
+        op11_importance_resampling, op12_vector_codes, op13_lm_scoring,
+        base_licenses, base_personal_data, base_url_rules, base_lm_scores,
     )
     return {f.__name__: f for f in found}
