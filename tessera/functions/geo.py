@@ -82,3 +82,33 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Survey: GEO5."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * 6371.0088 * F.asin(F.sqrt(h))
+
+
+#: The digits of geohashes, by value.
+GEOHASH_DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def _spread(c: Column) -> Column:
+    """The lowest 32 bits of a long with a zero before each bit."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = (c.bitwiseOR(F.shiftleft(c, shift))).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _steps(c: Column, low: float, high: float, bits: int) -> Column:
+    """Which of 2^bits equal steps from low to high holds the value; values beyond the ends take the last one."""
+    step = F.floor((c - low) / (high - low) * (1 << bits))
+    return F.when(c.isNotNull(), F.least(F.greatest(step, F.lit(0)), F.lit((1 << bits) - 1)).cast("long"))
+
+
+def cell(lat: Column, lon: Column, bits: int) -> Column:
+    """The number of the cell of a point: ``bits`` halvings of the globe, longitude first, interleaved. Survey: GEO5."""
+    of_lon, of_lat = _steps(lon, -180.0, 180.0, (bits + 1) // 2), _steps(lat, -90.0, 90.0, bits // 2)
+    first, second = (of_lat, of_lon) if bits % 2 else (of_lon, of_lat)
+    return F.shiftleft(_spread(first), 1).bitwiseOR(_spread(second))
+
+
+def geohash(lat: Column, lon: Column, length: int = 7) -> Column:
+    """The geohash of a point, at most 12 digits; null where a coordinate is. Survey: GEO5."""
+    digits = F.conv(cell(lat, lon, 5 * length).cast("string"), 10, 32)
+    return F.lpad(F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", GEOHASH_DIGITS), length, "0")
