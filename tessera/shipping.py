@@ -29,9 +29,12 @@ def ship(spark: SparkSession) -> None:
 def map_in_arrow(df: DataFrame, function: Callable, schema, rows: int = ROWS) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers, in slices of at most ``rows`` rows.
 
-    What a function makes of a slice stays small in a worker, however many rows Spark puts in a batch.
+    What a function makes of a slice stays small in a worker, however many rows Spark puts in a batch. Functions go by the
+    places of columns: names with dots, which Spark would take for fields here, are replaced on the way in.
     """
     ship(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns):
+        df = df.toDF(*(f"_{i}_of_{len(df.columns)}_" for i in range(len(df.columns))))
 
     def sliced(batches: Iterator) -> Iterator:
         yield from function(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
