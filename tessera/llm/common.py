@@ -24,10 +24,20 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without the columns that are spelled like one of ``names`` in any case: Spark takes such names for equal."""
+def others(columns: list[str], *names: str) -> list[str]:
+    """The columns that are spelled like none of ``names`` in any case: Spark takes such names for equal."""
     gone = {n.lower() for n in names}
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+    return [c for c in columns if c.lower() not in gone]
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that are spelled like one of ``names`` in any case."""
+    return df.select(*quoted(others(df.columns, *names)))
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in columns]
 
 
 def ascii_lower(c: Column) -> Column:
