@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import others, quoted
 from tessera.shipping import map_in_arrow
 
 #: Phrases whose every place counts, with their labels.
@@ -89,6 +90,8 @@ NOTICES = [
 MIN_MATCH = 3
 MIN_COVERAGE = 0.8
 MAX_GAP = 12
+#: Words in a stretch of the index of kept spans.
+STRETCH = 32
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -137,11 +140,11 @@ class SuffixAutomaton:
         """Whether a run of n words of sequence k is long enough to count."""
         return n >= MIN_MATCH or n == len(self.sequences[k])
 
-    def runs(self, text: list[bytes]) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
+    def runs(self, statistics: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
         """(sequence, position, length, ends in the sequence): each sequence's runs that end there and go no further."""
         before: dict[int, tuple[int, tuple[int, ...]]] = {}
         last = -1
-        for i, state, matched in self.statistics(text):
+        for i, state, matched in statistics:
             now = {k: (matched, ends) for k, ends in self.own[state].items() if self.counts(k, matched)}
             now.update(self.shorter[state])
             for k, (n, ends) in before.items():
@@ -222,8 +225,16 @@ class LicenseScanner:
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Words in the text, (label, first word) of the base phrases' places, and (label, first, end, coverage)."""
         seq = words(text)
-        places = [(self.templates[k][0], i - n + 1) for i, state, matched in self.automaton.statistics(seq) for n, k in self.automaton.whole[state] if n <= matched and k < self.n_base]
-        return len(seq), places, self._best(self._chain(self.automaton.runs(seq)))
+        places: list[tuple[str, int]] = []
+
+        def noting() -> Iterator[tuple[int, int, int]]:
+            """The text's matching statistics; base phrases that end on the way are noted."""
+            for i, state, matched in self.automaton.statistics(seq):
+                places.extend((self.templates[k][0], i - n + 1) for n, k in self.automaton.whole[state] if n <= matched and k < self.n_base)
+                yield i, state, matched
+
+        spans = self._best(self._chain(self.automaton.runs(noting())))
+        return len(seq), places, spans
 
     def _chain(self, runs: Iterator[tuple[int, int, int, tuple[int, ...]]]) -> list[tuple[str, int, int, float]]:
         """Spans: runs that follow each other in the text and in one template."""
@@ -254,9 +265,15 @@ class LicenseScanner:
     def _best(self, spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
         """The spans that do not lie by half or more in a better one."""
         kept: list[tuple[str, int, int, float]] = []
+        near: dict[int, list[tuple[str, int, int, float]]] = {}  # kept spans by the stretches of words that they touch
         for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[0], s[1])):
-            if not any(2 * (min(span[2], k[2]) - max(span[1], k[1])) >= span[2] - span[1] for k in kept):
+            _, first, end, _ = span
+            # whatever covers half of a span covers one of its middle words
+            middle = {(first + end - 1) // 2 // STRETCH, (first + end) // 2 // STRETCH}
+            if not any(2 * (min(end, k[2]) - max(first, k[1])) >= end - first for m in middle for k in near.get(m, ())):
                 kept.append(span)
+                for m in range(first // STRETCH, (end - 1) // STRETCH + 1):
+                    near.setdefault(m, []).append(span)
         return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
@@ -267,10 +284,10 @@ PLACE = T.StructType([T.StructField("label", T.StringType()), T.StructField("fir
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text, with n_words, base_places (label, first) and license_spans (label, first, end, coverage).
 
-    Positions are word numbers from 0. Columns of those names are replaced.
+    Positions are word numbers from 0. Columns of those names, in any case, are replaced.
     """
     added = ["n_words", "base_places", "license_spans"]
-    keep = [c for c in df.columns if c not in (text, *added)]
+    keep = others(df.columns, text, *added)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("base_places", T.ArrayType(PLACE)), T.StructField("license_spans", T.ArrayType(SPAN))])
     place = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64())]))
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
@@ -286,7 +303,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keep, *added])
 
-    return map_in_arrow(df.select(text, *keep), scan, schema)
+    return map_in_arrow(df.select(text, *quoted(keep)), scan, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -295,7 +312,7 @@ def summary(scanned: DataFrame) -> DataFrame:
     found = F.transform(F.filter("license_spans", lambda s: s["coverage"] >= MIN_COVERAGE), lambda s: s["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return scanned.select(
-        *[c for c in scanned.columns if c not in ("base_places", "license_spans")],
+        *quoted(others(scanned.columns, "base_places", "license_spans", "n_base", "first_word", "last_word", "base_labels", "labels", "score")),
         F.size("base_places").cast("long").alias("n_base"),
         F.array_min(F.transform("base_places", lambda p: p["first"])).alias("first_word"),
         F.array_max(F.transform("base_places", lambda p: p["first"])).alias("last_word"),
