@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import others, quoted
 from tessera.llm.token_counts import TokenCounter, model_path, pre_tokens
 from tessera.shipping import map_in_arrow
 
@@ -133,11 +134,11 @@ def pack_documents(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = S
     """One row for each piece: the columns of ``df`` (text cut to the piece, or left out) and
 
     piece (number within its text), start, end (code points), n_tokens, bin_id, capacity (the bin's final length) and
-    bin_offset (its first token's place in the bin). Columns of those names are replaced.
+    bin_offset (its first token's place in the bin). Columns of those names, in any case, are replaced.
     """
     model, sizes = model or model_path(), tuple(sorted(sizes))
     added = ["piece", "start", "end", "n_tokens", "bin_id", "capacity", "bin_offset"]
-    keep = [c for c in df.columns if c not in (text, *added)]
+    keep = others(df.columns, text, *added)
     fields = [*(df.schema[c] for c in keep), *([df.schema[text]] if with_text else []), *(T.StructField(c, T.LongType()) for c in added)]
     schema = T.StructType(fields)
 
@@ -158,7 +159,7 @@ def pack_documents(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = S
                     out.append((*held[packed[k]], next_bin, b.size, offset))
                     offset += held[packed[k]][5] + SEPARATOR
                 next_bin += 1
-            columns = [pa.array([r[0][j] for r in out], arrow.field(c).type) for j, c in enumerate(keep)]
+            columns = [pa.array([r[0][j] for r in out], arrow.field(j).type) for j in range(len(keep))]
             if with_text:
                 columns.append(pa.array([r[1] for r in out], pa.string()))
             columns += [pa.array([r[j] for r in out], pa.int64()) for j in range(2, 9)]
@@ -168,8 +169,8 @@ def pack_documents(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = S
         arrow = None
         for batch in batches:
             arrow = batch.schema
-            rest = list(zip(*(batch.column(c).to_pylist() for c in keep))) if keep else [()] * batch.num_rows
-            for row, t in zip(rest, batch.column(text)):
+            rest = list(zip(*(c.to_pylist() for c in batch.columns[:-1]))) if keep else [()] * batch.num_rows
+            for row, t in zip(rest, batch.column(-1)):
                 t = t.as_py()
                 cuts = pieces(t, counter, sizes[-1] - SEPARATOR) or [(0, len(t or ""), 0)]
                 for k, (a, b, n) in enumerate(cuts):
@@ -180,4 +181,4 @@ def pack_documents(df: DataFrame, text: str = "text", sizes: tuple[int, ...] = S
         if held:
             yield flush()
 
-    return map_in_arrow(df.select(*keep, text), pack, schema)
+    return map_in_arrow(df.select(*quoted(keep), text), pack, schema)

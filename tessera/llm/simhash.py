@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.llm.common import Scratch, unused
+from tessera.llm.common import Scratch, others, quoted, unused
 from tessera.shipping import map_in_arrow
 
 SHINGLE = 3
@@ -78,8 +78,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "fp") -> DataFrame:
-    """``df`` without its text, with the fingerprint as a long; a column named like ``out`` is replaced."""
-    keep = [c for c in df.columns if c not in (text, out)]
+    """``df`` without its text, with the fingerprint as a long; a column named like ``out``, in any case, is replaced."""
+    keep = others(df.columns, text, out)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, out:
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], fps], [*keep, out])
 
-    return map_in_arrow(df.select(text, *keep), scan, schema)
+    return map_in_arrow(df.select(text, *quoted(keep)), scan, schema)
 
 
 class _Words(dict):

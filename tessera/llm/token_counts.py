@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import others, quoted
 from tessera.shipping import map_in_arrow
 
 TABLE_ROWS = 65_536
@@ -151,11 +152,11 @@ def frequent_table(df: DataFrame, model: str, text: str = "text") -> tuple[bytes
 def count_tokens(df: DataFrame, text: str = "text", model: str | None = None, out: str = "n_tokens") -> DataFrame:
     """``df`` without its text, with ``out``: the tokens that the model gives each whole text.
 
-    A column of ``df`` named like ``out`` is replaced.
+    A column of ``df`` named like ``out``, in any case, is replaced.
     """
     model = model or model_path()
     table = df.sparkSession.sparkContext.broadcast(frequent_table(df, model, text))
-    keep = [c for c in df.columns if c not in (text, out)]
+    keep = others(df.columns, text, out)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.LongType())])
     table_id = table._jbroadcast.id() if hasattr(table, "_jbroadcast") and table._jbroadcast else id(table)
 
@@ -165,4 +166,4 @@ def count_tokens(df: DataFrame, text: str = "text", model: str | None = None, ou
             n = pa.array([counter.count(t.as_py()) for t in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], [*keep, out])
 
-    return map_in_arrow(df.select(text, *keep), count, schema)
+    return map_in_arrow(df.select(text, *quoted(keep)), count, schema)

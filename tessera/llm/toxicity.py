@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, others, quoted
 from tessera.shipping import map_in_arrow
 
 MAX_POSITIVE = 6_000
@@ -184,11 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, prio
 def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str = "text", out: str = "score", with_text: bool = True) -> DataFrame:
     """``df``, with or without its text, with the probability that the whole text is toxic.
 
-    A column named like ``out`` is replaced.
+    A column named like ``out``, in any case, is replaced.
     """
-    keep = [c for c in df.columns if c not in (text, out)] + ([text] if with_text else [])
+    keep = others(df.columns, text, out) + ([text] if with_text else [])
     if model is None:
-        return df.select(*keep, F.lit(0.0).alias(out))
+        return df.select(*quoted(keep), F.lit(0.0).alias(out))
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
 
@@ -199,5 +199,5 @@ def score(df: DataFrame, model: tuple[dict[str, float], float] | None, text: str
             found = [bias + sum(weights[w] for w in sorted(words(t.as_py()) & known)) for t in batch.column(-1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in found], pa.float64())], [*keep, out])
 
-    judged = map_in_arrow(df.select(*keep) if with_text else df.select(*keep, text), judge, schema)
-    return judged.select(*[c for c in df.columns if c in keep], out)
+    judged = map_in_arrow(df.select(*quoted(keep)) if with_text else df.select(*quoted(keep), text), judge, schema)
+    return judged.select(*quoted([c for c in df.columns if c in keep]), out)
