@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import contracts as _contracts  # noqa: F401
 from tessera.queries import graph as _graph  # noqa: F401
 from tessera.queries import matching as _matching  # noqa: F401
 from tessera.queries import places as _places  # noqa: F401
 from tessera.queries import reporting
 from tessera.queries import resolution as _resolution  # noqa: F401
+from tessera.queries import search as _search  # noqa: F401
 from tessera.queries import streams as _streams  # noqa: F401
 from tessera.registry import QUERIES, SQL, Query
 

@@ -19,6 +19,11 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def with_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """Adds the place of each row among the rows of its key, from 1; ``order`` should end in a unique column."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def best_values(values: DataFrame) -> DataFrame:
     """The value with the highest confidence, then the newest, then the smallest id, for each entity and field. Survey: WIN1."""
     return first_per_key(values, ["entity_id", "field"], [F.desc("confidence"), F.desc("observed_at"), F.asc("id")])
