@@ -40,7 +40,7 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema("token string, id long, length int, times int, bucket int").parquet(f"{self.path}/postings")
 
     def size(self) -> tuple[int, float]:
         n, total = self.spark.read.parquet(f"{self.path}/size").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -57,9 +57,9 @@ class Index:
 
 
 def build(records: DataFrame, path: str, id: str = "id", text: str = "text") -> Index:
-    """Indexes ``text`` of all rows with an id; ids are unique. A record without a token counts in the sizes."""
+    """Indexes ``text`` of all rows with an id, a long that is theirs alone. A record without a token counts in the sizes."""
     spark = records.sparkSession
-    rows = records.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), tokens(F.col(text)).alias("tokens"))
+    rows = records.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), tokens(F.col(text)).alias("tokens"))
     each = rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     postings = each.groupBy("token", "id", "length").agg(F.count("*").cast("int").alias("times")).withColumn("bucket", _bucket(F.col("token")))
     postings.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
