@@ -149,20 +149,6 @@ def ext_links(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("n_links"))
 
 
-@query("ext_page_choice")
-def ext_page_choice(spark, sf_dir):
-    """The pages to read of each site."""
-    rows = extract.links(extract.with_page_parts(table(spark, sf_dir, "pages")))
-    return extract.choose_pages(rows, TX.page_budget(F.lit("deep")))
-
-
-@query("ext_page_values")
-def ext_page_values(spark, sf_dir):
-    """The best evidence of each page, merged over its site."""
-    found = extract.page_values(table(spark, sf_dir, "pages"), "IN")
-    return extract.merge_pages(found, N.site_domain(F.col("url")))
-
-
 @query("ext_reduce_page", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g') AS reduced FROM pages")
 def ext_reduce_page(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", TX.reduce_page(F.col("html")).alias("reduced"))
