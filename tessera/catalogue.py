@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import claims as _claims  # noqa: F401
 from tessera.queries import contracts as _contracts  # noqa: F401
 from tessera.queries import extraction as _extraction  # noqa: F401
 from tessera.queries import graph as _graph  # noqa: F401

@@ -70,7 +70,7 @@ def in_turn(rows: DataFrame, key: str, inputs: list[str], added: dict[str, T.Dat
             made = [pa.array([r[i] for r in out], kinds[i]) for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
 
-    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t.simpleString().replace("bigint", "long")] for t in added.values()]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[t.simpleString().replace("bigint", "long")] for t in added.values()]
     return map_in_arrow(rows.repartition(key).sortWithinPartitions(key, "ts", "event_id"), replay, schema)
 
 
