@@ -5,7 +5,9 @@ within k edits of the whole item, k being ``MAX_EDITS`` of the item's length (le
 region shares at least L + 1 - Q - k * Q of the item's character q-grams, all on diagonals (place in the text less
 place in the item) that lie within k of each other. So the shared q-grams of an item are counted in overlapping
 bands of diagonals, k + 1 wide and overlapping by half, bands that meet the bound are kept, and a banded alignment
-verifies each.
+verifies each. Items that share text meet the bound together wherever it stands, so alignments first run for many bands
+at once, from that end of each item whose q-grams fewer items share, and a band goes as soon as all its cells are beyond
+k edits; the few that are left are aligned one by one. Texts with very many shared q-grams are searched by stretches.
 
 Items of fewer than ``SHORT`` characters allow no edits and are found where their words stand as whole words. Items
 of more than ``LONG`` characters are cut into equal parts of at most that length, and a document holds the item if it
@@ -43,6 +45,9 @@ LONG = 4_000
 BLOCK_CHARS = 2_000_000
 PIECE = 1_000_000
 SLOTS = 1 << 20
+HITS = 2_000_000  # shared q-grams that are spread out at once
+CELLS = 500_000  # cells of alignments that run at once
+FEW = 8  # bands that are aligned one by one at once
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -102,6 +107,36 @@ def alignment(item: np.ndarray, text: np.ndarray, k: int, low: int, high: int) -
     return (int(row[best]), len(item) + low + best) if row[best] <= k else None
 
 
+def may_align(items: np.ndarray, lengths: np.ndarray, text: np.ndarray, k: int, low: np.ndarray, width: int) -> np.ndarray:
+    """Which of many items, row by row in ``items``, can lie within k edits along their ``width`` diagonals from ``low``.
+
+    Cells beyond the text's ends cost as much as leaving characters out, so no place that ``alignment`` finds is refused.
+    """
+    longest = items.shape[1]
+    pad = longest + width + 1
+    padded = np.concatenate([np.full(pad, -1, np.int32), text.astype(np.int32), np.full(pad, -1, np.int32)])
+    cell = np.arange(width, dtype=np.int16)
+    alive, may = np.arange(len(items)), np.ones(len(items), bool)
+    at = np.clip(low, -pad + 1, len(text)) + pad
+    row = np.zeros((len(items), width), np.int16)
+    for i in range(longest):
+        inside = i < lengths[alive]
+        if not inside.any():
+            break
+        window = padded[np.minimum(at[alive, None] + (i + cell)[None, :], len(padded) - 1)]
+        new = row + (window != items[alive, i, None])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        new = np.minimum.accumulate(new - cell, axis=1) + cell
+        row = np.where(inside[:, None], new, row).astype(np.int16)
+        if i % 4 == 3 or i == longest - 1:
+            good = row.min(1) <= k
+            may[alive[~good]] = False
+            alive, row = alive[good], row[good]
+            if not len(alive):
+                break
+    return may
+
+
 def parts(text: str) -> list[str]:
     """A normal text as one part, or in equal parts of at most LONG characters."""
     n = -(-len(text) // LONG) or 1
@@ -132,6 +167,12 @@ class Index:
         order = np.argsort(grams, kind="stable")
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
         self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
+        # whether an item's last half is the one that tells it from others
+        shared = np.zeros(len(grams))
+        shared[order] = np.repeat(np.log(self.count), self.count) if len(grams) else shared
+        late = 2 * place >= np.maximum(1, lengths - Q + 1)[item] if len(grams) else np.zeros(0, bool)
+        mean = lambda of: np.bincount(item[of], shared[of], len(known)) / np.maximum(1, np.bincount(item[of], minlength=len(known)))
+        self.backwards = mean(late) <= mean(~late) if len(grams) else np.zeros(len(known), bool)
         self.slots = np.zeros(SLOTS, bool)
         self.slots[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
@@ -145,6 +186,48 @@ class Index:
                     yield number, at, at + sum(map(len, item)) + len(item) - 1
             at += len(w) + 1
 
+    def shared(self, c: np.ndarray) -> np.ndarray:
+        """How many q-grams of items each place of a text shares."""
+        h = gram_hashes(c)
+        out = np.zeros(len(h), np.int64)
+        maybe = np.flatnonzero(self.slots[(h >> np.uint64(44)).astype(np.int64)])
+        if len(maybe) and len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, h[maybe]), len(self.grams) - 1)
+            same = self.grams[at] == h[maybe]
+            out[maybe[same]] = self.count[at[same]]
+        return out
+
+    def stretches(self, c: np.ndarray) -> list[tuple[int, int]]:
+        """A text in overlapping stretches of about HITS shared q-grams; each region lies whole in one of them."""
+        total = np.cumsum(self.shared(c))
+        out, at = [], 0
+        while at < len(c):
+            before = total[at - 1] if at else 0
+            end = max(int(np.searchsorted(total, before + HITS)) + Q, at + 3 * self.reach)
+            if end >= len(total):
+                return [*out, (at, len(c))]
+            out.append((at, end))
+            at = end - self.reach
+        return out
+
+    def candidates(self, c: np.ndarray, k: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Which of the bands ``band`` of the items ``k`` can hold their item, by alignments of many at once."""
+        may = np.ones(len(k), bool)
+        edits, lengths = self.k[k], self.lengths[k]
+        low, width = band * (edits + 1) - edits, 4 * edits + 2
+        back, turned = self.backwards[k], c[::-1]
+        order = np.lexsort((lengths, edits, back))
+        for group in np.split(order, np.flatnonzero(np.diff(2 * edits[order] + back[order])) + 1):
+            e, b, w = int(edits[group[0]]), bool(back[group[0]]), int(width[group[0]])
+            for at in range(0, len(group), max(1, CELLS // w)):
+                some = group[at : at + max(1, CELLS // w)]
+                chars = np.full((len(some), int(lengths[some].max())), -2, np.int32)
+                for i, item in enumerate(k[some].tolist()):
+                    chars[i, : lengths[some[i]]] = self.items[item][::-1] if b else self.items[item]
+                start = len(c) - lengths[some] - (low[some] + w - 1) if b else low[some]
+                may[some] = may_align(chars, lengths[some], turned if b else c, e, start, w)
+        return may
+
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in text, item, place in item) of every shared q-gram."""
         h = gram_hashes(c)
@@ -160,6 +243,11 @@ class Index:
 
     def search(self, c: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(part number, edits, start, end) of the regions of one text that hold a part of an item; start is about right."""
+        for at, to in self.stretches(c):
+            for k, edits, start, end in self._search(c[at:to]):
+                yield k, edits, start + at, end + at
+
+    def _search(self, c: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         p, item, r = self.hits(c)
         if not len(p):
             return
@@ -174,7 +262,10 @@ class Index:
         span = int(band.max() - lowest + 1)
         keys, counts = np.unique(np.concatenate([item * span + band - lowest, item * span + band - 1 - lowest]), return_counts=True)
         done: dict[int, tuple[int, int, int]] = {}
-        for key in keys[counts >= self.bound[keys // span]]:
+        keys = keys[counts >= self.bound[keys // span]]
+        if len(keys) > FEW:
+            keys = keys[self.candidates(c, keys // span, keys % span + lowest)]
+        for key in keys:
             k, b = int(key // span), int(key % span + lowest)
             w, edits = int(self.k[k]) + 1, int(self.k[k])
             if k in done and done[k][0] == 0:
@@ -205,6 +296,12 @@ class Index:
             gap = np.zeros(1, np.uint32)
             joined = np.concatenate([x for _, c in group for x in (c, gap)])
             starts = np.cumsum([0] + [len(c) + 1 for _, c in group])
+            if self.shared(joined).sum() > HITS:
+                for i, c in group:
+                    for found in self.search(c):
+                        note(i, *found)
+                group, size = [], 0
+                return
             p, item, _ = self.hits(joined)
             owner = np.searchsorted(starts, p, side="right") - 1
             pairs, n = np.unique(owner * max(1, len(self.ids)) + item, return_counts=True)

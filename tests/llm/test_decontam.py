@@ -96,3 +96,38 @@ def test_long_items_are_held_by_their_parts(spark, monkeypatch):
     got = {(r["doc_id"], r["item_id"], r["item_chars"]) for r in decontam.find_leaks(docs, items).collect()}
     assert got == {(0, 1, len(decontam.normal(whole))), (2, 1, len(decontam.normal(whole)))}
     assert "".join(decontam.parts(whole)) == whole and max(map(len, decontam.parts(whole))) <= 300
+
+
+def suite(n, tail=27, seed=3, front=True):
+    """Items with one preamble (or one ending), as multiple-choice suites have, and their texts."""
+    own = random.Random(seed)
+    shared = "choose the one right answer to the question below and give its letter: "
+    tails = ["".join(own.choice("abcdefghij klmnop") for _ in range(tail)) for _ in range(n)]
+    return shared, [f"{shared}{t}" if front else f"{t} {shared}" for t in tails]
+
+
+@pytest.mark.parametrize("front", [True, False])
+@pytest.mark.parametrize("hits, cells, few", [(2_000_000, 500_000, 8), (300, 40, 0), (5_000, 500, 1)])
+def test_items_with_shared_text_against_brute_force(monkeypatch, hits, cells, few, front):
+    monkeypatch.setattr(decontam, "HITS", hits)
+    monkeypatch.setattr(decontam, "CELLS", cells)
+    monkeypatch.setattr(decontam, "FEW", few)
+    shared, items = suite(30, front=front)
+    items += [shared, prose(20)]
+    index = decontam.Index(list(enumerate(items)))
+    texts = [f"{prose(9)} {shared} {prose(4)} {edited(items[i], i % 9)} {prose(3)} {shared}" for i in range(12)] + [" ".join(items), shared * 4, items[31]]
+    got = index.search_all(texts)
+    for t, found in zip(texts, got):
+        want = {i: brute.best_place(decontam.normal(x), decontam.normal(t)) for i, x in enumerate(items)}
+        assert {i: e for i, (e, _, _) in found.items()} == {i: e for i, e in want.items() if e <= decontam.edits_allowed(len(decontam.normal(items[i])))}
+
+
+def test_many_items_with_one_preamble_take_seconds():
+    import time
+
+    shared, items = suite(5_000)
+    index = decontam.Index(list(enumerate(items)))
+    text = f" {prose(4)} ".join([shared] * 100) + prose(5) + items[77]
+    began = time.process_time()
+    (found,) = index.search_all([text])
+    assert found[77][0] == 0 and len(found) < 50 and time.process_time() - began < 30
