@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import bind
+
 KM_PER_DEGREE = 111.32
 TILE_KM = 15.0
 TILE_DEGREES = 0.05
@@ -23,12 +25,24 @@ def tile_of(lat: Column, lon: Column, size: float = TILE_DEGREES) -> Column:
     return (F.floor((lat + 90) / size) * 100_000 + F.floor((lon + 180) / size)).cast("long")
 
 
-def tiles_of_box(box: tuple[float, float, float, float], size: float = TILE_DEGREES) -> list[int]:
-    """The tiles that a box touches."""
+#: Tiles that a filter lists one by one; a larger box is met by its rows of tiles, a still larger one by the first and last.
+LISTED_TILES, LISTED_ROWS = 2_000, 500
+
+
+def in_tiles(tile: Column, box: tuple[float, float, float, float], size: float = TILE_DEGREES) -> Column:
+    """Whether a tile's number is one that a box can touch: a filter for the scan, whose length is bounded."""
     at = lambda x, shift: math.floor((x + shift) / size)  # noqa: E731  the same division as tile_of
-    rows = range(at(box[0], 90), at(box[2], 90) + 1)
-    columns = range(at(box[1], 180), at(box[3], 180) + 1)
-    return [r * 100_000 + c for r in rows for c in columns]
+    bottom, top, left, right = at(box[0], 90), at(box[2], 90), at(box[1], 180), at(box[3], 180)
+    if top < bottom or right < left:
+        return F.lit(False)
+    if (top - bottom + 1) * (right - left + 1) <= LISTED_TILES:
+        return tile.isin([r * 100_000 + c for r in range(bottom, top + 1) for c in range(left, right + 1)])
+    if top - bottom + 1 <= LISTED_ROWS:
+        out = F.lit(False)
+        for r in range(bottom, top + 1):
+            out |= tile.between(r * 100_000 + left, r * 100_000 + right)
+        return out
+    return tile.between(bottom * 100_000 + left, top * 100_000 + right)
 
 
 def width_km(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column) -> Column:
@@ -112,3 +126,62 @@ def geohash(lat: Column, lon: Column, length: int = 7) -> Column:
     """The geohash of a point, at most 12 digits; null where a coordinate is. Survey: GEO5."""
     digits = F.conv(cell(lat, lon, 5 * length).cast("string"), 10, 32)
     return F.lpad(F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", GEOHASH_DIGITS), length, "0")
+
+
+# ------------------------------------------------------------------------------------------------------------------
+# Radius joins
+
+EARTH_KM = 6371.0088
+
+
+def _row(lat: Column, km: float) -> Column:
+    return F.floor((F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)) + 90) / (km / KM_PER_DEGREE)).cast("int")
+
+
+def _columns_of(row: Column, km: float) -> Column:
+    """How many columns a row of cells has, none of them narrower than ``km`` anywhere in the row; one near the poles."""
+    step = km / KM_PER_DEGREE
+    edge = F.greatest(F.abs(row * step - 90), F.abs((row + 1) * step - 90))
+    width = step / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9))
+    return F.greatest(F.floor(360 / width), F.lit(1)).cast("int")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * columns).cast("int"), columns)
+
+
+def radius_cell(lat: Column, lon: Column, km: float) -> Column:
+    """The cell (row, column) of a point, in a grid of cells at least ``km`` high and wide."""
+    return bind(_row(lat, km), lambda r: F.struct(r.alias("row"), _column(lon, _columns_of(r, km)).alias("column")))
+
+
+def radius_cover(lat: Column, lon: Column, km: float) -> Column:
+    """The cells that a circle of ``km`` can touch: in the point's row and its neighbours, two or three columns each."""
+
+    def in_row(r: Column) -> Column:
+        n = _columns_of(r, km)
+        turn = lambda n: F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(km / EARTH_KM)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))))) / 360 * n
+
+        def cells(n: Column) -> Column:
+            at, reach = (lon + 180) / 360 * n, turn(n) + 1e-9
+            near = F.transform(F.sequence(F.floor(at - reach).cast("int"), F.floor(at + reach).cast("int")), lambda c: F.pmod(c, n))
+            return F.transform(F.array_distinct(F.when((n <= 3) | (2 * reach >= n), F.sequence(F.lit(0), n - 1)).otherwise(near)), lambda c: F.struct(r.alias("row"), c.alias("column")))
+
+        return bind(n, cells)
+
+    return F.flatten(F.transform(F.sequence(_row(lat, km) - 1, _row(lat, km) + 1), in_row))
+
+
+def within_radius(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
+    """(centre_id, id, km) of the points (id, lat, lon) within ``km`` of centres (centre_id, lat, lon).
+
+    An equi-join on cells, then the exact distance. Every point stands in one cell and a centre asks for nine or so, so no
+    pair meets twice; very dense cells are hot join keys, which adaptive execution splits. Points without a
+    coordinate are within nothing. Survey: GEO5.
+    """
+    if km <= 0:
+        raise ValueError("a radius above zero")
+    there = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon", radius_cell(F.col("lat"), F.col("lon"), km).alias("cell"))
+    asked = centres.where("lat IS NOT NULL AND lon IS NOT NULL").select("centre_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.explode(radius_cover(F.col("lat"), F.col("lon"), km)).alias("c_cell"))
+    met = there.join(asked, (F.col("cell.row") == F.col("c_cell.row")) & (F.col("cell.column") == F.col("c_cell.column")))
+    return met.select("centre_id", "id", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km")).where(F.col("km") <= km)

@@ -18,9 +18,15 @@ LEADING_FIELDS = {
 BOM, CRLF = "﻿", "\r\n"
 
 
+#: More fields than this are no table to export: the names are data that went astray.
+MOST_FIELDS = 2_000
+
+
 def fields_of(values: DataFrame) -> list[str]:
-    """The fields present: the leading ones in their order, then the rest by name. One small aggregate decides."""
-    present = {r[0] for r in values.select("field").distinct().collect()}
+    """The fields present: the leading ones in their order, then the rest by name; an error beyond MOST_FIELDS."""
+    present = {r[0] for r in values.select("field").where("field IS NOT NULL").distinct().limit(MOST_FIELDS + 1).collect()}
+    if len(present) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields; name those to export")
     return [f for f in LEADING_FIELDS if f in present] + sorted(present - set(LEADING_FIELDS))
 
 

@@ -56,10 +56,10 @@ def flt_tristate(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("flt_any_of", f"SELECT id FROM ({PART}) WHERE phone IS NOT NULL OR email IS NOT NULL")
+@query("flt_any_of", f"SELECT id FROM ({PART}) WHERE email IS NOT NULL")
 def flt_any_of(spark, sf_dir):
     """Channels that cannot be checked narrow nothing."""
-    return places.search(part_places(spark, sf_dir), any_of=["phone", "email", "fax"]).select("id")
+    return places.search(part_places(spark, sf_dir), any_of=["email", "fax"]).select("id")
 
 
 @query("flt_contactable", f"SELECT id FROM ({PART}) WHERE phone IS NOT NULL OR email IS NOT NULL")
@@ -67,10 +67,14 @@ def flt_contactable(spark, sf_dir):
     return places.search(part_places(spark, sf_dir), contactable=True).select("id")
 
 
-@query("flt_name_ilike_escape", f"SELECT id FROM ({PART}) WHERE name ILIKE '%t\\_1%' ESCAPE '\\' OR name ILIKE '%1%'")
+@query("flt_name_ilike_escape", f"SELECT id, id % 6 = 0 AS underscore FROM ({PART}) WHERE id % 6 IN (0, 2, 5)")
 def flt_name_ilike_escape(spark, sf_dir):
+    """Names that end in one of six ways; ``_``, ``%`` and a backslash in what is asked for stand for themselves."""
+    ends = ["UNIT_1 west", "unitA1 west", "50% OFF", "500 off", "back/slash", "back\\slash"]
     rows = part_places(spark, sf_dir)
-    return places.search(rows, name="t_1").select("id").unionByName(places.search(rows, name="1").select("id")).distinct()
+    rows = rows.withColumn("name", F.concat("name", F.lit(" "), F.element_at(F.array(*map(F.lit, ends)), (F.col("id") % 6 + 1).cast("int"))))
+    found = [places.search(rows, name=n).select("id", F.lit(n == "t_1").alias("underscore")) for n in ("t_1", "0% o", "k\\s")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("flt_search_page", f"SELECT id, array_to_string(categories, ',') AS categories FROM ({PART}) WHERE list_contains(categories, 'PROMO') OR list_contains(categories, 'STANDARD') ORDER BY id LIMIT 20 OFFSET 5")

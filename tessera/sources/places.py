@@ -159,7 +159,7 @@ def search(
     df = index
     if box:
         if tiles and "tile" in df.columns:
-            df = df.where(F.col("tile").isin(geo.tiles_of_box(box))) if len(geo.tiles_of_box(box)) <= 2_000 else df.where(F.col("tile").between(geo.tiles_of_box(box)[0], geo.tiles_of_box(box)[-1]))
+            df = df.where(geo.in_tiles(F.col("tile"), box))
         df = df.where(geo.in_box(F.col("lat"), F.col("lon"), box))
     if categories:
         df = df.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories))))
