@@ -47,8 +47,8 @@ BOXES = 5
 LARGE = 64
 BLOCK = 32_768
 KNOWN_WORDS = 100_000
-SAMPLE = 16
-FREQUENT = 100_000
+SAMPLE_TEXTS = 100_000
+SLOTS = 1 << 20
 TEXTS = 128
 LEAST_SKETCH = 256  # bits
 BROADCAST_IDS = 500_000
@@ -169,28 +169,45 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _prefixes(df: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(key, id, place): the first hashes of each text of (doc_id, text), frequent ones last.
+def _levels(df: DataFrame, shingle: int, rows: int) -> np.ndarray:
+    """How frequent the hashes of a slot are, as the log2 of their count in SAMPLE_TEXTS texts or so, drawn by a hash of the id.
+
+    A hash's slot is its lowest bits: SLOTS bytes tell of all hashes, however many of them are frequent.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = _Words(), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, _hash_set(t.as_py(), shingle, known) & (SLOTS - 1), 1)
+        (slot,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    share = max(1, -(-rows // SAMPLE_TEXTS))
+    sample = df.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    counted = map_in_arrow(sample, count, "slot long, n long", TEXTS).groupBy("slot").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[counted.column("slot").to_numpy()] = np.log2(counted.column("n").to_numpy()).astype(np.uint8)
+    return out
+
+
+def _prefixes(df: DataFrame, similarity: float, shingle: int, rows: int) -> DataFrame:
+    """(key, id, place): the first hashes of each of the ``rows`` texts of (doc_id, text), frequent ones last.
 
     place holds the text's number of hashes (upper half) and where the key stands in their order (lower half).
 
-    Which hashes count as frequent comes from a sample and changes the number of proposals, never the pairs found.
+    How frequent hashes are comes from a sample and changes the number of proposals, never the pairs found.
     """
-    sample = _hashed(df.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle)
-    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    often = sorted((r["h"], r["n"]) for r in often)
-    names, counts = np.array([h for h, _ in often], np.int64), np.array([n for _, n in often], np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(_levels(df, shingle, rows))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, levels = _Words(), shared.value
         for batch in batches:
             firsts, sizes = [], []
             for t in batch.column(1):
                 hashes = _hash_set(t.as_py(), shingle, known)
                 sizes.append(len(hashes))
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-                    hashes = hashes[np.argsort(np.where(names[at] == hashes, counts[at], 0), kind="stable")]
+                hashes = hashes[np.argsort(levels[hashes & (SLOTS - 1)], kind="stable")]
                 firsts.append(hashes[: prefix_size(len(hashes), similarity)])
             if firsts:
                 each = [len(x) for x in firsts]
@@ -230,9 +247,10 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
     """
     texts = df.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     copies = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
-    texts = texts.join(_few(scratch.save(copies.select("doc_id").distinct())), "doc_id", "left_semi")
+    ids = scratch.save(copies.select("doc_id").distinct())
+    texts = texts.join(_few(ids), "doc_id", "left_semi")
 
-    filed = scratch.save(_prefixes(texts, similarity, shingle))
+    filed = scratch.save(_prefixes(texts, similarity, shingle, ids.count()))
     hubs = filed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     shared = scratch.save(filed.join(hubs, "key").withColumns({"n": F.shiftright("place", 32).cast("int"), "pos": F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int")}).drop("place"))
     scratch.drop(filed)

@@ -166,3 +166,17 @@ def test_keep_one_leaves_clashing_columns_alone(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (None, "f g h")], "doc_id long, text string").withColumn("_fp", F.lit("x")).withColumn("_TEXT", F.lit("y")).withColumn("component", F.lit("z"))
     got = simhash.keep_one(df, similarity=0.8).collect()
     assert {(r["doc_id"], r["_fp"], r["_TEXT"], r["component"]) for r in got} == {(1, "x", "y", "z"), (None, "x", "y", "z")}
+
+
+@pytest.mark.parametrize("kinds", [1, 40])
+def test_boilerplate_of_any_number_of_kinds_proposes_few_pairs(spark, kinds):
+    """Twenty of sixty words are one of many boilerplates: keys of prefixes are the texts' own words."""
+    rnd = random.Random(16)
+    shared = [[f"b{k}x{i}" for i in range(20)] for k in range(kinds)]
+    counts = []
+    for n in (400, 800):
+        rows = [(i, " ".join([*shared[i % kinds], *(f"w{rnd.getrandbits(40)}" for _ in range(40))])) for i in range(n)]
+        keys = simhash._prefixes(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 5, n)
+        sizes = [r["count"] for r in keys.groupBy("key").count().collect()]
+        counts.append(sum(s * (s - 1) // 2 for s in sizes))
+    assert counts[1] <= 800 and max(counts) <= 2 * max(1, min(counts)) + 800
