@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.binding import bind
+from tessera.functions.scripts import romanized
 
 # Fixed values -----------------------------------------------------------------------------------------------
 
@@ -145,8 +146,8 @@ def ascii_fold(c: Column) -> Column:
 
 
 def matching_key(name: Column) -> Column:
-    """The key that names are blocked on: folded, punctuation to spaces, legal suffixes off unless nothing is left. Survey: NRM1."""
-    spaced = F.trim(F.regexp_replace(ascii_fold(name), r"[^\p{L}\p{N}]+", " "))
+    """The key that names are blocked on: folded, in Latin letters, punctuation to spaces, legal suffixes off unless nothing is left. Survey: NRM1."""
+    spaced = F.trim(F.regexp_replace(bind(ascii_fold(name), romanized), r"[^\p{L}\p{N}]+", " "))
     suffixes = "|".join(sorted(LEGAL_SUFFIXES, key=lambda s: (-len(s), s)))
     bare = F.trim(F.regexp_replace(spaced, rf"(?:\s+(?:{suffixes}))+$", ""))
     return F.coalesce(F.nullif(bare, F.lit("")), spaced)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import normalize as N
 from tessera.operators import matching
 from tessera.registry import query, table
 
@@ -89,3 +90,19 @@ def nrm_website_confidence(spark, sf_dir):
     found = F.when(k % 3 < 2, F.concat(F.lit("https://acme"), k, F.lit(".com/x"))).otherwise(F.lit("https://else.com/"))
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("Acme "), k).alias("name"), F.posexplode(F.array(panel, found)).alias("position", "url"))
     return matching.best_websites(rows).select("id", "website", "confidence")
+
+
+#: Names in nine scripts and the keys that a reader expects of them.
+SCRIPTS = [
+    ("Яндекс Такси", "yandeks taksi"), ("Θεσσαλονίκη", "thessaloniki"), ("שלום", "shlvm"), ("شركة النور", "shrka alnwr"), ("राम मेडिकल", "ram medikal"), ("কলকাতা", "kalakata"), ("ગુજરાત", "gujarat"),
+    ("ಬೆಂಗಳೂರು", "bengaluru"), ("தமிழ்", "tamil"), ("Café Münster", "cafe munster"),
+]
+
+
+@query("nrm_other_scripts", "SELECT c_custkey, k[1 + c_custkey % len(k)] || ' ' || c_custkey AS name_key, true AS ascii FROM customer, (SELECT [" + ", ".join(f"'{k}'" for _, k in SCRIPTS) + "] AS k)")
+def nrm_other_scripts(spark, sf_dir):
+    """Names in other scripts give keys of Latin letters."""
+    key = F.col("c_custkey")
+    name = F.concat(F.element_at(F.array(*(F.lit(n) for n, _ in SCRIPTS)), (1 + key % len(SCRIPTS)).cast("int")), F.lit(" № "), key.cast("string"), F.lit(" Pvt. Ltd."))
+    made = table(spark, sf_dir, "customer").select(key, N.matching_key(name).alias("name_key"))
+    return made.withColumn("ascii", F.col("name_key").rlike("^[ -~]+$"))

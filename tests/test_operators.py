@@ -22,12 +22,12 @@ def one(spark, column, value, kind="string"):
     "raw, key",
     [
         ("Acme Industries Pvt. Ltd.", "acme industries"), ("Ltd", "ltd"), ("Café Münster GmbH", "cafe munster"), ("\U0001d402\U0001d403 Clinic", "cd clinic"),
-        ("Straße & Søn", "strasse son"), ("सत्यम", "सत्यम".replace("्", " ").strip() and None), ("", ""), (None, None),
+        ("Straße & Søn", "strasse son"), ("सत्यम", "satyam"), ("", ""), (None, None),
     ],
 )
 def test_matching_key(spark, raw, key):
     got = one(spark, N.matching_key, raw)
-    assert got == key if raw != "सत्यम" else got
+    assert got == key
 
 
 @pytest.mark.parametrize(
