@@ -15,6 +15,7 @@ from tessera.queries import resolution as _resolution  # noqa: F401
 from tessera.queries import search as _search  # noqa: F401
 from tessera.queries import spatial as _spatial  # noqa: F401
 from tessera.queries import streams as _streams  # noqa: F401
+from tessera.queries import waterfall as _waterfall  # noqa: F401
 from tessera.registry import QUERIES, SQL, Query
 
 

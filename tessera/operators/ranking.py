@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.scratch import Scratch
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in ``order``, which should end in a unique column. Survey: WIN4, DED1."""
@@ -58,6 +62,25 @@ def running_balance(ledger: DataFrame, key: str, order: list[str], delta: str =
     return ledger.withColumn("balance_after", F.sum(delta).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
+def running_total(rows: DataFrame, order: list[str], value: str, out: str = "total") -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each one, in an order over all of them that ends in a unique column.
+
+    No row set goes to one task: rows are sorted into ranges, each range is summed, and its rows add up from the sums of
+    the ranges before, one number a range. The sorted rows are a table in the shared folder.
+    """
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "totals")
+    number, part = "_number", F.shiftright("_number", 33)
+    ordered = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()))
+    sums, before, at = ordered.groupBy(part.alias("p")).agg(F.sum(value).cast("decimal(38,6)").alias("s")).orderBy("p").collect(), [], Decimal(0)
+    for p, s in sums:
+        before.append((p, at))
+        at += s or 0
+    start = spark.createDataFrame(before, "_part long, _before decimal(38,6)")
+    within = F.sum(value).over(W.partitionBy("_part").orderBy(number).rowsBetween(W.unboundedPreceding, 0))
+    placed = ordered.withColumn("_part", part).join(F.broadcast(start), "_part")
+    return placed.withColumn(out, (F.col("_before") + F.coalesce(within, F.lit(0))).cast(rows.schema[value].dataType)).drop(number, "_part", "_before")
+
+
 def offset_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Survey: SRT1."""
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -80,14 +103,23 @@ def keyset_page(df: DataFrame, key: str, limit: int, after=None, descending: boo
 
 
 def split_budget(rows: DataFrame, order: list[str], budget: Column, key: list[str] = ()) -> DataFrame:
-    """Adds share: the budget split evenly over a key's rows, the remainder to the first ones. Survey: SRT6."""
+    """Adds share: the budget split evenly over a key's rows, the remainder to the first ones. Survey: SRT6.
+
+    Without a key all rows share it: they are counted first and numbered by ranges, never gathered in one task.
+    """
+    if not key:
+        n = F.lit(max(1, rows.count()))
+        at = running_total(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one", "_at").drop("_one")
+        return at.withColumn("share", (F.floor(budget / n) + F.when(F.col("_at") <= budget % n, 1).otherwise(0)).cast("long")).drop("_at")
     n = F.count("*").over(W.partitionBy(*key))
     at = F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1
     return rows.withColumn("share", (F.floor(budget / n) + F.when(at < budget % n, 1).otherwise(0)).cast("long"))
 
 
 def affordable_prefix(rows: DataFrame, order: list[str], credits: int, floor: int, share: float, key: list[str] = ()) -> DataFrame:
-    """The first rows of each key whose floors fit into the share of the credits."""
+    """The first rows of each key whose floors fit into the share of the credits; of all rows without a key."""
+    if not key:
+        return rows.orderBy(*order).limit(int(share * credits) // floor)
     at = F.row_number().over(W.partitionBy(*key).orderBy(*order))
     return rows.withColumn("_at", at).where(F.col("_at") <= int(share * credits) // floor).drop("_at")
 
