@@ -47,8 +47,8 @@ BOXES = 5
 LARGE = 64
 BLOCK = 32_768
 KNOWN_WORDS = 100_000
-SAMPLE_TEXTS = 100_000
-SLOTS = 1 << 20
+SAMPLE_TEXTS = 20_000
+SLOTS = 1 << 19
 TEXTS = 128
 LEAST_SKETCH = 256  # bits
 BROADCAST_IDS = 500_000
