@@ -296,3 +296,18 @@ def test_scrub_keeps_shapes(spark):
     assert re.sub("[0-9]", "0", out.split(" or ")[0]) == "call +00 (00) 0000-0000" and out.count("@example.org") == 1
     numbers = re.findall(r"\+[0-9][0-9 ().-]{8,}[0-9]", out)
     assert numbers[0] == numbers[1] != numbers[2] and "7946" not in out and len(out) == len(text) - len("a@b.org") + len("user-12345678@example.org")
+
+
+def test_any_of_query_takes_phones_and_emails(spark, tmp_path):
+    """The query and its SQL ask for either channel, beside one that cannot be checked."""
+    import duckdb
+
+    from tessera import catalogue
+
+    rows = [(k, f"part {k}", "STANDARD ANODIZED TIN", 1.0, 1, f"Brand#{k}") for k in range(1, 31)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_retailprice double, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    want = [k for k in range(1, 31) if k % 3 == 0 or k % 5 == 0]
+    assert sorted(r["id"] for r in catalogue.queries()["flt_any_of"](spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(r[0] for r in con.sql(catalogue.oracle_sql()["flt_any_of"]).fetchall()) == want
