@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import language_model, licenses, packing, simhash, token_counts, toxicity, url_filter, vector_codes
+from tests.llm import brute
 from tests.llm.data import folder
 
 NAMES = ["Start", "N_Words", "N_Tokens", "FP", "Score", "BIN_ID", "Labels", "License_Spans", "Code", "a.b", "_Row"]
@@ -89,3 +90,20 @@ def test_vector_codes_keep_other_columns(spark):
     df = spark.createDataFrame([(1, [0.5] * 16, "x")], "vec_id long, embedding array<float>, ERROR string").withColumn("a.b", F.lit(1))
     books = vector_codes.fit(df)
     assert vector_codes.encode(df, books).columns == ["vec_id", "a.b", "code", "error"]
+
+
+@pytest.mark.parametrize("most", [14, 19])
+def test_all_rules_of_wide_urls_against_brute_force(spark, most):
+    """Blocked urls hold twelve tokens that tell more, so the rules of x and y lie beyond what FP-growth sees."""
+    rnd = random.Random(most)
+    rows = []
+    for _ in range(260):
+        own = {f"p:b{k:02}" for k in range(12) if rnd.random() < 0.97} | {f"p:x{k}" for k in range(most - 12) if rnd.random() < 0.9}
+        rows.append((sorted(own), "block"))
+    for _ in range(300):
+        own = {f"p:b{k:02}" for k in range(12) if rnd.random() < 0.02} | {f"p:x{k}" for k in range(most - 12) if rnd.random() < 0.4} | {"p:z"}
+        rows.append((sorted(own), "allow"))
+    assert any(len(t) > url_filter.MAX_WIDTH for t, _ in rows)
+    found = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string")).collect()
+    got = {tuple(r["antecedent"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in found}
+    assert got == brute.rules(rows, url_filter) and any({"p:x0", "p:x1"} <= set(a) for a in got)
