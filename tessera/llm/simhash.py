@@ -17,9 +17,10 @@ both. Every member is filed under its 39 or 40 strings within one bit, and all m
 Fingerprints of short shingles drift apart by more than 2 bits when a few words of a text change. ``keep_one`` with a
 similarity therefore also links texts by the Jaccard similarity of their word shingles. Pairs come from a prefix
 filter: with one order of all hashes, two sets of similarity t share one of their first n - ceil(t * n) + 1 hashes.
-The order puts hashes that are frequent in a sample last. Proposed pairs are first compared by parity sketches, whose
-size follows the set's, and whole sets travel only for the pairs that the sketches cannot tell apart. No pair at the
-bound is lost to the groups.
+The order puts hashes that are frequent in a sample last. Texts of different groups under one key are compared by short
+parity sketches where they meet, so that rows are made of pairs that these cannot tell apart, not of all pairs. Proposed
+pairs are then compared by parity sketches whose size follows the set's, and whole sets travel only for the pairs that
+these leave. Two sets differ in at least as many hashes as their sketches, so no pair at the bound is lost to the groups.
 
 Null texts count as empty. Texts without words have the fingerprint 0 and link like any other. Copies share their
 fingerprint's row, whatever their number. Rows without a doc_id get the group of their fingerprint, and null where no
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ SAMPLE_TEXTS = 20_000
 SLOTS = 1 << 19
 TEXTS = 128
 LEAST_SKETCH = 256  # bits
+MET_SKETCH = 1024  # bits, of texts that meet under a key
 BROADCAST_IDS = 500_000
 EDGES = [0, 13, 26, 39, 52, 64]  # the segments' borders
 
@@ -154,6 +157,17 @@ def _sketched(df: DataFrame, shingle: int) -> DataFrame:
     return _per_text(df, shingle, "bits", _parities)
 
 
+def _met_sketches(df: DataFrame, shingle: int) -> DataFrame:
+    """(id, bits) of rows (doc_id, text): the parity of the hashes in each of MET_SKETCH classes."""
+    of = lambda x: np.packbits((np.bincount(x & (MET_SKETCH - 1), minlength=MET_SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    return _per_text(df, shingle, "bits", of).select("id", "bits")
+
+
+def _met_apart(a: str, b: str) -> Column:
+    """In how many classes two sketches of MET_SKETCH bits differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MET_SKETCH // 64)))
+
+
 def _apart(a: Column, b: Column) -> Column:
     """In how many classes two parity sketches differ: no more than the sets differ in hashes.
 
@@ -273,12 +287,16 @@ def similar_groups(df: DataFrame, linked: DataFrame, scratch: Scratch, similarit
     several = scratch.save(rows.where(F.col("group") != F.col("hub_group")).select("key").distinct())
     rows = scratch.save(rows.join(_few(several), "key", "left_semi").select("key", "id", "n", "pos", "group"))
     scratch.drop(shared)
-    other = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"))
+    named = scratch.save(rows.select(F.col("id").alias("doc_id")).distinct())
+    sketches = scratch.save(_met_sketches(texts.join(_few(named), "doc_id", "left_semi"), shingle))
+    dealt = rows.join(sketches, "id")
+    other = dealt.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("group").alias("group2"), F.col("bits").alias("bits2"))
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # that two sets can share from their first common hash on
     fit = alike(F.col("n"), F.col("n2")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("n2")) - 1e-6)
-    met = rows.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("group") != F.col("group2")) & fit)
+    fit &= _met_apart("bits", "bits2") * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("n2")) + 1e-6
+    met = dealt.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("group") != F.col("group2")) & fit)
     met = scratch.save(met.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct())
-    scratch.drop(rows)
+    scratch.drop(rows, named, sketches)
     found = _verified(texts, met, scratch, similarity, shingle)
     scratch.drop(met)
     return components(linked.unionByName(found), scratch)

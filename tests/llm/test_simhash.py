@@ -180,3 +180,24 @@ def test_boilerplate_of_any_number_of_kinds_proposes_few_pairs(spark, kinds):
         sizes = [r["count"] for r in keys.groupBy("key").count().collect()]
         counts.append(sum(s * (s - 1) // 2 for s in sizes))
     assert counts[1] <= 800 and max(counts) <= 2 * max(1, min(counts)) + 800
+
+
+def test_unlike_texts_under_a_key_make_no_pairs(spark, monkeypatch):
+    """Every text holds one passage, whose hashes stand in prefixes: pairs of unlike texts end where they meet, alike ones stay."""
+    rnd = random.Random(17)
+    passage = [f"b{i}" for i in range(16)]
+    rows = [(i, " ".join([*passage, *(f"w{rnd.getrandbits(40)}" for _ in range(44))])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace(rows[i][1].split()[-1], "changed")) for i in range(100, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_levels", lambda *_: np.zeros(simhash.SLOTS, np.uint8))
+    counts, verified = [], simhash._verified
+
+    def counted(df, proposed, *rest):
+        counts.append(proposed.count())
+        return verified(df, proposed, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    kept = {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()}
+    assert kept == set(range(150)) and counts[1] <= 20
+    monkeypatch.setattr(simhash, "_met_apart", lambda a, b: F.lit(0))
+    assert {r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()} == kept and counts[3] > 2000
