@@ -360,7 +360,8 @@ def _replaced(text: Column, pattern: str, stand_in) -> Column:
 def scrub(text: Column) -> Column:
     """Addresses and numbers replaced by made-up ones, the same for the same value; a number keeps its shape.
 
-    A number's digits but for its first become those of a hash of it, with 555 in front; separators stay where they are.
+    A number's digits but for its first become those of a hash of it, with 555 in front, again and again in a long one;
+    separators stay where they are.
 
     Survey: EXT11.
     """
@@ -370,7 +371,7 @@ def scrub(text: Column) -> Column:
         own = F.concat(F.lit("555"), F.translate(F.md5(F.regexp_replace(m, "[^0-9]", "")), "abcdef", "012345"))
         swap = lambda s, c: F.when(
             F.regexp_like(c, F.lit("[0-9]")) & (s["n"] >= 0),
-            F.struct(F.concat(s["out"], F.when(s["n"] == 0, c).otherwise(F.substr(own, s["n"], F.lit(1)))).alias("out"), (s["n"] + 1).alias("n")),
+            F.struct(F.concat(s["out"], F.when(s["n"] == 0, c).otherwise(F.substr(own, (s["n"] - 1) % 35 + 1, F.lit(1)))).alias("out"), (s["n"] + 1).alias("n")),
         ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["n"].alias("n")))
         return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), swap)["out"]
 

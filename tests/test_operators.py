@@ -12,6 +12,7 @@ from tessera.operators import export, extract, graph, guards, matching, ranking,
 from tessera.plans import research
 from tessera.sources import places
 from tessera.streaming import events as S
+from tests import oracles
 
 
 def one(spark, column, value, kind="string"):
@@ -298,6 +299,19 @@ def test_scrub_keeps_shapes(spark):
     assert numbers[0] == numbers[1] != numbers[2] and "7946" not in out and len(out) == len(text) - len("a@b.org") + len("user-12345678@example.org")
 
 
+@pytest.mark.parametrize("more", ["", " 3456", " 3456 118.112.190.161", " 3456 118.112.190.161" * 3])
+def test_scrub_keeps_every_digit_of_long_numbers(spark, tmp_path, more):
+    """A number, a card and an address in a row are one number of over 36 digits; the query agrees with its SQL."""
+    from tessera import catalogue
+
+    text = f"call +1 (836) 555-9331 491318719667{more} now"
+    out = one(spark, extract.scrub, text)
+    assert re.sub("[0-9]", "0", out) == re.sub("[0-9]", "0", text) and out != text
+    spark.createDataFrame([(1, text), (2, "x@y.org +44 20 7946 0958")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = oracles.connect(tmp_path)
+    assert oracles.compare(spark, con, catalogue.queries()["scrub_pii"], catalogue.oracle_sql()["scrub_pii"], str(tmp_path)) is None
+
+
 def test_any_of_query_takes_phones_and_emails(spark, tmp_path):
     """The query and its SQL ask for either channel, beside one that cannot be checked."""
     import duckdb
