@@ -18,34 +18,47 @@ def jaro(a: Column, b: Column) -> Column:
     against. Two empty strings are alike; null with null in.
     """
 
-    def of(a: Column, b: Column) -> Column:
-        n, m = F.length(a), F.length(b)
-        reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
+    letters = lambda c: F.split(c, "")
+
+    def rest_of(v: Column) -> Column:
+        """The similarity of two unlike strings from what follows their common start, whose letters all match in place."""
+        x, y, n, m, start = v["a"], v["b"], v["n"], v["m"], v["start"]
+
+        def take(state: Column, letter: Column) -> Column:
+            place = F.call_function("locate", letter, state["rest"], F.greatest(state["i"] - v["reach"], F.lit(1)))
 
-        def take(state: Column, i: Column) -> Column:
-            letter = F.substring(a, i, F.lit(1))
-            low = F.greatest(i - reach, F.lit(1))
-            high = F.least(i + reach, m)
-            place = F.instr(F.substring(state["rest"], low, F.greatest(high - low + 1, F.lit(0))), letter)
-            at = low + place - 1
-            rest = F.concat(F.substring(state["rest"], F.lit(1), at - 1), F.lit(_USED), F.substring(state["rest"], at + 1, m))
-            hit = place > 0
-            return F.struct(F.when(hit, rest).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["taken"], letter)).otherwise(state["taken"]).alias("taken"))
+            def taken(place: Column) -> Column:
+                hit = (place > 0) & (place <= state["i"] + v["reach"])
+                return F.when(hit, F.struct((state["i"] + 1).alias("i"), F.overlay(state["rest"], F.lit(_USED), place, F.lit(1)).alias("rest"), F.concat(state["taken"], letter).alias("taken"))).otherwise(
+                    F.struct((state["i"] + 1).alias("i"), state["rest"].alias("rest"), state["taken"].alias("taken"))
+                )
 
-        start = F.struct(b.alias("rest"), F.lit("").alias("taken"))
-        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            return bind(place, taken)
 
         def scored(state: Column) -> Column:
-            taken, hits = state["taken"], F.length(state["taken"])
             # the matched letters of b in their own order: those that were replaced
-            other = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: F.substring(state["rest"], j, F.lit(1)) == _USED)
-            moved = F.size(F.filter(F.sequence(F.lit(1), F.greatest(hits, F.lit(1))), lambda k: F.substring(taken, k, F.lit(1)) != F.substring(b, F.get(other, k - 1), F.lit(1))))
-            swaps = F.floor(F.when(hits > 0, moved).otherwise(0) / 2)
-            return F.when((n == 0) & (m == 0), F.lit(1.0)).when(hits == 0, F.lit(0.0)).otherwise((hits / n + hits / m + (hits - swaps) / hits) / 3)
+            other = F.array_join(F.zip_with(letters(y), letters(state["rest"]), lambda l, r: F.when(r == _USED, l)), "")
+            moved = F.size(F.filter(F.zip_with(letters(state["taken"]), letters(other), lambda l, r: l != r), lambda l: l))
+            swaps = F.when(state["taken"] == other, F.lit(0)).otherwise(F.floor(moved / 2))
+            hits = start + F.length(state["taken"])
+            return bind(F.struct(hits.alias("hits"), swaps.alias("swaps")), lambda h: F.when(h["hits"] == 0, F.lit(0.0)).otherwise((h["hits"] / n + h["hits"] / m + (h["hits"] - h["swaps"]) / h["hits"]) / 3))
 
-        return bind(F.aggregate(places, start, take), scored)
+        begin = F.struct(F.lit(1).alias("i"), y.alias("rest"), F.lit("").alias("taken"))
+        places = F.when(F.length(x) > 0, letters(x)).otherwise(F.array().cast("array<string>"))
+        return bind(F.aggregate(places, begin, take), scored)
+
+    def of(a: Column, b: Column) -> Column:
+        """The common start is found by halves: 32 letters at once, then 16, down to one."""
+        n, m = F.length(a), F.length(b)
+        start = F.lit(0)
+        for step in (32, 16, 8, 4, 2, 1):
+            start = bind(start, lambda at, step=step: F.when((n >= at + step) & (m >= at + step) & (F.substr(a, at + 1, F.lit(step)) == F.substr(b, at + 1, F.lit(step))), at + step).otherwise(at))
+        reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
+        tail = lambda c, at: F.substr(c, at + 1, F.length(c))
+        parts = bind(start, lambda at: F.struct(tail(a, at).alias("a"), tail(b, at).alias("b"), n.alias("n"), m.alias("m"), at.alias("start"), reach.alias("reach")))
+        return bind(parts, rest_of)
 
-    return F.when(a.isNotNull() & b.isNotNull(), of(a, b))
+    return F.when(a == b, 1.0).when(a.isNotNull() & b.isNotNull(), of(a, b))
 
 
 def jaro_winkler(a: Column, b: Column, boost_from: float = 0.7, weight: float = 0.1) -> Column:

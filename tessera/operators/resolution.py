@@ -110,15 +110,34 @@ def candidate_pairs(blocks: DataFrame, window: int = WINDOW, span: int = SPAN) -
     return pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(entities: DataFrame) -> DataFrame:
+    """The records with an id, dealt out over all tasks: a small file of very many records is one task's else."""
+    return entities.where("id IS NOT NULL").repartition(_tasks(entities), "id")
+
+
 def features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs with what their prepared records say: equal values, name similarities, distance; null where one lacks the value."""
+    """Pairs with what their prepared records say: equal values, name similarities, distance; null where one lacks the value.
+
+    Neighbours in a block often bear the same names, so names are compared once for each two unlike ones, not for each pair.
+    """
+    pairs = Scratch(pairs.sparkSession, "features").save(pairs)
     side = lambda s: records.select(*(F.col(c).alias(f"{c}_{s}") for c in records.columns))
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     c = F.col
+    names = ["name_key_a", "name_key_b"]
+    unlike = both.where(c("name_key_a") != c("name_key_b")).select(*names).distinct()
+    # few bytes, much work: as many tasks as the shuffle has, which are not merged
+    likeness = unlike.repartition(_tasks(pairs), *names).select(*(c(n).alias(f"{n}_") for n in names), jaro_winkler(*map(c, names)).alias("jw"), token_set(*map(c, names)).alias("words"))
+    both = both.join(likeness, (c("name_key_a") == c("name_key_a_")) & (c("name_key_b") == c("name_key_b_")), "left")
+    same = c("name_key_a") == c("name_key_b")
     return both.select(
         "a", "b", "kinds",
         (c("domain_a") == c("domain_b")).alias("domain_equal"), (c("phone_a") == c("phone_b")).alias("phone_equal"), (c("mail_domain_a") == c("mail_domain_b")).alias("mail_equal"),
-        jaro_winkler(c("name_key_a"), c("name_key_b")).alias("name_jw"), token_set(c("name_key_a"), c("name_key_b")).alias("name_words"),
+        F.when(same, 1.0).otherwise(c("jw")).alias("name_jw"), F.when(same, F.when(F.trim("name_key_a") != "", 1.0).otherwise(0.0)).otherwise(c("words")).alias("name_words"),
         geo.haversine_km(c("lat_a"), c("lon_a"), c("lat_b"), c("lon_b")).alias("km"), (c("registry_id_a") == c("registry_id_b")).alias("registry_equal"),
     )
 
@@ -247,6 +266,6 @@ def resolve(entities: DataFrame, log: DataFrame | None = None, run: str = "run",
     spark, scratch = entities.sparkSession, Scratch(entities.sparkSession, "resolution")
     log = spark.createDataFrame([], LOG) if log is None else log
     apart = scratch.save(kept_apart(log))
-    records = scratch.save(prepared(standing(entities, log)))
+    records = scratch.save(prepared(spread(standing(entities, log))))
     decided = scratch.save(decide(features(candidate_pairs(blocking_keys(records)), records), apart))
     return decided, record_merges(log, cluster(decided, records, apart), run, F.current_timestamp() if at is None else at)

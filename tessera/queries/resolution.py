@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import resolution
 from tessera.registry import query, table
+from tessera.scratch import Scratch
 
 FIRST = "Amber Birch Cedar Delta Ember Falcon Granite Harbor Indigo Jasper Kestrel Lumen Maple Nimbus Onyx Pioneer Quartz Raven Summit Tidal Umbra Vertex Willow Zephyr".split()
 SECOND = "Analytics Bakery Clinic Dental Exports Foods Garments Hotels Interiors Jewels Kitchens Logistics Motors Nursery Optics Printing Quarries Realty Schools Textiles Utilities Ventures Works Yachts Zinc".split()
@@ -93,7 +94,7 @@ def er_candidate_pairs(spark, sf_dir):
 
 @query("er_pair_features", f"WITH {ENTITIES}, {BLOCKS}, {FEATURES} SELECT * REPLACE (round(name_jw, 6) AS name_jw, round(name_words, 6) AS name_words, round(km, 5) AS km) FROM f")
 def er_pair_features(spark, sf_dir):
-    records = resolution.prepared(entities(spark, sf_dir))
+    records = Scratch(spark, "records").save(resolution.prepared(resolution.spread(entities(spark, sf_dir))))
     found = resolution.features(resolution.candidate_pairs(resolution.blocking_keys(records)), records)
     return found.withColumns({"kinds": F.array_join("kinds", ","), "name_jw": F.round("name_jw", 6), "name_words": F.round("name_words", 6), "km": F.round("km", 5)})
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import geo
+from tessera.functions import geo, similarity
 from tessera.functions.similarity import jaro_winkler, token_set
 from tessera.operators import resolution as R
 from tessera.operators.components import components
@@ -137,3 +137,45 @@ def test_branches_reviews_and_missing_values(spark):
     assert [(r["a"], r["b"], r["decision"]) for r in decided.collect()] == [(1, 2, "branch")] and log.count() == 0
     none = spark.createDataFrame([], RECORD)
     assert [df.count() for df in R.resolve(none)] == [0, 0]
+
+
+def test_jaro_in_unlike_alphabets_and_lengths(spark):
+    """Against a plain loop: common starts of any length, letters beyond the BMP, texts longer than a word."""
+
+    def jaro(a, b):
+        if not a and not b:
+            return 1.0
+        reach, rest, taken = max(max(len(a), len(b)) // 2 - 1, 0), list(b), []
+        for i, letter in enumerate(a):
+            at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if rest[j] == letter), None)
+            if at is not None:
+                rest[at] = None
+                taken.append(letter)
+        if not taken:
+            return 0.0
+        other = [x for x, r in zip(b, rest) if r is None]
+        swaps = sum(x != y for x, y in zip(taken, other)) // 2
+        return (len(taken) / len(a) + len(taken) / len(b) + (len(taken) - swaps) / len(taken)) / 3
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abé\U0001d402 ") for _ in range(rnd.randrange(n)))
+    pairs = [(start + word(20), start + word(20)) for start in (word(80) for _ in range(300))] + [("", ""), ("", "a"), ("a", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.jaro(F.col("a"), F.col("b"))).collect()
+    for a, b, s in got:
+        assert s == pytest.approx(jaro(a, b), abs=1e-12), (a, b)
+
+
+def test_names_are_compared_once_for_each_two_unlike_ones(spark, monkeypatch):
+    """The columns are those of a comparison of each pair, blanks and missing names included; equal names need none."""
+    names = ["acme foods", "acme foods", "acme food", "", "", " ", " ", None, None, "amce foods", "acme  foods"]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    prepared = R.prepared(frame.select("id", *(F.lit(None).cast("double" if c in ("lat", "lon") else "string").alias(c) for c in R.FIELDS))).drop("name_key").join(frame.withColumnRenamed("name", "name_key"), "id")
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
+    every = spark.createDataFrame(pairs, "a long, b long").withColumn("kinds", F.array(F.lit("all")))
+    got = {(r["a"], r["b"]): (r["name_jw"], r["name_words"]) for r in R.features(every, prepared).collect()}
+    both = spark.createDataFrame([(a, b, names[a], names[b]) for a, b in pairs], "a long, b long, x string, y string")
+    want = {(r[0], r[1]): (r[2], r[3]) for r in both.select("a", "b", jaro_winkler(F.col("x"), F.col("y")), token_set(F.col("x"), F.col("y"))).collect()}
+    assert got == want
+    monkeypatch.setattr(R, "jaro_winkler", lambda a, b: F.raise_error(F.lit("compared")).cast("double"))
+    equal = every.where("a = 0 AND b = 1")
+    assert [r["name_jw"] for r in R.features(equal, prepared).collect()] == [1.0]
