@@ -2,7 +2,8 @@
 
 ``reply_paths`` enumerates root-to-leaf paths of reply trees by iterative self-joins. Each pass joins the table of
 jump pointers with itself, which doubles their reach, so a tree of depth d takes about log2(d) passes and every
-table has as many rows as there are messages. Branches are ranked by the sum of their messages' scores and the
+table has as many rows as there are messages. All joins are sort-merge joins: ids compress so well that a table's files look
+small enough for a broadcast when its rows are not, and the driver would hold them. Branches are ranked by the sum of their messages' scores and the
 best ``top`` of each tree are chosen; ``format_paths`` writes each chosen path as one conversation.
 
 Template: ``<|im_start|>role LF text<|im_end|> LF`` for each turn. In texts and roles ``\\`` becomes ``\\\\`` and
@@ -52,7 +53,7 @@ def _jump(scratch: Scratch, level: DataFrame, n: int) -> tuple[list[DataFrame],
         if open_rows.isEmpty():
             break
         far = levels[-1].select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("dist").alias("dist2"), F.col("total").alias("total2"))
-        step = open_rows.join(far, "up", "left").select("id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("total") + F.col("total2")).alias("total"))
+        step = open_rows.join(far.hint("merge"), "up", "left").select("id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("total") + F.col("total2")).alias("total"))
         done = levels[-1].where(F.col("up").isNull())
         levels.append(scratch.save(step.unionByName(done)))
     return levels, levels[-1].where(F.col("up").isNotNull())
@@ -72,7 +73,7 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     nodes = messages.groupBy("id").agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("m")).where(F.col("id").isNotNull()).select("id", "m.*")
     known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     # roots stay out of the join: their null parents would all meet in one task
-    replies = nodes.where(F.col("parent_id").isNotNull()).join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
+    replies = nodes.where(F.col("parent_id").isNotNull()).join(known.hint("merge"), "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
     roots = nodes.where(F.col("parent_id").isNull()).select("id", F.col("parent_id").alias("up"), F.col("score").alias("total"))
     nodes = replies.unionByName(roots)
     nodes = scratch.save(_first_level(nodes))
@@ -80,20 +81,20 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     levels, stuck = _jump(scratch, nodes, n)
     if not stuck.isEmpty():
         cut = stuck.select("id", F.lit(True).alias("cut"))
-        nodes = nodes.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), "total")
+        nodes = nodes.join(cut.hint("merge"), "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), "total")
         levels, _ = _jump(scratch, scratch.save(_first_level(nodes)), n)
     depths = levels[-1].select("id", F.col("top").alias("root"), F.col("dist").alias("depth"), "total")
     parents = levels[0].where(F.col("up").isNotNull()).select(F.col("up").alias("id")).distinct()
-    leaves = depths.join(parents, "id", "left_anti")
+    leaves = depths.join(parents.hint("merge"), "id", "left_anti")
     rank = F.row_number().over(W.partitionBy("root").orderBy(F.desc("total"), "id"))
     chosen = scratch.save(leaves.withColumn("rank", rank).where(F.col("rank") <= top).select("root", F.col("id").alias("leaf"), "rank"))
     # the ancestors of a chosen leaf: the set doubles along with the reach of the pointers
     members = chosen.select("leaf", F.col("leaf").alias("id"))
     for level in reversed(levels):
         both = F.explode(F.array_compact(F.array("id", "up")))
-        members = members.join(level.select("id", "up"), "id").select("leaf", both.alias("id"))
-    paths = members.join(depths.select("id", "depth"), "id")
-    return paths.join(chosen, "leaf").select("root", "leaf", "rank", "depth", "id")
+        members = members.join(level.select("id", "up").hint("merge"), "id").select("leaf", both.alias("id"))
+    paths = members.join(depths.select("id", "depth").hint("merge"), "id")
+    return paths.join(chosen.hint("merge"), "leaf").select("root", "leaf", "rank", "depth", "id")
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
         "id", (F.col("m.role") == "assistant").alias("loss"), escape_role(F.col("m.role")).alias("role"), escape(F.col("m.text")).alias("body")
     )
     turn = turn.select("id", "loss", F.concat(F.lit(START), "role", F.lit("\n")).alias("head"), "body")
-    rows = paths.join(turn, "id")
+    rows = paths.join(turn.hint("merge"), "id")
     before = W.partitionBy("leaf").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + len(END)
     rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))

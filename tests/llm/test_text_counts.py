@@ -189,3 +189,13 @@ def test_reply_tree_branches(spark):
     leaves = {(r["leaf"], r["rank"]) for r in chat.reply_paths(messages, top=3).where("root = 'r'").collect()}
     assert leaves == {("b2", 1), ("b1", 2), ("a", 3)}
     assert chat.reply_paths(messages.limit(0)).count() == 0
+
+
+def test_reply_trees_broadcast_no_table(spark):
+    """Tables of ids shrink so much in files that Spark would broadcast millions of rows, which the driver then holds."""
+    rows = [(f"{i}", f"{i - 1}" if i % 4 else None, 1.0) for i in range(40)]
+    messages = spark.createDataFrame(rows, "id string, parent_id string, score double")
+    turns = messages.select("id", F.lit("user").alias("role"), F.col("id").alias("text"))
+    done = chat.format_paths(chat.reply_paths(messages), turns)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == 10 and "Broadcast" not in plan and "SortMergeJoin" in plan
